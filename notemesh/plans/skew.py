@@ -24,6 +24,6 @@ def dictionary_join(facts: DataFrame, words: DataFrame, key: str, words_bytes: i
     flagged = words.join(F.broadcast(hot.select(key).withColumn("_hot", F.lit(True))), key, "left")
     spread = flagged.withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     salted = facts.join(F.broadcast(hot.select(key).withColumn("_hot", F.lit(True))), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.floor(F.rand(7) * salts).cast("int")).otherwise(F.lit(0))
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     )
     return salted.drop("_hot").join(spread, [key, "_salt"]).drop("_salt")
