@@ -6,8 +6,8 @@ THRESHOLD count. Inline markup is looked through: patterns run over the text
 without it, and positions are those of the original text.
 
 Given names come from the table of nicknames and from names of the knowledge
-graph that stand beside many different surnames; this list is short (a given
-name needs COMMON_PARTNERS surnames) and is sent to the workers.
+graph that stand beside GIVEN_SURNAMES different surnames; the list of such words
+is short beside the names themselves and is sent to the workers.
 
 Defined cases: null and empty texts have no items; rows delivered twice count
 once; overlapping proposals of different types are settled by score, then
@@ -23,11 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemesh.llm.names import BUSINESS, COMMON_PARTNERS, LEGAL, SMALL, TITLES, fold, tokens
+from notemesh.llm.names import BUSINESS, LEGAL, SMALL, TITLES, fold, tokens
 from notemesh.plans.registry import Registry
 from notemesh.sources import once, read_table
 
 THRESHOLD = 0.55
+#: A word of the graph's names is a given name if it stands beside this many surnames.
+GIVEN_SURNAMES = 4
 NEAR = 42
 
 # Words near a number that tell what it is.
@@ -255,7 +257,7 @@ def redact(text: str | None, given: frozenset[str]) -> str | None:
 
 
 def given_names(spark: SparkSession, sf: str) -> frozenset[str]:
-    """Given names and nicknames, folded; bounded by the words that stand beside COMMON_PARTNERS others."""
+    """Given names and nicknames, folded."""
     table = read_table(spark, sf, "nicknames").toPandas()
     known = {fold(n) for c in ("given_name", "nickname") for n in table[c].dropna()}
 
@@ -269,12 +271,10 @@ def given_names(spark: SparkSession, sf: str) -> frozenset[str]:
             yield pd.DataFrame(sorted(rows), columns=["t", "u"])
 
     near = read_table(spark, sf, "entities").select("name").mapInPandas(pairs_of, "t string, u string").distinct()
-    counts = near.groupBy("t").agg(F.count("*").alias("n"))
-    # beside known given names stand surnames; a surname's other partners are given names too
+    # beside known given names stand surnames; a word beside several surnames is a given name too
     surnames = near.where(F.col("t").isin(sorted(known))).select(F.col("u").alias("t")).distinct()
-    given = near.join(surnames, "t").groupBy(F.col("u").alias("t")).agg(F.count("*").alias("m")).where("m >= 3")
-    frequent = counts.where(F.col("n") >= COMMON_PARTNERS).select("t").intersect(given.select("t")).toPandas()["t"]
-    return frozenset(known | {t for t in frequent if len(t) >= 3})
+    given = near.join(surnames, "t").groupBy(F.col("u").alias("t")).agg(F.count("*").alias("m")).where(F.col("m") >= GIVEN_SURNAMES).toPandas()["t"]
+    return frozenset(known | {t for t in given if len(t) >= 3})
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
