@@ -19,7 +19,8 @@ many vectors or queries are split into blocks and slices of bounded size.
 
 Defined cases: a vector is usable if it is not null, has `dim` finite values and
 isn't all zero; others neither ask nor answer. Ties of cosine (to 1e-10) go to
-the smaller key by code point. Repeated rows count once. Fewer than k other
+the smaller key by code point. Repeated rows count once; if copies of a key have
+different vectors, the one with the largest hash counts. Fewer than k other
 usable vectors give as many rows as there are.
 """
 
@@ -34,12 +35,12 @@ from pyspark.sql import functions as F
 
 from notemesh.plans import materialize
 from notemesh.plans.registry import Registry
-from notemesh.sources import once, read_table
+from notemesh.sources import read_table
 
 FIT_ROWS = 20_000
 CELL_ROWS = 650
 MAX_CELLS = 4_096
-PROBE_MARGIN = 0.06
+PROBE_MARGIN = 0.035
 PROJECTIONS = 24
 COLLISIONS = 13
 #: Half widths of the windows, in units of a unit vector's projection, and the wide last step of a query's own cell.
@@ -97,7 +98,7 @@ def count_cells(shared) -> Callable:
             if len(pdf):
                 _, row, cell, home = _probes(pdf, c)
                 total[:, 0] += np.bincount(cell[home], minlength=len(c))
-                total[:, 1] += np.bincount(cell[(pdf["rn"].to_numpy() == 1)[row]], minlength=len(c))
+                total[:, 1] += np.bincount(cell[(pdf["nth"].to_numpy() == 1)[row]], minlength=len(c))
         yield pd.DataFrame({"cell": np.arange(len(c)), "data": total[:, 0], "asks": total[:, 1]})
 
     return run
@@ -115,7 +116,7 @@ def send(shared, parts) -> Callable:
             if not len(pdf):
                 continue
             raw, row, cell, home = _probes(pdf, c)
-            asks = (pdf["rn"].to_numpy() == 1)[row]
+            asks = (pdf["nth"].to_numpy() == 1)[row]
             spread = pdf["vh"].to_numpy(np.int64).view(np.uint64)
             nb, ns = blocks[cell], slices[cell]
             split = (nb * ns) > 1
@@ -215,16 +216,25 @@ def search(pdf: pd.DataFrame, k: int, dim: int) -> pd.DataFrame:
     return pd.DataFrame({"vh": vh[q[keep]], "key": key[d[keep]], "cos": cos[keep]})
 
 
-def nearest(vectors: DataFrame, k: int, dim: int) -> DataFrame:
-    """(key, neighbour, cos): for each usable vector of `vectors` (key string, vec array<float>) its k most similar others."""
-    spark = vectors.sparkSession
-    base = materialize(vectors.withColumn("vh", F.xxhash64("vec")), "vectors")
-    n = base.count()
+def nearest(rows: DataFrame, k: int, dim: int) -> DataFrame:
+    """(key, neighbour, cos): for each key of usable rows (key string, vec array<float>) the k keys with the most similar vectors.
+
+    Vectors are moved once to bring copies together and once to their cells;
+    all else moves keys and hashes only.
+    """
+    spark = rows.sparkSession
+    hashed = rows.withColumn("vh", F.xxhash64("vec"))
+    base = materialize(hashed.groupBy("key").agg(F.max("vh").alias("vh")), "keys")
+    # of a group of copies only the k+1 smallest keys can be results
+    order = Window.partitionBy("vh").orderBy("key")
+    first = base.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
+    keys = first.groupBy("vh").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    distinct = hashed.groupBy("vh").agg(F.first("vec").alias("vec"))
+    reps = materialize(distinct.join(keys, "vh").select("vh", "vec", F.posexplode("keys").alias("at", "key")).select("vh", "vec", "key", (F.col("at") + 1).alias("nth")), "representatives")
+    n = reps.count()
     if n == 0:
         return spark.createDataFrame([], "key string, neighbour string, cos double")
-    ranked = base.withColumn("rn", F.row_number().over(Window.partitionBy("vh").orderBy("key"))).where(F.col("rn") <= k + 1)
-    reps = materialize(ranked, "representatives")
-    c = fit_cells(base, n)
+    c = fit_cells(reps, n)
     shared = spark.sparkContext.broadcast(c)
     counts = reps.mapInPandas(count_cells(shared), "cell long, data long, asks long").groupBy("cell").agg(F.sum("data").alias("data"), F.sum("asks").alias("asks")).toPandas()
     blocks, slices = np.ones(len(c), np.int64), np.ones(len(c), np.int64)
@@ -235,14 +245,14 @@ def nearest(vectors: DataFrame, k: int, dim: int) -> DataFrame:
     hits = sent.groupBy("task").applyInPandas(lambda pdf: search(pdf, k, dim), "vh long, key string, cos double")
     # at most k+1 rows of each of a vector's few cells meet here
     best = hits.groupBy("vh").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cos")).alias("far"), "key"))), 1, k + 1).alias("best"))
-    rows = base.select("vh", F.col("key").alias("own")).join(best, "vh")
-    one = rows.select("own", F.explode(F.slice(F.filter("best", lambda x: x["key"] != F.col("own")), 1, k)).alias("b"))
+    own = base.select("vh", F.col("key").alias("own")).join(best, "vh")
+    one = own.select("own", F.explode(F.slice(F.filter("best", lambda x: x["key"] != F.col("own")), 1, k)).alias("b"))
     return one.select(F.col("own").alias("key"), F.col("b.key").alias("neighbour"), (-F.col("b.far")).alias("cos"))
 
 
 def register(reg: Registry) -> None:
     @reg.query("p6_found")
     def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-        chunks = once(read_table(spark, sf, "chunks"), ["chunk_id"], ["embedding"])
+        chunks = read_table(spark, sf, "chunks").where("chunk_id IS NOT NULL")
         found = nearest(usable(chunks, "chunk_id", "embedding", 96), k=5, dim=96)
         return found.select(F.col("key").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"))
