@@ -8,5 +8,5 @@ from notemesh.plans.registry import Registry
 
 REGISTRY = Registry()
 
-for _name in ("tokenize", "neardup", "neighbours", "names", "residue", "markup", "pii", "language", "pairs"):
+for _name in ("tokenize", "neardup", "neighbours", "names", "residue", "markup", "pii", "language", "pairs", "packing"):
     importlib.import_module(f"notemesh.llm.{_name}").register(REGISTRY)
