@@ -1,0 +1 @@
+from notemesh.functions import text  # noqa: F401
