@@ -131,7 +131,6 @@ def micro_graph(hits: DataFrame, least: int = 3, most: int = 5) -> DataFrame:
 
 # --- building ------------------------------------------------------------------------------------------------------------
 
-_RUN = re.compile(r"[^\W\d_a-zà-ÿ][^\W_]*", re.U)
 _SENTENCE = re.compile(r"[.!?…]+\s+|\n+")
 _LINK = re.compile(r"\[\[([^\[\]|#\n]+)(?:#[^\[\]|\n]*)?(?:\|[^\[\]\n]*)?\]\]")
 
