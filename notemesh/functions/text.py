@@ -19,7 +19,7 @@ STOP_WORDS = (
 ).split()
 
 # White space as JavaScript's \s has it, for splitting as the reference results expect.
-WS = r"[\t\n\x0B\f\r    -     　﻿]"
+WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 #: An ASCII word boundary; Java's own \b takes accented letters as word characters.
 ASCII_B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 

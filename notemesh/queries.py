@@ -1,5 +1,489 @@
-"""All queries of the core, by name."""
+"""All queries of the core, by name, with the SQL that checks them where SQL can say it."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from notemesh.functions import text as T
+from notemesh.operators import chunking, context, corpus, graph
+from notemesh.operators import retrieval as R
 from notemesh.plans.registry import Registry
+from notemesh.sources import files, once, read_table, store
 
 REGISTRY = Registry()
+query = REGISTRY.query
+
+
+def chunks_of(s: SparkSession, d: str, *cols: str) -> DataFrame:
+    return read_table(s, d, "chunks").select(*cols).distinct()
+
+
+def latest_notes(s: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Notes without their loading times, each once."""
+    return once(read_table(s, d, "notes"), ["doc_id"], list(cols), newest="loaded_at")
+
+
+def hits_of(s: SparkSession, d: str) -> DataFrame:
+    """Stored search results, each once, with `rank` by score."""
+    h = read_table(s, d, "search_hits").where("query_id IS NOT NULL AND chunk_id IS NOT NULL")
+    one = h.select("hit_id", "query_id", "chunk_id", "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"), "hit_rank").distinct()
+    return R.ranked(one, F.desc("score"), F.asc("chunk_id"), F.asc("hit_id"))
+
+
+HITS = """h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id, hit_id) AS rank FROM (
+  SELECT DISTINCT hit_id, query_id, chunk_id, doc_id, coalesce(text, '') AS text, round(coalesce(score, 0.0), 6) AS score, hit_rank
+  FROM search_hits WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL))"""
+NOTES = """n AS (SELECT doc_id, title, body, aliases, frontmatter FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY loaded_at DESC) AS r FROM notes) WHERE r = 1 AND doc_id IS NOT NULL)"""
+FOLD = "lower(replace(replace(strip_accents({0}), 'đ', 'd'), 'Đ', 'D'))"
+STOPS = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+EDGES = """e AS (SELECT DISTINCT a AS src, b AS dst FROM (SELECT source_id AS a, target_id AS b FROM relations UNION ALL SELECT target_id, source_id FROM relations)
+  WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b)"""
+
+
+# --- scans, sinks, keyed writes ---------------------------------------------------------------------------------------------
+
+
+@query("table_counts", "SELECT 'chunks' AS name, count(*) AS n FROM chunks UNION ALL SELECT 'relations', count(*) FROM relations")
+def _(s, d):
+    one = lambda t: read_table(s, d, t).agg(F.lit(t).alias("name"), F.count("*").alias("n"))
+    return one("chunks").unionByName(one("relations"))
+
+
+@query("all_notes", f"WITH {NOTES} SELECT doc_id, coalesce(title, '') AS title, coalesce(len(aliases), 0) AS aliases, length(coalesce(body, '')) AS chars FROM n")
+def _(s, d):
+    n = latest_notes(s, d, "title", "body", "aliases")
+    return n.select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce(F.array_size("aliases"), F.lit(0)).cast("long").alias("aliases"), F.length(F.coalesce("body", F.lit(""))).cast("long").alias("chars"))
+
+
+@query("chunk_texts_by_doc", "SELECT doc_id, count(*) AS n, sum(length(text)) AS chars FROM (SELECT DISTINCT chunk_id, doc_id, text FROM chunks) GROUP BY doc_id")
+def _(s, d):
+    return chunks_of(s, d, "chunk_id", "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("live_mentions", "SELECT chunk_id, doc_id, entity_id FROM mentions WHERE chunk_id IN (SELECT chunk_id FROM chunks) AND entity_id IN (SELECT id FROM entities)")
+def _(s, d):
+    m = read_table(s, d, "mentions").select("chunk_id", "doc_id", "entity_id")
+    return graph.live_mentions(m, read_table(s, d, "chunks"), read_table(s, d, "entities")).select("chunk_id", "doc_id", "entity_id")
+
+
+@query("live_relations", "SELECT source_id, target_id, type, doc_id FROM relations WHERE source_id IN (SELECT id FROM entities) AND target_id IN (SELECT id FROM entities)")
+def _(s, d):
+    return graph.live_relations(read_table(s, d, "relations").select("source_id", "target_id", "type", "doc_id"), read_table(s, d, "entities")).select("source_id", "target_id", "type", "doc_id")
+
+
+@query("retrieval_edges", f"WITH {HITS} SELECT query_id, chunk_id, score, rank FROM h")
+def _(s, d):
+    return hits_of(s, d).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("delete_docs", "SELECT chunk_id, doc_id FROM (SELECT DISTINCT chunk_id, doc_id FROM chunks) WHERE doc_id NOT IN (SELECT doc_id FROM notes WHERE (body IS NULL OR trim(body) = '') AND doc_id IS NOT NULL)")
+def _(s, d):
+    gone = read_table(s, d, "notes").where("body IS NULL OR trim(body) = ''").select("doc_id")
+    return store.without(chunks_of(s, d, "chunk_id", "doc_id"), gone, "doc_id")
+
+
+@query("upsert_chunks", "SELECT chunk_id, text FROM (SELECT DISTINCT chunk_id, text FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM search_hits WHERE text IS NOT NULL AND chunk_id IS NOT NULL)) UNION ALL SELECT chunk_id, max(text) FROM search_hits WHERE text IS NOT NULL AND chunk_id IS NOT NULL GROUP BY chunk_id")
+def _(s, d):
+    new = read_table(s, d, "search_hits").where("text IS NOT NULL AND chunk_id IS NOT NULL").groupBy("chunk_id").agg(F.max("text").alias("text"))
+    return store.upserted(chunks_of(s, d, "chunk_id", "text"), new, ["chunk_id"])
+
+
+@query("export_chats", """SELECT conv_id, md5(string_agg('**user:**' || chr(10) || chr(10) || coalesce(query, '') || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**assistant:**' || chr(10) || chr(10) || coalesce(answer, ''),
+  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn, turn_id)) AS md5, count(*) AS turns FROM (SELECT DISTINCT conv_id, turn_id, turn, query, answer FROM chat_turns) GROUP BY conv_id""")
+def _(s, d):
+    t = read_table(s, d, "chat_turns").select("conv_id", "turn_id", "turn", "query", "answer").distinct()
+    n = t.groupBy("conv_id").agg(F.count("*").alias("turns"))
+    return corpus.export_chats(t).join(n, "conv_id").select("conv_id", F.md5("markdown").alias("md5"), "turns")
+
+
+@query("csv_rows")
+def _(s, d):
+    return files.csv_rows(read_table(s, d, "documents").where("source = 'csv'"), "doc_id", "text")
+
+
+# --- text ----------------------------------------------------------------------------------------------------------------------
+
+
+@query("fold_names", f"SELECT DISTINCT id, {FOLD.format('name')} AS folded FROM entities")
+def _(s, d):
+    return read_table(s, d, "entities").select("id", T.fold(F.col("name")).alias("folded")).distinct()
+
+
+@query("canonical_ids", r"SELECT DISTINCT id, regexp_replace(regexp_replace(trim(lower(name)), '\s+', '_', 'g'), '[^\p{L}\p{N}_-]', '', 'g') AS canonical FROM entities")
+def _(s, d):
+    return read_table(s, d, "entities").select("id", T.canonical_id(F.col("name")).alias("canonical")).distinct()
+
+
+@query("note_slugs", f"WITH {NOTES} SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace({FOLD.format('title')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), '-+$', '') AS s FROM n WHERE title IS NOT NULL)")
+def _(s, d):
+    return latest_notes(s, d, "title").where("title IS NOT NULL").select("doc_id", T.slug(F.col("title")).alias("slug"))
+
+
+@query("query_terms", rf"SELECT turn_id, list_aggregate(list_filter(list_distinct(list_filter(regexp_split_to_array(lower(query), '[^\p{{L}}\p{{N}}]+'), lambda t: length(t) >= 3)), lambda t: NOT list_contains({STOPS}, t)), 'count') AS n FROM (SELECT DISTINCT turn_id, query FROM chat_turns WHERE query IS NOT NULL)")
+def _(s, d):
+    return read_table(s, d, "chat_turns").where("query IS NOT NULL").select("turn_id", "query").distinct().select("turn_id", F.size(T.query_terms(F.col("query"))).cast("long").alias("n"))
+
+
+@query("content_hashes", f"WITH {NOTES} SELECT doc_id, 'sha256:' || sha256(coalesce(body, '')) AS hash FROM n")
+def _(s, d):
+    return latest_notes(s, d, "body").select("doc_id", T.content_hash(F.col("body")).alias("hash"))
+
+
+@query("file_types", "SELECT source_path AS path, CASE lower(regexp_extract(source_path, '\\.([^./]+)$', 1)) WHEN 'md' THEN 'md' WHEN 'markdown' THEN 'md' WHEN 'pdf' THEN 'pdf' WHEN 'txt' THEN 'txt' WHEN 'csv' THEN 'csv' END AS type FROM (SELECT DISTINCT source_path FROM notes WHERE source_path IS NOT NULL)")
+def _(s, d):
+    return read_table(s, d, "notes").where("source_path IS NOT NULL").select(F.col("source_path").alias("path")).distinct().withColumn("type", T.file_type(F.col("path")))
+
+
+# --- retrieval ---------------------------------------------------------------------------------------------------------------
+
+TOP = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
+ t AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 12) AS s FROM embeddings, q),
+ r AS (SELECT query_id, vec_id AS chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM t)"""
+
+
+def vectors(s, d):
+    e = read_table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+    return e.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vec"), e
+
+
+@query("vector_topk", f"WITH {TOP} SELECT query_id, chunk_id, round(s, 6) AS score, rank FROM r WHERE rank <= 8")
+def _(s, d):
+    return R.vector_top(*vectors(s, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("vector_topk_floor", f"WITH {TOP} SELECT query_id, chunk_id, rank FROM (SELECT *, max(s) OVER (PARTITION BY query_id) AS m FROM r WHERE rank BETWEEN 2 AND 8) WHERE m >= 0.25")
+def _(s, d):
+    others = R.vector_top(*vectors(s, d)).where("rank > 1")
+    return R.floor_top(others, context.FLOOR).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("lexical_topk", rf"""WITH q AS (SELECT DISTINCT turn_id, query FROM chat_turns WHERE turn_id % 20 = 0 AND query IS NOT NULL),
+ w AS (SELECT turn_id, word, min(i) AS i FROM (SELECT turn_id, unnest(regexp_split_to_array(lower(query), '[^\p{{L}}\p{{N}}]+')) AS word, generate_subscripts(regexp_split_to_array(lower(query), '[^\p{{L}}\p{{N}}]+'), 1) AS i FROM q)
+   WHERE length(word) >= 3 AND NOT list_contains({STOPS}, word) GROUP BY ALL),
+ terms AS (SELECT DISTINCT turn_id, {FOLD.format('word')} AS word FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY i) AS n FROM w) WHERE n <= 8),
+ c AS (SELECT DISTINCT chunk_id, unnest(regexp_split_to_array({FOLD.format('text')}, '[^\p{{L}}\p{{N}}]+')) AS word FROM chunks WHERE text IS NOT NULL),
+ m AS (SELECT turn_id, chunk_id, count(*) AS words FROM c JOIN terms USING (word) GROUP BY ALL)
+ SELECT turn_id AS query_id, chunk_id, words, rank FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY words DESC, chunk_id) AS rank FROM m) WHERE rank <= 8""")
+def _(s, d):
+    q = read_table(s, d, "chat_turns").where("turn_id % 20 = 0 AND query IS NOT NULL").select(F.col("turn_id").alias("query_id"), F.col("query").alias("text")).distinct()
+    return R.lexical_top(q, chunks_of(s, d, "chunk_id", "text")).select("query_id", "chunk_id", "words", F.col("rank").cast("long").alias("rank"))
+
+
+@query("rrf_fuse", f"WITH {HITS} SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)) + sum(1.0 / (60 + hit_rank)), 9) AS fused FROM h WHERE hit_rank IS NOT NULL GROUP BY ALL")
+def _(s, d):
+    h = hits_of(s, d).where("hit_rank IS NOT NULL")
+    both = h.select("query_id", "chunk_id", "rank").unionByName(h.select("query_id", "chunk_id", F.col("hit_rank").alias("rank")))
+    return R.rrf(both).withColumn("fused", F.round("fused", 9))
+
+
+TERMS = ["ledger", "tide", "roof", "sổ", "Plan", "presupuesto"]
+
+
+@query("hybrid_rerank", rf"""WITH {HITS}, w AS (SELECT hit_id, query_id, chunk_id, score, rank, len(list_filter(['ledger', 'tide', 'roof', 'so', 'plan', 'presupuesto'], lambda t: list_contains(regexp_split_to_array({FOLD.format('text')}, '[^\p{{L}}\p{{N}}]+'), t))) AS lex FROM h),
+ x AS (SELECT *, CASE WHEN lex > 0 THEN row_number() OVER (PARTITION BY query_id ORDER BY lex DESC, chunk_id) END AS lr, max(lex) OVER (PARTITION BY query_id) = 0 OR count(*) OVER (PARTITION BY query_id) <= 1 AS same FROM w),
+ f AS (SELECT *, 1.0::DOUBLE / (60 + rank) + coalesce(1.0::DOUBLE / (60 + lr), 0) AS fused FROM x)
+ SELECT hit_id, query_id, lex::BIGINT AS lex, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN same THEN rank END, round(fused, 12) DESC, score DESC, chunk_id, hit_id) AS new_rank FROM f""")
+def _(s, d):
+    out = R.hybrid_rerank(hits_of(s, d), TERMS)
+    return out.select("hit_id", "query_id", F.col("lex").cast("long").alias("lex"), F.col("new_rank").cast("long").alias("new_rank"))
+
+
+@query("relevant_band", f"WITH {HITS}, f AS (SELECT *, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS t FROM h) SELECT hit_id, query_id, score FROM f WHERE t >= 0.45 AND score >= greatest(0.45, t * 0.75)")
+def _(s, d):
+    return R.relevant(hits_of(s, d)).select("hit_id", "query_id", "score")
+
+
+ANCHORS = "a AS (SELECT DISTINCT h.query_id, m.doc_id FROM h JOIN mentions m ON m.chunk_id = h.chunk_id WHERE h.rank = 1 AND m.doc_id IS NOT NULL)"
+
+
+@query("restrict_to_entities", f"WITH {HITS}, {ANCHORS} SELECT hit_id, query_id FROM h WHERE query_id NOT IN (SELECT query_id FROM a) OR score >= 0.6 OR EXISTS (SELECT 1 FROM a WHERE a.query_id = h.query_id AND a.doc_id = h.doc_id)")
+def _(s, d):
+    h = hits_of(s, d)
+    m = read_table(s, d, "mentions").where("doc_id IS NOT NULL").select("chunk_id", F.col("doc_id").alias("to")).distinct()
+    anchors = h.where("rank = 1").select("query_id", "chunk_id").join(m, "chunk_id").select("query_id", F.col("to").alias("doc_id"))
+    return R.restrict_to_anchors(h, anchors).select("hit_id", "query_id")
+
+
+@query("best_per_doc", f"WITH {HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank, chunk_id) AS k FROM h) SELECT query_id, doc_id, chunk_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS nth FROM o WHERE k = 1) WHERE nth <= 5")
+def _(s, d):
+    return R.best_per_doc(hits_of(s, d), 5).select("query_id", "doc_id", "chunk_id", F.col("nth").cast("long").alias("nth"))
+
+
+@query("references", f"WITH {HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank, chunk_id) AS k FROM h) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS number FROM o WHERE k = 1")
+def _(s, d):
+    return R.best_per_doc(hits_of(s, d)).select("query_id", "doc_id", F.col("nth").cast("long").alias("number"))
+
+
+GRAPH = """q AS (SELECT DISTINCT chunk_id AS query_id, embedding::DOUBLE[] AS v FROM chunks WHERE seq % 20 = 0 AND len(embedding) = 96 AND list_sum(list_transform(embedding, lambda x: CASE WHEN isfinite(x) AND x IS NOT NULL THEN 0 ELSE 1 END)) = 0),
+ c AS (SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS v FROM chunks WHERE len(embedding) = 96 AND list_sum(list_transform(embedding, lambda x: CASE WHEN isfinite(x) AND x IS NOT NULL THEN 0 ELSE 1 END)) = 0),
+ t AS (SELECT query_id, chunk_id, round(coalesce(CASE WHEN isnan(list_cosine_similarity(c.v, q.v)) THEN 0 ELSE list_cosine_similarity(c.v, q.v) END, 0), 12) AS s FROM c, q),
+ seeds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM t) WHERE rank <= 8),
+ b AS (SELECT *, s >= max(s) OVER (PARTITION BY query_id) * 0.8 AS a FROM seeds),
+ an AS (SELECT query_id, chunk_id FROM (SELECT *, bool_or(a) OVER (PARTITION BY query_id) AS o FROM b) WHERE a OR NOT o),
+ ed AS (SELECT DISTINCT chunk_id, entity_id FROM mentions WHERE chunk_id IS NOT NULL AND entity_id IS NOT NULL),
+ nm AS (SELECT id AS entity_id, min(name) AS name FROM entities WHERE name IS NOT NULL GROUP BY id),
+ sh AS (SELECT o.query_id, ed.chunk_id, count(DISTINCT nm.name) AS shared FROM (SELECT DISTINCT query_id, entity_id FROM an JOIN ed USING (chunk_id)) o JOIN nm USING (entity_id) JOIN ed USING (entity_id)
+   WHERE (o.query_id, ed.chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM seeds) GROUP BY ALL),
+ ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, chunk_id) AS rank FROM sh) WHERE rank <= 8)"""
+
+
+def chunk_vectors(s, d):
+    v = F.col("embedding")
+    good = (F.size(v) == 96) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    c = read_table(s, d, "chunks").where("embedding IS NOT NULL").where(good).select("chunk_id", "seq", v.alias("vec")).distinct()
+    return c.where("seq % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vec"), c.select("chunk_id", "vec")
+
+
+@query("graph_expand", f"WITH {GRAPH} SELECT query_id, chunk_id, shared AS shared_count, rank FROM ex")
+def _(s, d):
+    seeds = R.vector_top(*chunk_vectors(s, d))
+    out = R.graph_expand(seeds, read_table(s, d, "mentions"), read_table(s, d, "entities"))
+    return out.select("query_id", "chunk_id", F.col("shared_count").cast("long").alias("shared_count"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("graph_retrieve", f"WITH {GRAPH}, f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused FROM (SELECT query_id, chunk_id, rank FROM seeds UNION ALL SELECT query_id, chunk_id, rank FROM ex) GROUP BY ALL) SELECT query_id, chunk_id, fused, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS rank FROM f) WHERE rank <= 8")
+def _(s, d):
+    q, c = chunk_vectors(s, d)
+    return R.graph_retrieve(q, c, read_table(s, d, "mentions"), read_table(s, d, "entities")).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("add_lexical", f"WITH {HITS}, c AS (SELECT query_id, chunk_id, min(rank) AS rank FROM h WHERE rank <= 3 GROUP BY ALL), l AS (SELECT query_id, chunk_id, min(hit_rank) AS hr FROM h WHERE hit_rank IS NOT NULL GROUP BY ALL), x AS (SELECT l.query_id, l.chunk_id, row_number() OVER (PARTITION BY l.query_id ORDER BY l.hr, l.chunk_id) AS k FROM l ANTI JOIN c ON c.query_id = l.query_id AND c.chunk_id = l.chunk_id) SELECT query_id, chunk_id, rank FROM c UNION ALL SELECT x.query_id, x.chunk_id, x.k + coalesce(m.m, 0) FROM x LEFT JOIN (SELECT query_id, max(rank) AS m FROM c GROUP BY 1) m USING (query_id) WHERE x.k <= 4")
+def _(s, d):
+    h = hits_of(s, d)
+    c = h.where("rank <= 3").groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"))
+    lex = h.where("hit_rank IS NOT NULL").groupBy("query_id", "chunk_id").agg(F.min("hit_rank").alias("rank"))
+    return R.add_lexical(c, lex).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("micro_graph", f"WITH {HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS k, greatest(3, least(5, count(*) OVER (PARTITION BY query_id))) AS n FROM h) SELECT query_id, chunk_id, round(score, 2) AS weight FROM r WHERE k <= n")
+def _(s, d):
+    return graph.micro_graph(hits_of(s, d))
+
+
+# --- graph -------------------------------------------------------------------------------------------------------------------
+
+
+@query("entity_index", "SELECT id AS entity_id, min(name) AS name, notes FROM entities JOIN (SELECT entity_id, count(DISTINCT doc_id) AS notes FROM mentions GROUP BY 1) m ON m.entity_id = id GROUP BY id, notes")
+def _(s, d):
+    return graph.entity_index(read_table(s, d, "entities"), read_table(s, d, "mentions"))
+
+
+@query("entity_doc_pairs", "SELECT DISTINCT entity_id, doc_id FROM mentions")
+def _(s, d):
+    return graph.entity_doc_pairs(read_table(s, d, "mentions"))
+
+
+@query("neighbours", f"WITH {EDGES} SELECT src AS entity_id, id, min(name) AS name, min(type) AS type FROM e JOIN entities ON id = dst GROUP BY src, id")
+def _(s, d):
+    return graph.neighbours(read_table(s, d, "relations"), read_table(s, d, "entities")).select("entity_id", "id", "name", "type")
+
+
+REACH = """b AS (SELECT DISTINCT src AS start, dst AS node, 1 AS hop FROM e UNION ALL SELECT DISTINCT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src WHERE b.dst <> a.src),
+ m AS (SELECT start, node, min(hop) AS hop FROM b GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hop, node) AS n FROM m)"""
+
+
+def starts(s, d):
+    r = read_table(s, d, "relations")
+    return r.select(F.col("source_id").alias("start")).union(r.select("target_id")).where("start IS NOT NULL").distinct()
+
+
+@query("two_hops", f"WITH {EDGES}, {REACH} SELECT start, node, hop FROM k WHERE n <= 50")
+def _(s, d):
+    return graph.reach(starts(s, d), read_table(s, d, "relations"))
+
+
+@query("entity_graph", f"WITH {EDGES}, {REACH}, v AS (SELECT start, node FROM k WHERE n <= 24 UNION SELECT DISTINCT src, src FROM e UNION SELECT DISTINCT x, x FROM (SELECT source_id AS x FROM relations UNION SELECT target_id FROM relations) WHERE x IS NOT NULL), r AS (SELECT DISTINCT source_id, target_id FROM relations WHERE source_id IS NOT NULL AND target_id IS NOT NULL) SELECT v.start, r.source_id, r.target_id FROM r JOIN v ON v.node = r.source_id JOIN v w ON w.node = r.target_id AND w.start = v.start")
+def _(s, d):
+    return graph.entity_graph(starts(s, d), read_table(s, d, "relations"))
+
+
+@query("relations_among", "SELECT DISTINCT source_id, target_id, type FROM relations WHERE source_id IN (SELECT id FROM entities WHERE type = 'person') AND target_id IN (SELECT id FROM entities WHERE type = 'person')")
+def _(s, d):
+    return graph.relations_among(read_table(s, d, "entities").where("type = 'person'").select("id").distinct(), read_table(s, d, "relations"))
+
+
+@query("expand_by_entities", f"WITH {HITS}, sd AS (SELECT DISTINCT query_id, chunk_id FROM h WHERE rank <= 3), o AS (SELECT DISTINCT query_id, entity_id FROM sd JOIN mentions USING (chunk_id) WHERE entity_id IS NOT NULL) SELECT query_id, chunk_id, count(*) AS edges FROM o JOIN mentions USING (entity_id) WHERE chunk_id IS NOT NULL AND (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM sd) GROUP BY ALL")
+def _(s, d):
+    seeds = hits_of(s, d).where("rank <= 3").select("query_id", "chunk_id").distinct()
+    return graph.expand_by_entities(seeds, read_table(s, d, "mentions"))
+
+
+@query("ring_layout")
+def _(s, d):
+    return graph.ring_layout(graph.reach(starts(s, d), read_table(s, d, "relations"), most=graph.VIEW_NODES))
+
+
+@query("scan_mentions", "WITH p AS (SELECT DISTINCT doc_id, entity_id FROM mentions), s AS (SELECT DISTINCT p.doc_id, p.entity_id, lower(e.name) AS s FROM p JOIN entities e ON e.id = p.entity_id WHERE trim(e.name) <> ''), c AS (SELECT DISTINCT chunk_id, doc_id, lower(text) AS t FROM chunks WHERE text IS NOT NULL) SELECT DISTINCT c.chunk_id, c.doc_id, s.entity_id FROM c JOIN s USING (doc_id) WHERE contains(c.t, s.s)")
+def _(s, d):
+    names = read_table(s, d, "entities").where("name IS NOT NULL").select("id", F.array("name").alias("aliases")).distinct()
+    of = read_table(s, d, "mentions").select("doc_id", F.col("entity_id").alias("id")).distinct().join(names, "id")
+    return graph.scan_mentions(of, chunks_of(s, d, "chunk_id", "doc_id", "text"))
+
+
+@query("heuristic_entities")
+def _(s, d):
+    return graph.extract(latest_notes(s, d, "body"))
+
+
+@query("resolved_entities")
+def _(s, d):
+    return graph.resolve(graph.extract(latest_notes(s, d, "body")))[0]
+
+
+@query("resolved_relations")
+def _(s, d):
+    return graph.resolve(graph.extract(latest_notes(s, d, "body")))[1]
+
+
+@query("changed_docs", f"WITH {NOTES}, o AS (SELECT doc_id, 'sha256:' || sha256(coalesce(text, '')) AS old FROM (SELECT doc_id, min(text) AS text FROM chunks GROUP BY 1)) SELECT n.doc_id, 'sha256:' || sha256(coalesce(n.body, '')) AS hash FROM n LEFT JOIN o USING (doc_id) WHERE old IS DISTINCT FROM 'sha256:' || sha256(coalesce(n.body, ''))")
+def _(s, d):
+    meta = read_table(s, d, "chunks").groupBy("doc_id").agg(F.min("text").alias("t")).select("doc_id", F.concat(F.lit("h:"), T.content_hash(F.col("t"))).alias("hash"))
+    return graph.changed_docs(latest_notes(s, d, "body"), meta).select("doc_id", "hash")
+
+
+# --- corpus ------------------------------------------------------------------------------------------------------------------
+
+
+TAGS = rf"""g AS (SELECT DISTINCT doc_id, tag FROM (
+  SELECT doc_id, lower(regexp_replace(trim(unnest(regexp_split_to_array(coalesce(element_at(frontmatter, 'tags')[1], ''), '[,\s]+'))), '^#', '')) AS tag FROM n
+  UNION ALL SELECT doc_id, lower(unnest(regexp_extract_all(coalesce(body, ''), '(?m)(?:^|\s)#([\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_/-]*)', 1))) FROM n) WHERE tag <> '')"""
+
+
+def tagged(s, d):
+    n = read_table(s, d, "notes").where("doc_id IS NOT NULL")
+    newest = n.groupBy("doc_id").agg(F.max("loaded_at").alias("loaded_at"))
+    return n.join(newest, ["doc_id", "loaded_at"]).select("doc_id", "body", "frontmatter").dropDuplicates(["doc_id"])
+
+
+@query("tag_index", f"WITH {NOTES}, {TAGS} SELECT tag, count(*) AS notes FROM g GROUP BY tag")
+def _(s, d):
+    return corpus.tag_index(tagged(s, d))
+
+
+@query("folders", "SELECT folder, count(*) AS notes FROM (SELECT DISTINCT doc_id, array_to_string(list_slice(p, 1, i), '/') AS folder FROM (SELECT doc_id, string_split(doc_id, '/') AS p, unnest(range(1, len(string_split(doc_id, '/')))) AS i FROM (SELECT DISTINCT doc_id FROM notes))) GROUP BY folder")
+def _(s, d):
+    return corpus.folders(read_table(s, d, "notes"))
+
+
+@query("file_tree")
+def _(s, d):
+    return corpus.file_tree(read_table(s, d, "notes"))
+
+
+@query("scope_folder", f"WITH {NOTES} SELECT doc_id FROM n WHERE starts_with(doc_id, 'daily/')")
+def _(s, d):
+    return read_table(s, d, "notes").select("doc_id").distinct().where(F.startswith("doc_id", F.lit("daily/")))
+
+
+SURFACES = "u AS (SELECT surface, min(doc_id) AS doc_id FROM (SELECT doc_id, lower(trim(title)) AS surface FROM n UNION ALL SELECT doc_id, lower(trim(unnest(aliases))) FROM n) WHERE surface <> '' GROUP BY 1)"
+
+
+@query("title_index", f"WITH {NOTES}, {SURFACES} SELECT surface, doc_id FROM u")
+def _(s, d):
+    return corpus.title_index(latest_notes(s, d, "title", "aliases"))
+
+
+@query("backlinks", rf"WITH {NOTES}, {SURFACES}, l AS (SELECT doc_id, lower(trim(unnest(regexp_extract_all(coalesce(body, ''), '\[\[([^\[\]|#\n]+)(?:#[^\[\]|\n]*)?(?:\|[^\[\]\n]*)?\]\]', 1)))) AS surface FROM n) SELECT u.doc_id AS target, l.doc_id AS source, count(*) AS links FROM l JOIN u USING (surface) WHERE l.doc_id <> u.doc_id GROUP BY ALL")
+def _(s, d):
+    return corpus.backlinks(latest_notes(s, d, "body"), corpus.title_index(latest_notes(s, d, "title", "aliases")))
+
+
+@query("quick_switch")
+def _(s, d):
+    return corpus.quick_switch(latest_notes(s, d, "title"), "roof")
+
+
+@query("note_paths", f"WITH {NOTES}, s AS (SELECT doc_id, 'notes/' || CASE WHEN s = '' THEN 'untitled' ELSE s END AS stem FROM (SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace({FOLD.format('title')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), '-+$', '') AS s FROM n WHERE title IS NOT NULL)), r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY doc_id) AS i FROM s) SELECT doc_id, CASE WHEN i = 1 THEN stem ELSE stem || '-' || i END || '.md' AS path FROM r")
+def _(s, d):
+    wanted = latest_notes(s, d, "title").where("title IS NOT NULL").select("doc_id", F.concat(F.lit("notes/"), T.slug(F.col("title")), F.lit(".md")).alias("path"))
+    return corpus.first_free(wanted, s.createDataFrame([], "path string"))
+
+
+@query("edit_conflict", "SELECT hit_id, CASE WHEN m IS NOT DISTINCT FROM t OR (m IS NOT DISTINCT FROM b AND t IS NOT DISTINCT FROM b) THEN 'noop' WHEN m IS DISTINCT FROM b AND t IS NOT DISTINCT FROM b THEN 'save' WHEN m IS NOT DISTINCT FROM b THEN 'reload' ELSE 'conflict' END AS decision FROM (SELECT DISTINCT h.hit_id, h.text AS m, c.text AS t, f.text AS b FROM search_hits h JOIN (SELECT chunk_id, max(text) AS text FROM chunks GROUP BY 1) c USING (chunk_id) JOIN (SELECT chunk_id, min(text) AS text FROM search_hits GROUP BY 1) f USING (chunk_id))")
+def _(s, d):
+    h = read_table(s, d, "search_hits")
+    theirs = read_table(s, d, "chunks").groupBy("chunk_id").agg(F.max("text").alias("theirs"))
+    base = h.groupBy("chunk_id").agg(F.min("text").alias("base"))
+    rows = h.select("hit_id", "chunk_id", F.col("text").alias("mine")).distinct().join(theirs, "chunk_id").join(base, "chunk_id")
+    return corpus.edit_conflict(rows.select("hit_id", "mine", "theirs", "base").distinct()).select("hit_id", "decision")
+
+
+# --- context -----------------------------------------------------------------------------------------------------------------
+
+
+@query("compile_xml", """WITH c AS (SELECT doc_id, seq, min('    <chunk seq="' || seq || '"' || CASE WHEN page IS NULL THEN '' ELSE ' page="' || page || '"' END || '>' || replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</chunk>') AS line FROM chunks WHERE doc_id IS NOT NULL AND seq IS NOT NULL GROUP BY ALL)
+ SELECT doc_id, md5('<context generated_by="notemesh" version="2.0">' || chr(10) || '  <source path="' || replace(replace(replace(replace(doc_id, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '">' || chr(10) || string_agg(line, chr(10) ORDER BY seq) || chr(10) || '  </source>' || chr(10) || '</context>') AS md5 FROM c GROUP BY doc_id""")
+def _(s, d):
+    return context.compile_xml(read_table(s, d, "chunks")).select("doc_id", F.md5("xml").alias("md5"))
+
+
+PREVIEW = "p AS (SELECT doc_id, 'pii: email' AS label, regexp_extract_all(coalesce(body, ''), '[\\w.+-]+@[\\w-]+\\.[\\w.-]+') AS m FROM n UNION ALL SELECT doc_id, 'pii: ssn', regexp_extract_all(coalesce(body, ''), '\\b\\d{3}-\\d{2}-\\d{4}\\b') FROM n UNION ALL SELECT doc_id, 'pii: ip', regexp_extract_all(coalesce(body, ''), '\\b\\d{1,3}(?:\\.\\d{1,3}){3}\\b') FROM n)"
+KINDS = ["email", "ssn", "ip"]
+
+
+@query("redaction_preview", f"WITH {NOTES}, {PREVIEW} SELECT doc_id, label, len(m) AS matches, array_to_string(list_sort(list_distinct(m)), ' ') AS found FROM p WHERE len(m) > 0")
+def _(s, d):
+    p = context.redaction_preview(latest_notes(s, d, "body"), "doc_id", "body", KINDS)
+    return p.select("doc_id", "label", F.col("matches").cast("long").alias("matches"), F.array_join("found", " ").alias("found"))
+
+
+@query("redaction_summary", f"WITH {NOTES}, {PREVIEW} SELECT label, sum(len(m))::BIGINT AS matches FROM p WHERE len(m) > 0 GROUP BY label")
+def _(s, d):
+    return context.redaction_summary(context.redaction_preview(latest_notes(s, d, "body"), "doc_id", "body", KINDS))
+
+
+@query("redact_pii", f"WITH {NOTES} SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(body, '[\\w.+-]+@[\\w-]+\\.[\\w.-]+', '[REDACTED]', 'g'), '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b', '[REDACTED]', 'g'), '\\b\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}\\b', '[REDACTED]', 'g')) AS md5 FROM n")
+def _(s, d):
+    return latest_notes(s, d, "body").select("doc_id", F.md5(T.redact(F.col("body"), KINDS)).alias("md5"))
+
+
+TOKENS = r"len(list_filter(regexp_split_to_array(coalesce({0}, ''), '[\s\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}\x{{000B}}]+'), lambda t: t <> ''))"
+
+
+@query("token_counts", f"SELECT doc_id, {TOKENS.format('text')} AS tokens FROM documents")
+def _(s, d):
+    return read_table(s, d, "documents").select("doc_id", T.token_count(F.col("text")).cast("long").alias("tokens"))
+
+
+@query("cost_report", f"SELECT doc_id, model_id, tokens, tokens <= window_tokens AS fits, round(tokens / window_tokens, 3) AS utilization FROM (SELECT doc_id, {TOKENS.format('text')} AS tokens FROM documents), model_windows")
+def _(s, d):
+    docs = read_table(s, d, "documents").select("doc_id", T.token_count(F.col("text")).cast("long").alias("tokens"))
+    return context.cost_report(docs, read_table(s, d, "model_windows"))
+
+
+@query("citations", r"SELECT turn_id, row_number() OVER (PARTITION BY turn_id ORDER BY i, j) AS nth, ref FROM (SELECT turn_id, i, unnest(string_split(regexp_replace(m, '[#\s]', '', 'g'), ','))::INT AS ref, generate_subscripts(string_split(m, ','), 1) AS j FROM (SELECT turn_id, unnest(x) AS m, generate_subscripts(x, 1) AS i FROM (SELECT DISTINCT turn_id, regexp_extract_all(coalesce(answer, ''), '\[#?(\d+(?:\s*,\s*#?\d+)*)\]', 1) AS x FROM chat_turns)))")
+def _(s, d):
+    return context.citations(read_table(s, d, "chat_turns").select("turn_id", "answer").distinct()).withColumn("nth", F.col("nth").cast("long"))
+
+
+@query("selection_scores", f"WITH {HITS}, s AS (SELECT DISTINCT query_id, doc_id FROM h WHERE rank <= 4), g AS (SELECT DISTINCT query_id, doc_id FROM h WHERE score >= 0.7), n AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(ns, 0) AS ns, coalesce(ng, 0) AS ng FROM (SELECT query_id, count(*) AS ns FROM s GROUP BY 1) a FULL JOIN (SELECT query_id, count(*) AS ng FROM g GROUP BY 1) b ON a.query_id = b.query_id), b AS (SELECT s.query_id, count(*) AS c FROM s JOIN g ON g.query_id = s.query_id AND g.doc_id IS NOT DISTINCT FROM s.doc_id GROUP BY 1) SELECT query_id, round(CASE WHEN ng = 0 THEN 1 ELSE coalesce(c, 0) / ng END, 6) AS recall, round(CASE WHEN ns = 0 THEN 0 ELSE coalesce(c, 0) / ns END, 6) AS precision FROM n LEFT JOIN b USING (query_id)")
+def _(s, d):
+    h = hits_of(s, d)
+    out = context.scores(h.where("rank <= 4"), h.where("score >= 0.7"))
+    return out.select("query_id", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
+
+
+@query("select_context")
+def _(s, d):
+    h = hits_of(s, d).dropDuplicates(["query_id", "chunk_id"])
+    c = h.select("query_id", "chunk_id", "doc_id", F.regexp_extract("chunk_id", "#([0-9]+)$", 1).cast("int").alias("seq"), "text", "score", F.lit(False).alias("graph_connected"), F.lit(0).alias("shared_count"), F.lit(False).alias("pinned"), T.token_count(F.col("text")).alias("tokens"))
+    return context.select_context(c, budget=300)
+
+
+# --- chunking ----------------------------------------------------------------------------------------------------------------
+
+
+@query("chunk_notes")
+def _(s, d):
+    return chunking.chunk_notes(latest_notes(s, d, "body"))
+
+
+@query("sections")
+def _(s, d):
+    return chunking.section_of(chunks_of(s, d, "chunk_id", "doc_id", "char_start"), chunking.headings(latest_notes(s, d, "body")))
+
+
+@query("embed_chunks")
+def _(s, d):
+    return chunking.embed(chunks_of(s, d, "chunk_id", "text").where("text IS NOT NULL"))
