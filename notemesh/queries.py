@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemesh.functions import text as T
-from notemesh.operators import chunking, context, corpus, graph
+from notemesh.operators import chunking, context, corpus, graph, links, prompting
 from notemesh.operators import retrieval as R
 from notemesh.plans.registry import Registry
 from notemesh.sources import files, once, read_table, store
@@ -487,3 +487,36 @@ def _(s, d):
 @query("embed_chunks")
 def _(s, d):
     return chunking.embed(chunks_of(s, d, "chunk_id", "text").where("text IS NOT NULL"))
+
+
+# --- links and prompts -------------------------------------------------------------------------------------------------------
+
+
+@query("woven_links")
+def _(s, d):
+    return links.woven_links(latest_notes(s, d, "body"), corpus.title_index(latest_notes(s, d, "title", "aliases")))
+
+
+@query("unlinked_mentions")
+def _(s, d):
+    return links.unlinked_mentions(latest_notes(s, d, "body"), corpus.title_index(latest_notes(s, d, "title", "aliases")))
+
+
+@query("assemble_prompts")
+def _(s, d):
+    h = read_table(s, d, "search_hits").select("hit_id", "page").groupBy("hit_id").agg(F.max("page").alias("page"))
+    questions = hits_of(s, d).select("query_id").distinct().withColumn("question", F.concat(F.lit("What do the notes say? "), F.col("query_id")))
+    return prompting.assemble_prompts(hits_of(s, d).join(h, "hit_id"), questions, budget=200)
+
+
+@query("normalized_markers", r"SELECT DISTINCT turn_id, md5(regexp_replace(answer, '\[[^\]\d#]*#\s*(\d+)\s*\]', '[#\1]', 'g')) AS md5 FROM chat_turns")
+def _(s, d):
+    return read_table(s, d, "chat_turns").select("turn_id", F.md5(prompting.normalize_markers(F.col("answer"))).alias("md5")).distinct()
+
+
+@query("shared_orders", "WITH m AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), q AS (SELECT l_orderkey AS query_id, l_partkey FROM m WHERE l_orderkey % 20 = 0) SELECT q.query_id, m.l_orderkey AS other, count(*) AS shared FROM q JOIN m USING (l_partkey) WHERE m.l_orderkey <> q.query_id GROUP BY ALL HAVING count(*) >= 2")
+def _(s, d):
+    """The expansion on a large bipartite graph: orders that share two parts or more with a queried order."""
+    m = read_table(s, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_partkey").alias("entity_id")).distinct()
+    seeds = m.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "chunk_id").distinct()
+    return graph.expand_by_entities(seeds, m).where("edges >= 2").select("query_id", F.col("chunk_id").alias("other"), F.col("edges").alias("shared"))
