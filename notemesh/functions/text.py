@@ -103,7 +103,7 @@ def is_under(path: Column, folder: Column) -> Column:
 def wikilink_targets(body: Column) -> Column:
     """Targets of [[target#heading|display]] links, trimmed, in order."""
     raw = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"\[\[([^\[\]|#\n]+)(?:#[^\[\]|\n]*)?(?:\|[^\[\]\n]*)?\]\]"), F.lit(1))
-    return F.filter(F.transform(raw, F.trim), lambda t: t != "")
+    return F.filter(F.transform(raw, lambda t: F.trim(t)), lambda t: t != "")
 
 
 def xml_text(c: Column) -> Column:

@@ -50,8 +50,8 @@ def _block_top(k: int):
             s = (q[at : at + 256] @ d.T).round(12)
             best = np.argsort(-s, axis=1, kind="stable")[:, :k]
             n = best.shape[1]
-            out.append(pd.DataFrame({"query_id": np.repeat(queries["query_id"].to_numpy()[at : at + 256], n), "chunk_id": ids[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()}))
-        return pd.concat(out)
+            out.append((np.repeat(queries["query_id"].to_numpy()[at : at + 256], n), ids[best.ravel()], np.take_along_axis(s, best, 1).ravel()))
+        return pd.DataFrame(dict(zip(("query_id", "chunk_id", "score"), map(np.concatenate, zip(*out)))))
 
     return work
 
