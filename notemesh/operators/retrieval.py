@@ -37,7 +37,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def _block_top(k: int):
     def work(key, queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "chunk_id": [], "score": []}).astype({"score": "float64"})
+        empty = pd.DataFrame({"query_id": np.empty(0, object), "chunk_id": np.empty(0, object), "score": np.empty(0)})
         if not len(queries) or not len(data):
             return empty
         data = data.sort_values("chunk_id", kind="stable")
