@@ -162,7 +162,7 @@ def search(pdf: pd.DataFrame, k: int, dim: int) -> pd.DataFrame:
     role, key, vh = pdf["role"].to_numpy(), pdf["key"].to_numpy(), pdf["vh"].to_numpy(np.int64)
     data, asks = np.flatnonzero(role & ROLE_DATA), np.flatnonzero(role & ROLE_ASK)
     if not len(data):
-        return pd.DataFrame({"vh": np.empty(0, np.int64), "key": [], "cos": np.empty(0)})
+        return pd.DataFrame({"vh": np.empty(0, np.int64), "key": np.empty(0, object), "cos": np.empty(0)})
     data = data[np.argsort(key[data], kind="stable")]  # so that a stable sort by cosine leaves ties by key
     found: list[tuple[np.ndarray, np.ndarray]] = []
     step = max(1, (1 << 22) // len(data))

@@ -295,7 +295,7 @@ def items(rows: DataFrame, given: frozenset[str]) -> DataFrame:
 def masked(rows: DataFrame, given: frozenset[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[["src", "rec_key"]].assign(text=[redact(t, given) for t in pdf["text"]])
+            yield pdf[["src", "rec_key"]].assign(text=pd.Series([redact(t, given) for t in pdf["text"]], index=pdf.index, dtype=object))
 
     return rows.mapInPandas(run, "src string, rec_key string, text string")
 

@@ -135,7 +135,7 @@ def classify(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             kinds = [kind_of(t) for t in pdf["t"]]
-            yield pd.DataFrame({"k": pdf["k"], "kind": kinds})[[k is not None for k in kinds]]
+            yield pd.DataFrame({"k": pdf["k"], "kind": pd.Series(kinds, index=pdf.index, dtype=object)}).dropna(subset=["kind"])
 
     kind = docs.schema[key].dataType.simpleString()
     got = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, kind string")

@@ -52,8 +52,8 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = load_tokenizer(path)
         for pdf in batches:
-            pdf["ids"] = [e.ids for e in tok.encode_batch(pdf["word"].tolist(), add_special_tokens=False)]
-            yield pdf
+            ids = [e.ids for e in tok.encode_batch(pdf["word"].tolist(), add_special_tokens=False)]
+            yield pdf.assign(ids=pd.Series(ids, index=pdf.index, dtype=object))
 
     return words.mapInPandas(run, "word string, n long, ids array<int>")
 
