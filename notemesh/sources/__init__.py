@@ -1 +1 @@
-from notemesh.sources.tables import once, read_table, table_path  # noqa: F401
+from notemesh.sources.tables import hashed_sample, once, read_table, table_path  # noqa: F401

@@ -31,3 +31,15 @@ def once(df: DataFrame, keys: Sequence[str], cols: Sequence[str], newest: str |
     picked = kept.groupBy(*keys).agg(F.max(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])).alias("_row"))
     skip = 1 if newest else 0
     return picked.select(*keys, *[F.col(f"_row.c{i + skip}").alias(c) for i, c in enumerate(cols)])
+
+
+def hashed_sample(df: DataFrame, keys: Sequence[str], rows: int, total: int) -> DataFrame:
+    """About `rows` of a table's `total` rows, at most twice as many: those whose key has a small hash.
+
+    The choice doesn't depend on partitions or order, and each task keeps its
+    share only, so what reaches the driver is bounded at any size of the table.
+    """
+    if total <= rows:
+        return df
+    bound = int(rows / total * (1 << 40))
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < bound).limit(2 * rows)
