@@ -1,7 +1,7 @@
 """Problem 6: the k most similar vectors of every vector, by collision counting.
 
-Index: a coarse partition, fitted by k-means on FIT_ROWS vectors (those with the
-smallest hash of their key, whatever the size of the table), puts every vector
+Index: a coarse partition, fitted by k-means on about FIT_ROWS vectors (those with
+a small hash of their key, whatever the size of the table), puts every vector
 into the cell of its nearest centroid. A vector asks its own cell and each cell
 whose centroid is nearly as similar as the best one (PROBE_MARGIN).
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from notemesh.plans import materialize
 from notemesh.plans.registry import Registry
-from notemesh.sources import read_table
+from notemesh.sources import hashed_sample, read_table
 
 FIT_ROWS = 20_000
 CELL_ROWS = 650
@@ -61,7 +61,7 @@ def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
 
 def fit_cells(vectors: DataFrame, n: int, rounds: int = 8) -> np.ndarray:
     """Centroids of length one, as rows; n/CELL_ROWS of them, between 1 and MAX_CELLS."""
-    rows = vectors.select("key", "vec").orderBy(F.xxhash64("key"), "key").limit(FIT_ROWS).toPandas()
+    rows = hashed_sample(vectors.select("key", "vec"), ["key"], FIT_ROWS, n).toPandas().sort_values("key")
     x = np.stack(rows["vec"].to_numpy()).astype(np.float32)
     x /= np.linalg.norm(x.astype(np.float64), axis=1)[:, None].astype(np.float32)
     k = int(max(1, min(MAX_CELLS, n // CELL_ROWS, len(x))))
