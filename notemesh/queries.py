@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notemesh.functions import markdown
 from notemesh.functions import text as T
-from notemesh.operators import chunking, context, corpus, graph, links, prompting
+from notemesh.operators import chunking, context, corpus, graph, lifecycle, links, prompting
 from notemesh.operators import retrieval as R
 from notemesh.plans.registry import Registry
 from notemesh.sources import files, once, read_table, store
@@ -520,3 +521,46 @@ def _(s, d):
     m = read_table(s, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_partkey").alias("entity_id")).distinct()
     seeds = m.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "chunk_id").distinct()
     return graph.expand_by_entities(seeds, m).where("edges >= 2").select("query_id", F.col("chunk_id").alias("other"), F.col("edges").alias("shared"))
+
+
+# --- life of notes -----------------------------------------------------------------------------------------------------------
+
+
+@query("entity_patterns", "SELECT DISTINCT id AS entity_id, 'entity: ' || name AS label, s AS surface FROM (SELECT id, name, trim(name) AS s FROM entities UNION ALL SELECT id, name, trim(unnest(aliases)) FROM entities) WHERE s <> '' AND name IS NOT NULL")
+def _(s, d):
+    return lifecycle.entity_patterns(read_table(s, d, "entities").where("name IS NOT NULL")).select("entity_id", "label", "surface").distinct()
+
+
+@query("moved_folder", f"WITH {NOTES}, w AS (SELECT doc_id, 'old/' || substring(doc_id, 7) AS path FROM n WHERE starts_with(doc_id, 'daily/')) SELECT doc_id, path FROM w")
+def _(s, d):
+    return lifecycle.moved(read_table(s, d, "notes").where("doc_id IS NOT NULL").select("doc_id").distinct(), "daily", "old")
+
+
+@query("model_profiles", "SELECT model_id AS model, model_id, window_tokens FROM model_windows")
+def _(s, d):
+    m = read_table(s, d, "model_windows")
+    return lifecycle.model_profiles(m, m.select(F.col("model_id").alias("model")))
+
+
+@query("daily_notes", "SELECT DISTINCT 'notes/' || strftime(saved_at AT TIME ZONE 'UTC', '%Y-%m-%d') || '.md' AS path FROM notes WHERE saved_at IS NOT NULL")
+def _(s, d):
+    return read_table(s, d, "notes").where("saved_at IS NOT NULL").select(lifecycle.daily_path(F.col("saved_at")).alias("path")).distinct()
+
+
+@query("rendered_notes")
+def _(s, d):
+    return latest_notes(s, d, "body").select("doc_id", markdown.to_html(F.col("body")).alias("html"))
+
+
+@query("renamed_links", r"WITH " + NOTES + r" SELECT doc_id, md5(regexp_replace(body, '(?i)\[\[\s*Tin Lantern\s*(#[^\[\]|\n]*)?(\|[^\[\]\n]*)?\]\]', '[[Tin Lamp\1\2]]', 'g')) AS md5 FROM n WHERE regexp_matches(body, '(?i)\[\[\s*Tin Lantern\s*(#[^\[\]|\n]*)?(\|[^\[\]\n]*)?\]\]')")
+def _(s, d):
+    return lifecycle.renamed_links(latest_notes(s, d, "body"), "Tin Lantern", "Tin Lamp").select("doc_id", F.md5("body").alias("md5"))
+
+
+@query("conversation_history", "SELECT conv_id, turn_id, count(*) OVER (PARTITION BY conv_id ORDER BY turn, turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM (SELECT DISTINCT conv_id, turn_id, turn FROM chat_turns)")
+def _(s, d):
+    from pyspark.sql import Window
+
+    t = read_table(s, d, "chat_turns").select("conv_id", "turn_id", "turn").distinct()
+    before = Window.partitionBy("conv_id").orderBy("turn", "turn_id").rowsBetween(Window.unboundedPreceding, -1)
+    return t.select("conv_id", "turn_id", F.count("*").over(before).alias("earlier"))

@@ -245,3 +245,24 @@ def test_once_and_skew(spark):
     words = spark.createDataFrame([("hot", 1), ("cold", 2)], "w string, id int")
     hot = words.where("w = 'hot'").select("w")
     assert dictionary_join(facts, words, "w", 1 << 40, hot).count() == 30 and dictionary_join(facts, words, "w", 10).count() == 30
+
+
+def test_lifecycle(spark):
+    from notemesh.functions import markdown
+    from notemesh.operators import lifecycle
+
+    drafts = spark.createDataFrame([("1", "a/", "Roof!", "x"), ("2", "a", "roof", None), ("3", None, " ", "y"), ("4", None, "Roof", "z")], "draft_id string, folder string, title string, body string")
+    got = {r.doc_id for r in lifecycle.created(drafts, spark.createDataFrame([("notes/roof.md",)], "path string"), "2025-01-01").collect()}
+    assert got == {"a/roof.md", "a/roof-2.md", "notes/roof-2.md"}
+    notes = spark.createDataFrame([("a/x.md", "[[Old t#h|d]] [[Older]]"), ("b/x.md", None), ("ab/y.md", "")], "doc_id string, body string")
+    assert {tuple(r) for r in lifecycle.moved(notes, "a", "b").collect()} == {("a/x.md", "b/x-2.md")}
+    assert [tuple(r) for r in lifecycle.renamed_links(notes, "old T", "New$").collect()] == [("a/x.md", "[[New$#h|d]] [[Older]]")]
+    e = spark.createDataFrame([("x", "Acme (UK)", ["Acme", None])], "id string, name string, aliases array<string>")
+    p = {r.surface: r.pattern for r in lifecycle.entity_patterns(e).collect()}
+    assert set(p) == {"Acme (UK)", "Acme"}
+    assert spark.createDataFrame([("Acme Acmeé",)], "t string").select(F.regexp_count("t", F.lit(p["Acme"])).alias("n")).first()["n"] == 1
+    m = spark.createDataFrame([("big-2", 10), ("big", 5)], "model_id string, window_tokens int")
+    want = spark.createDataFrame([("BIG-2-2025",), ("big",), ("none",)], "model string")
+    assert {r.model: r.window_tokens for r in lifecycle.model_profiles(m, want).collect()} == {"BIG-2-2025": 10, "big": 5, "none": None}
+    assert markdown.render("# A\n- x **b**\n\n<script> [l](javascript:x)") == "<h1>A</h1>\n<ul><li>x <strong>b</strong></li></ul>\n<p>&lt;script&gt; l</p>"
+    assert markdown.render(None) is None
