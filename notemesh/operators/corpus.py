@@ -79,6 +79,15 @@ def quick_switch(notes: DataFrame, query: str, most: int = 10) -> DataFrame:
     return got.orderBy(F.desc("score"), F.length("title"), "title", "doc_id").limit(most)
 
 
+def rank_titles(index: DataFrame, typed: str, most: int = 8) -> DataFrame:
+    """(doc_id, surface, score): notes whose title or alias begins with (2) or holds (1) what is typed, the best surface of each."""
+    t = typed.strip().lower()
+    hit = index.where(F.contains("surface", F.lit(t))).withColumn("score", F.when(F.startswith("surface", F.lit(t)), 2).otherwise(1))
+    best = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.length("surface"), "surface")
+    one = hit.withColumn("_k", F.row_number().over(best)).where("_k = 1")
+    return one.select("doc_id", "surface", "score").orderBy(F.desc("score"), F.length("surface"), "surface", "doc_id").limit(most)
+
+
 def first_free(paths: DataFrame, taken: DataFrame) -> DataFrame:
     """(doc_id, path): wanted paths (doc_id, path) made unique with -2, -3, … against each other and `taken` (path)."""
     order = Window.partitionBy("path").orderBy("doc_id")

@@ -367,7 +367,7 @@ def _(s, d):
     return corpus.folders(read_table(s, d, "notes"))
 
 
-@query("file_tree")
+@query("file_tree", "WITH f AS (SELECT DISTINCT doc_id AS path FROM notes), d AS (SELECT DISTINCT array_to_string(list_slice(p, 1, i), '/') AS path FROM (SELECT string_split(path, '/') AS p, unnest(range(1, len(string_split(path, '/')))) AS i FROM f)) SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent, kind, regexp_extract(path, '([^/]*)$', 1) AS name FROM (SELECT path, 'file' AS kind FROM f UNION ALL SELECT path, 'folder' FROM d)")
 def _(s, d):
     return corpus.file_tree(read_table(s, d, "notes"))
 
@@ -390,6 +390,11 @@ def _(s, d):
     return corpus.backlinks(latest_notes(s, d, "body"), corpus.title_index(latest_notes(s, d, "title", "aliases")))
 
 
+@query("rank_titles", f"WITH {NOTES}, {SURFACES}, h AS (SELECT doc_id, surface, CASE WHEN starts_with(surface, 'the r') THEN 2 ELSE 1 END AS score FROM u WHERE contains(surface, 'the r')), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(surface), surface) AS k FROM h) SELECT doc_id, surface, score FROM o WHERE k = 1 ORDER BY score DESC, length(surface), surface, doc_id LIMIT 8")
+def _(s, d):
+    return corpus.rank_titles(corpus.title_index(latest_notes(s, d, "title", "aliases")), "the r")
+
+
 @query("quick_switch")
 def _(s, d):
     return corpus.quick_switch(latest_notes(s, d, "title"), "roof")
