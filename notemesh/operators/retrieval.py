@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notemesh.functions import text as T
+from notemesh.plans import materialize
 
 # Constants that define results.
 RRF_K, ANCHOR_BAND, ABSOLUTE, RELATIVE, STRONG = 60, 0.8, 0.45, 0.75, 0.6
@@ -48,9 +49,13 @@ def _block_top(k: int):
         out = []
         for at in range(0, len(q), 256):
             s = (q[at : at + 256] @ d.T).round(12)
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            n = best.shape[1]
-            out.append((np.repeat(queries["query_id"].to_numpy()[at : at + 256], n), ids[best.ravel()], np.take_along_axis(s, best, 1).ravel()))
+            least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else s.min(axis=1)
+            row, col = np.nonzero(s >= least[:, None])  # the k best and those tied with the last
+            order = np.lexsort((col, -s[row, col], row))
+            row, col = row[order], col[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col = row[keep], col[keep]
+            out.append((queries["query_id"].to_numpy()[at : at + 256][row], ids[col], s[row, col]))
         return pd.DataFrame(dict(zip(("query_id", "chunk_id", "score"), map(np.concatenate, zip(*out)))))
 
     return work
@@ -144,28 +149,45 @@ def add_lexical(context: DataFrame, lexical: DataFrame, most: int = MAX_ADD) ->
     return context.select("query_id", "chunk_id", "rank").unionByName(added)
 
 
-def graph_expand(seeds: DataFrame, mentions: DataFrame, entities: DataFrame, most: int = TOP_K) -> DataFrame:
-    """(query_id, chunk_id, shared_count, shared_entities, rank): chunks that share named entities with a query's best seeds.
+def _named_edges(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """(chunk_id, name), distinct: the names of the entities that a chunk mentions."""
+    names = entities.where("name IS NOT NULL").groupBy(F.col("id").alias("entity_id")).agg(F.min("name").alias("name"))
+    edges = mentions.select("chunk_id", "entity_id").where("chunk_id IS NOT NULL AND entity_id IS NOT NULL").distinct()
+    return edges.join(names, "entity_id").select("chunk_id", "name").distinct()
 
-    Anchors are the seeds of at least 0.8 of the best score, or all if none is.
-    Sharing counts distinct entity names, so repeated edges don't matter and the
-    mention table is reduced to distinct (chunk, entity) before any join.
-    """
+
+def _anchor_names(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     top = F.max("score").over(Window.partitionBy("query_id"))
     flagged = seeds.withColumn("_a", F.col("score") >= top * ANCHOR_BAND)
     anchors = flagged.withColumn("_any", F.max("_a").over(Window.partitionBy("query_id"))).where("_a OR NOT _any").select("query_id", "chunk_id")
-    edges = mentions.select("chunk_id", "entity_id").where("chunk_id IS NOT NULL AND entity_id IS NOT NULL").distinct()
-    of = anchors.join(edges, "chunk_id").select("query_id", "entity_id").distinct()
-    names = entities.where("name IS NOT NULL").groupBy(F.col("id").alias("entity_id")).agg(F.min("name").alias("name"))
-    found = of.join(names, "entity_id").join(edges, "entity_id").select("query_id", "chunk_id", "name")
-    others = found.join(seeds.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    shared = others.groupBy("query_id", "chunk_id").agg(F.sort_array(F.collect_set("name")).alias("shared_entities")).withColumn("shared_count", F.size("shared_entities"))
-    return ranked(shared, F.desc("shared_count"), F.asc("chunk_id")).where(F.col("rank") <= most)
+    return anchors.join(edges, "chunk_id").select("query_id", "name").distinct()
+
+
+def expanded(seeds: DataFrame, mentions: DataFrame, entities: DataFrame, most: int = TOP_K) -> DataFrame:
+    """(query_id, chunk_id, shared_count, rank): chunks that share named entities with a query's best seeds.
+
+    Anchors are the seeds of at least 0.8 of the best score, or all if none is.
+    Sharing counts distinct entity names: both sides of the join are made
+    distinct by name before, so a plain count does, pre-aggregated in each task.
+    """
+    edges = _named_edges(mentions, entities)
+    counted = _anchor_names(seeds, edges).join(edges, "name").groupBy("query_id", "chunk_id").agg(F.count("*").cast("int").alias("shared_count"))
+    others = counted.join(seeds.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    return ranked(others, F.desc("shared_count"), F.asc("chunk_id")).where(F.col("rank") <= most)
+
+
+def graph_expand(seeds: DataFrame, mentions: DataFrame, entities: DataFrame, most: int = TOP_K) -> DataFrame:
+    """`expanded` with shared_entities, the sorted names; they are looked up for the chosen rows only."""
+    edges = _named_edges(mentions, entities)
+    chosen = expanded(seeds, mentions, entities, most)
+    shared = chosen.join(edges, "chunk_id").join(_anchor_names(seeds, edges), ["query_id", "name"], "left_semi")
+    names = shared.groupBy("query_id", "chunk_id").agg(F.sort_array(F.collect_set("name")).alias("shared_entities"))
+    return chosen.join(names, ["query_id", "chunk_id"])
 
 
 def graph_retrieve(queries: DataFrame, data: DataFrame, mentions: DataFrame, entities: DataFrame, k: int = TOP_K) -> DataFrame:
     """(query_id, chunk_id, fused, rank): seeds by vector fused with the chunks that their entities lead to."""
-    seeds = vector_top(queries, data, k)
-    more = graph_expand(seeds, mentions, entities, k)
+    seeds = materialize(vector_top(queries, data, k), "seeds")  # three uses
+    more = expanded(seeds, mentions, entities, k)
     both = rrf(seeds.select("query_id", "chunk_id", "rank").unionByName(more.select("query_id", "chunk_id", "rank")))
     return ranked(both.withColumn("fused", F.round("fused", 9)), F.desc("fused"), F.asc("chunk_id")).where(F.col("rank") <= k)
