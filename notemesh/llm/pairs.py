@@ -1,10 +1,12 @@
 """Problem 2: defects of question–answer pairs.
 
 Refusals: the openings of answers are clustered by MinHash, each link verified by
-the Jaccard similarity of their five-word runs (0.8); a cluster that recurs under
-unrelated questions and mostly speaks as a refusal is a refusal template, and
-answers that open with one refuse. Copy, language and termination checks find
-the other defects, with the language model of problem 1.
+the Jaccard similarity of their five-word runs (0.8). A cluster that recurs under
+different questions and doesn't take its words from them is a template; it is one
+of refusals if most of it declines, in the known phrases or in any words that deny
+an answer. Recurrence alone can't tell: "nothing in your notes covers this" recurs
+as much. Openings of no template are judged by the known phrases. Copy, language
+and termination checks find the other defects, with the language model of problem 1.
 
 Defined cases: turns without a question (null, blank) have no defect; a null or
 blank answer is empty and nothing else; quoted words of an answer don't count as
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemesh.llm.language import QUOTED, LanguageModel, analyse, fitted, fold, sentences
+from notemesh.llm.names import by_cell
 from notemesh.operators.components import components
 from notemesh.plans import materialize
 from notemesh.plans.registry import Registry
@@ -31,8 +34,10 @@ from notemesh.sources import once, read_table
 OPENING_WORDS = 16
 RUN, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 2
-#: A template stands under this many different questions at least.
-MIN_QUESTIONS = 2
+#: A template stands under this many different questions at least, and at most this share of its words is in its question.
+MIN_QUESTIONS, OWN_SHARE = 2, 0.4
+#: Openings of a band that are compared in one piece of work.
+BLOCK = 512
 #: Nats by which an answer's language must beat every language of its question.
 LANGUAGE_NATS = 4.0
 #: Words that an answer must have for its language to be judged; one word may belong to several.
@@ -49,6 +54,16 @@ REFUSALS = re.compile(
     r"|no puedo (?:ayudar|responder|contestar|atender)|no me es posible|debo rechazar|tengo que rechazar|modelo de lenguaje|no se me permite|me niego|debo declinar|rechazar (?:esta|su)"
     r"|nao posso (?:ajudar|responder|atender)|tenho de recusar|devo recusar|recusar este|modelo de linguagem|nao me e permitido|nao estou autorizad"
 )
+# Templates may decline in other words: a denial, and what is denied (an answer, help, the request), but no word on what the notes hold.
+DENIAL = re.compile(
+    r"\b(?:not|never|cannot|\w+n't|unable|declin\w*|refus\w*|sorry|unfortunately|apolog\w+|against|outside|beyond|forbidden|prohibited|khong|tu choi|xin loi|rat tiec|ngoai|nicht|kein\w*|leider|ablehn\w*|verweiger\w*|untersagt|verboten"
+    r"|ne|n'\w+|pas|desole\w*|interdit\w*|impossible|no (?:puedo|podemos|puede|me|nos|se|esta|estoy|es|debo|respond\w+|contest\w+|coment\w+|habl\w+)|niego|rechaz\w+|lamento|siento|prohibid\w+|imposible|nao|recus\w+|proibid\w+|impossivel)\b"
+)
+DENIED = re.compile(
+    r"\b(?:answer(?:s|ing|ed)?|respond(?:ing)?|response|reply|assist(?:ing|ance|ant)?|help(?:ing)?|discuss(?:ing|ed|ion)?|request(?:s|ed)?|questions?|topics?|tra loi|cau hoi (?:nay|nhu|ve)|yeu cau nay|giup|ho tro|beantwort\w*|antwort\w*|helfen|anfragen?|fragen?|auskunft|auskunfte"
+    r"|repon(?:dre|se|ses)|aider|(?:cette|votre|ta) demande|questions?|requete|sujets?|responder\w*|respuestas?|contestar\w*|ayudar\w*|ayuda|(?:esta|su|tu) (?:peticion|solicitud)|preguntas?|respostas?|ajudar\w*|(?:este|esse|seu|teu) pedido|perguntas?)\b"
+)
+HELD = re.compile(r"\b(?:notes?|entry|entries|notizen|notiz|eintrag|notas?|ghi chu|anotac\w+|apuntes|document\w*|dokument\w*|tai lieu|registr\w+)\b")
 ASKED = {
     "en": "english englisch anglais ingles inglese anh",
     "vi": "vietnamese vietnamesisch vietnamien vietnamita viet",
@@ -186,34 +201,72 @@ def run_set(text: str) -> frozenset[str]:
     return frozenset(" ".join(w[i : i + RUN]) for i in range(max(1, len(w) - RUN + 1)))
 
 
+def declines(text: str) -> bool:
+    return bool(REFUSALS.search(text) or (DENIAL.search(text) and DENIED.search(text) and not HELD.search(text)))
+
+
+def same_template(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) between alike openings of each cell: all pairs are compared, and as many links given as join them."""
+    left, right = [], []
+    for _, g in pdf.groupby("cell", sort=False):
+        ids, part, cross = g["id"].tolist(), g["part"].tolist(), g["cross"].iat[0]
+        runs = [run_set(o) for o in g["opening"]]
+        root = list(range(len(ids)))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        for j in range(len(ids)):
+            for i in range(j):
+                if (cross and part[i] == part[j]) or top(i) == top(j):
+                    continue
+                if len(runs[i] & runs[j]) >= SIMILARITY * len(runs[i] | runs[j]):
+                    root[top(j)] = top(i)
+                    left.append(ids[i])
+                    right.append(ids[j])
+    return pd.DataFrame({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
+
+
+def alike_openings(signed: DataFrame) -> DataFrame:
+    """(a, b): links that join all openings (id, opening, bands) with a band in common and SIMILARITY of their runs."""
+    banded = signed.select("id", "opening", F.explode("bands").alias("band"))
+    sizes = banded.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.count("*").alias("n")).where("n > 1")
+    placed = banded.join(sizes, "band").withColumn("part", F.pmod("id", "parts"))
+    # a large band is split: each pair of its parts is a cell
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = spread.select("id", "opening", "part", (F.col("part") != F.col("other")).alias("cross"), F.xxhash64("band", F.least("part", "other"), F.greatest("part", "other")).alias("cell"))
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(by_cell(same_template), "a long, b long").distinct()
+
+
 def refusal_openings(turns: DataFrame) -> DataFrame:
     """(opening): openings of turns (opening, query) that belong to a refusal template."""
-    counted = turns.where("opening <> ''").groupBy("opening").agg(F.approx_count_distinct("query").alias("questions"))
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def subjects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(cue=np.array([bool(REFUSALS.search(o)) for o in pdf["opening"]], bool), bands=pd.Series([signatures(o) for o in pdf["opening"]], index=pdf.index, dtype=object))
+            asked = [set(re.sub(r"\d+", "0", w) if w.isdigit() else w for w in plain_words(q)) for q in pdf["query"]]
+            own = [sum(w in q for w in o.split()) / max(1, len(o.split())) for o, q in zip(pdf["opening"], asked)]
+            yield pd.DataFrame({"opening": pdf["opening"], "subject": [" ".join(sorted(q)) for q in asked], "own": np.array(own, float)})
 
-    signed = materialize(counted.mapInPandas(sign, "opening string, questions long, cue boolean, bands array<long>").withColumn("id", F.xxhash64("opening")), "openings")
-    banded = signed.select("id", "opening", F.explode("bands").alias("band"))
-    # each opening of a band is held against the band's first only, so a large band makes no more links than it has members
-    first = banded.groupBy("band").agg(F.min(F.struct("id", "opening")).alias("f"))
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            good = []
-            for x, y in zip(pdf["opening"], pdf["other"]):
-                p, q = run_set(x), run_set(y)
-                good.append(len(p & q) >= SIMILARITY * len(p | q))
-            yield pdf.loc[np.array(good, bool), ["a", "b"]]
-
-    links = banded.join(first, "band").where("id <> f.id").select(F.col("id").alias("a"), F.col("f.id").alias("b"), "opening", F.col("f.opening").alias("other")).distinct()
-    groups = components(links.mapInPandas(verify, "a long, b long"))
+            cue = np.array([bool(REFUSALS.search(o)) for o in pdf["opening"]], bool)
+            yield pdf.assign(cue=cue, says=np.array([declines(o) for o in pdf["opening"]], bool), bands=pd.Series([signatures(o) for o in pdf["opening"]], index=pdf.index, dtype=object))
+
+    # a question put again in other letters, order or numbers is the same; counts are exact
+    asked = turns.where("opening <> '' AND query IS NOT NULL").select("opening", "query").distinct().mapInPandas(subjects, "opening string, subject string, own double")
+    counted = asked.groupBy("opening", "subject").agg(F.max("own").alias("own")).groupBy("opening").agg(F.count("*").alias("questions"), F.sum("own").alias("own"))
+    signed = materialize(counted.mapInPandas(sign, "opening string, questions long, own double, cue boolean, says boolean, bands array<long>").withColumn("id", F.xxhash64("opening")), "openings")
+    groups = components(alike_openings(signed))
     placed = signed.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("grp", F.coalesce("component", "id"))
-    said = F.sum(F.when(F.col("cue"), F.col("questions")).otherwise(0))
-    templates = placed.groupBy("grp").agg(F.sum("questions").alias("n"), said.alias("cued")).where((F.col("n") >= MIN_QUESTIONS) & (F.col("cued") * 2 > F.col("n"))).select("grp")
-    # an opening seen once can't recur; its own words decide
-    return placed.join(templates, "grp", "left_semi").select("opening").union(signed.where("cue").select("opening")).distinct()
+    said = F.sum(F.when(F.col("says"), F.col("questions")).otherwise(0))
+    grouped = placed.groupBy("grp").agg(F.sum("questions").alias("n"), F.sum("own").alias("shared"), said.alias("said"))
+    template = (F.col("n") >= MIN_QUESTIONS) & (F.col("shared") <= F.col("n") * OWN_SHARE)
+    judged = placed.join(grouped.select("grp", template.alias("template"), (F.col("said") * 2 > F.col("n")).alias("declines")), "grp")
+    # the known phrases decide where no template does: under one question, or in the question's own words
+    alone = F.col("cue") & ((F.col("questions") < MIN_QUESTIONS) | ~F.col("template"))
+    return judged.where((F.col("template") & F.col("declines")) | alone).select("opening").distinct()
 
 
 def register(reg: Registry) -> None:

@@ -248,6 +248,26 @@ def test_refusal_templates(spark):
     assert got == {"i'm sorry but i can't help with that"}
 
 
+def test_refusal_templates_in_other_words(spark):
+    unlisted = "Questions of this sort go unanswered here, sorry."
+    assert not pairs.REFUSALS.search(pairs.opening(unlisted))
+    rows = [(pairs.opening(unlisted), q) for q in ("Where is the old ledger?", "Who fixed the boiler?", "When does the ferry sail?")]
+    rows += [(pairs.opening("Nothing in your notes answers this question."), q) for q in ("Where is the old ledger?", "Who fixed the boiler?")]
+    rows += [(pairs.opening("Sorry, the crew never got a reply there."), "Did the crew get a reply?"), (pairs.opening("I won't do that."), "Could you?")]
+    got = {r.opening for r in pairs.refusal_openings(spark.createDataFrame(rows, "opening string, query string")).collect()}
+    assert got == {pairs.opening(unlisted), "i won't do that"}
+    # the same question put twice is no recurrence
+    once = spark.createDataFrame([(pairs.opening(unlisted), q) for q in ("Where is page 3?", "where is PAGE 4")], "opening string, query string")
+    assert pairs.refusal_openings(once).count() == 0
+
+
+def test_openings_of_a_split_band_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 2)
+    texts = {1: "a b c d e f g h i j k l m n o p", 2: "a b c d e f g h i j k l m n o q", 3: "z y x w v u t s", 4: "z y x w v u t s", 5: "unlike all of them here"}
+    signed = spark.createDataFrame([(k, v, [7]) for k, v in texts.items()], "id long, opening string, bands array<long>")
+    assert {tuple(sorted(r)) for r in pairs.alike_openings(signed).collect()} == {(1, 2), (3, 4)}
+
+
 # --- 9 -------------------------------------------------------------------------------------------------------------------------
 
 
