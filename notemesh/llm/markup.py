@@ -11,7 +11,8 @@ built by one pre-aggregated shuffle, whatever the size of a host.
 Most markup of notes was typed once and belongs to no template, so the slots are
 read with a small grammar of each notation; the kinds of a note are those of its
 template tokens and of its slots. Markup shown inside code counts only as the
-code block's own kind.
+code block's own kind. Clean text isn't made from the slots: the template tokens
+of notes are their items, table cells and formulas, which must stay recognisable.
 
 Defined cases: null and blank bodies have no markup and no clean text (null);
 notes delivered twice count once, the latest load winning; a null vault is a
@@ -155,24 +156,29 @@ def template_tokens(pages: DataFrame) -> DataFrame:
     return good.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("nested"))).alias("tokens"))
 
 
+def slots_of(body: str, template: set[str]) -> tuple[str, set[str]]:
+    """A page cut at the tags of its host's template, a blank for each tag, and the kinds of all its template tokens.
+
+    Delimiters of comments, wiki and LaTeX stay around their slots: they say which notation the slot is in.
+    """
+    kinds: set[str] = set()
+    code = [m.span() for m in CODE.finditer(body)]
+
+    def part(m: re.Match) -> str:
+        if shape(m[0]) not in template or any(a <= m.start() < b for a, b in code):
+            return m[0]
+        kinds.add(m.lastgroup)
+        return " " if m.lastgroup == "html" and m[0] not in ("<!--", "-->") else m[0]
+
+    return TOKEN.sub(part, body), kinds
+
+
 def _page_kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for page, body, tokens in zip(pdf["page"], pdf["body"], pdf["tokens"]):
-            kinds: set[str] = set()
-            if tokens is not None and len(tokens):
-                known = set(tokens)
-                code = [m.span() for m in CODE.finditer(body)]
-
-                def part(m: re.Match) -> str:
-                    if shape(m[0]) not in known or any(a <= m.start() < b for a, b in code):
-                        return m[0]
-                    kinds.add(m.lastgroup)
-                    return m[0]
-
-                TOKEN.sub(part, body)
-            kinds |= kinds_of(body)
-            rows += [(page, k) for k in sorted(kinds)]
+            slots, kinds = slots_of(body, set(tokens)) if tokens is not None and len(tokens) else (body, set())
+            rows += [(page, k) for k in sorted(kinds | kinds_of(slots))]
         yield pd.DataFrame(rows, columns=["page", "markup"])
 
 

@@ -179,6 +179,13 @@ def test_markup_clean_and_templates(spark):
     assert {tuple(r) for r in markup.found(pages).collect()} == {(f"p{i}", "html") for i in range(4)}
 
 
+def test_markup_is_read_in_slots(spark):
+    cells = '<td class="n">$</td><td class="n">$</td>'
+    pages = spark.createDataFrame([("h", f"p{i}", cells + f" row {i}") for i in range(3)] + [("h", "code", "```\n<td class='n'>\n```\nx")], "host string, page string, body string")
+    assert {tuple(r) for r in markup.found(pages).collect()} == {(f"p{i}", "html") for i in range(3)} | {("code", "markdown")}
+    assert markup.slots_of("<td>a</td> [[b]] `<td>`", {"<td>", "</td>", "[[", "]]"}) == (" a  [[b]] `<td>`", {"html", "wiki"})
+
+
 GIVEN = frozenset({"robert", "bob", "isabella"})
 
 
