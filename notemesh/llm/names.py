@@ -42,8 +42,9 @@ from notemesh.plans.registry import Registry
 from notemesh.sources import read_table
 
 RADIUS = 1
-#: A token next to this many different tokens is common: a given name or a word for a business, not a surname.
-COMMON_PARTNERS = 25
+#: A token is common (a given name or a word for a business, not a surname) if the initials of its partners are this many times those
+#: of its partners' own partners, there are COMMON_INITIALS at least, and at most KNOWN_SHARE of its partners are known given names or business words.
+COMMON_RATIO, COMMON_INITIALS, KNOWN_SHARE = 1.5, 3, 0.2
 #: Names per pivot, and the most pivots of a block.
 PIVOT_SHARE, MAX_PIVOTS = 16, 256
 #: A nickname is learnt if it shares its surname with the full name this often.
@@ -121,6 +122,7 @@ class Vocabulary:
         for t in by_size:
             if t not in known and not any(common.get(u, 0) > 8 * common[t] and edits(t, u, 1) == 1 for u in self.common if abs(len(u) - len(t)) <= 1):
                 self.common.add(t)
+        self.known, self.count = known, common
         self.nicknames = dict(nicknames)
         self.by_deletion: dict[str, set[str]] = defaultdict(set)
         for t in self.common:
@@ -171,6 +173,10 @@ def forms_of(name: str | None, vocab: Vocabulary) -> list[tuple[str, str, str]]:
         if full:
             rare.remove(t)
             common.append(full)
+    if not rare and len(full := {vocab.nicknames.get(t, t) for t in common}) > 1:
+        # all are common: the least common one, a known one last, tells who is meant
+        rare = [min(full, key=lambda t: (t in vocab.known, vocab.count.get(t, 0), t))]
+        common = sorted(full - set(rare))
     # a single strange word beside an abbreviation of two letters is a firm's name; its business stays unknown
     if not rare or len("".join(rare)) < 4:
         return []
@@ -273,20 +279,36 @@ def learnt_nicknames(forms: DataFrame, known: dict[str, str]) -> dict[str, str]:
     return {s: f for s, (_, f) in best.items()}
 
 
+def common_tokens(names: DataFrame, known: frozenset[str]) -> dict[str, int]:
+    """Common tokens of names (name), and the known ones that occur, with the number of their partners.
+
+    A given name stands beside surnames of many families, each of which has few given
+    names; a surname, however frequent, stands beside given names that have many
+    surnames. Spellings of one name mostly share the initial, so initials are counted.
+    """
+
+    def pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = {(a, b, a in known, b in known) for n in pdf["name"] for t in [{w for w in tokens(n) if len(w) > 2} - TITLES - LEGAL - SMALL] for a in t for b in t if a != b}
+            yield pd.DataFrame(sorted(rows), columns=["t", "u", "sure", "of_sure"])
+
+    together = materialize(names.mapInPandas(pairs_of, "t string, u string, sure boolean, of_sure boolean").distinct(), "together")
+    initials = F.count_distinct(F.left("u", F.lit(1)))
+    per = together.groupBy("t").agg(initials.alias("initials"), F.count("*").alias("n"), F.first("sure").alias("sure"), F.avg(F.col("of_sure").cast("int")).alias("share"))
+    theirs = together.join(per.select(F.col("t").alias("u"), F.col("initials").alias("theirs")), "u").groupBy("t").agg(F.avg("theirs").alias("theirs"))
+    rule = (F.col("initials") >= COMMON_INITIALS) & (F.col("initials") >= COMMON_RATIO * F.col("theirs")) & (F.col("share") <= KNOWN_SHARE)
+    got = per.join(theirs, "t").where(F.col("sure") | rule).select("t", "n").toPandas()
+    return dict(zip(got["t"], got["n"].tolist()))
+
+
 def link(entities: DataFrame, nicknames: dict[str, str]) -> DataFrame:
     """(id, grp): entities (id, name, aliases) that are linked to another, with their group."""
     spark = entities.sparkSession
     named = entities.where("id IS NOT NULL").select("id", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("name"))
     named = materialize(named.where("name IS NOT NULL AND trim(name) <> ''").distinct(), "names")
 
-    def pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = {(a, b) for n in pdf["name"] for t in [set(tokens(n)) - TITLES - LEGAL - SMALL] for a in t for b in t if a != b and len(a) > 2}
-            yield pd.DataFrame(sorted(rows), columns=["t", "u"])
-
-    together = named.select("name").mapInPandas(pairs_of, "t string, u string").distinct()
-    common = together.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_PARTNERS).toPandas()
-    vocab = Vocabulary(dict(zip(common["t"], common["n"])), nicknames)
+    common = common_tokens(named.select("name"), frozenset(nicknames) | frozenset(nicknames.values()) | frozenset(BUSINESS))
+    vocab = Vocabulary(common, nicknames)
 
     def forms_with(shared) -> Callable:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,7 +322,7 @@ def link(entities: DataFrame, nicknames: dict[str, str]) -> DataFrame:
     first = named.mapInPandas(forms_with(spark.sparkContext.broadcast(vocab)), shape)
     extra = learnt_nicknames(first.select("rare", "common").distinct(), nicknames)
     if extra:
-        vocab = Vocabulary(dict(zip(common["t"], common["n"])), {**nicknames, **extra})
+        vocab = Vocabulary(common, {**nicknames, **extra})
     got = materialize(named.mapInPandas(forms_with(spark.sparkContext.broadcast(vocab)), shape).distinct(), "forms")
     full = got.where("initial = ''").withColumn("form", F.xxhash64("rare", "common"))
     near = within_radius(full.select("form", "rare", "common").distinct())

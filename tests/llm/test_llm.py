@@ -142,6 +142,26 @@ def test_names_are_linked(spark):
     assert names.link(e.limit(0), {}).count() == 0
 
 
+def test_frequent_surnames_are_no_given_names(spark):
+    rng = random.Random(2)
+    made = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4))
+    given = sorted({made() for _ in range(60)})
+    every = [f"{g} Nguyen" for g in given] + [f"{g} {made()}x" for g in given for _ in range(5)]
+    every += ["Isabella Nguyen", "NGUYEN, Isabella", "Izzy Nguyen", "Isabella Nguyne", "Robert Nguyen"]
+    e = spark.createDataFrame([(f"{i:03d}", n, None) for i, n in enumerate(every)], "id string, name string, aliases array<string>")
+    got = names.link(e, {"izzy": "isabella", "bob": "robert"}).toPandas()
+    mine = set(got.loc[got["grp"] == got.set_index("id")["grp"][f"{len(every) - 5:03d}"], "id"])
+    assert mine == {f"{len(every) - k:03d}" for k in (5, 4, 3, 2)}
+    # in a small table, too, a given name is learnt from surnames of several families
+    few = ["Karolina Bafo", "Karolina Dimu", "Karolina Gesa", "Robert Bafo", "Robert Dimu", "Robert Gesa"]
+    common = names.common_tokens(spark.createDataFrame([(n,) for n in few], "name string"), frozenset({"robert"}))
+    assert common == {"karolina": 3, "robert": 3}
+    # a name of common words only keeps a form
+    vocab = names.Vocabulary({"robert": 9, "nguyen": 30}, {"bob": "robert"})
+    assert names.forms_of("Bob Nguyen", vocab) == names.forms_of("NGUYEN, Robert", vocab) == [("nguyen", "robert", "")]
+    assert names.forms_of("Bob Robert", vocab) == []
+
+
 # --- 10, 5, 7 -----------------------------------------------------------------------------------------------------------------
 
 
