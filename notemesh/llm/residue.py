@@ -5,7 +5,8 @@ over every whole text. The characters its matches cover, as a share of those tha
 aren't page furniture, decide: a text that mostly consists of such phrases is a
 left-over; one that quotes a phrase among real sentences is not. Fields of a
 template count wherever they stand for a value (a line, the value of a label, a
-heading, a salutation), even with real text around them, but not inside a sentence.
+heading, a salutation), even with real text around them; inside sentences they count
+if there are several or one stands for a name, unless the sentence speaks about fields.
 
 Defined cases: null, empty and blank texts are no cases; repeated rows of a key
 count once; one kind per document, in the order placeholder, script_notice,
@@ -63,12 +64,30 @@ PROMPTS = "heading 0|type something|untitled section|add a description|click to
 FURNITURE = "openproxy/0.0|request id|menu|sign in|home|search|login|contact the administrator|back|clip service|clipped page|loading...|learn how|reader view|<title>error</title>|incident|code js-0|ref|0%"
 
 FIELD = (
-    r"(?:\{\{\s*[^{}\n]{1,40}\}\}|\$\{\s*[^{}\n]{1,40}\}|\$[A-Z][A-Z0-9_]+\$|@@\w+@@|%%\w+%%|__[A-Z][A-Z0-9_]*__|<<[^<>\n]{1,40}>>|<%=?[^%\n]{1,40}%>"
-    r"|\[INSERT [^\]\n]{1,40}\]|\[(?:Your|Insert|Enter)? ?[A-Z]?[a-z]+(?: [a-z]+){0,3}\]|TODO: ?[a-z]+(?: [a-z]+){0,2}|XXXX ?\([^)\n]{1,40}\)|<[a-z]+(?: [a-z]+){0,3} here>|\{[A-Z]\w{1,40}\}|_{5,})"
+    r"(?:\{\{\s*(?:[^{}\n]{1,40}|[^{}|\n]+)\}\}|\$\{\s*[^{}\n]+\}|\$[A-Z][A-Z0-9_]+\$|@@\w+@@|%%\w+%%|__[A-Z][A-Z0-9_]*__|<<[^<>\n]+>>|<%=?[^%\n]+%>"
+    r"|\[INSERT [^\]\n]+\]|\[(?:Your|Insert|Enter)? ?[A-Z]?[a-z]+(?: [a-z]+){0,3}\]|TODO: ?[a-z]+(?: [a-z]+){0,2}|XXXX ?\([^)\n]+\)|<[a-z]+(?: [a-z]+){0,3} here>|\{[A-Z]\w+\}|_{5,})"
 )
+# Within a sentence only signs that prose, code and formulas don't have count: several different ones in a text, or one where a name or a date stands.
+INSIDE = r"(?:\{\{\s*[^\W\d][\w. -]*\}\}|\$\{\s*[^\W\d][\w. -]*\}|\$[A-Z][A-Z0-9_]{3,}\$|@@\w+@@|%%\w+%%|<<[^<>\n]+>>|<%=[^%\n]+%>|\[(?:INSERT|Insert|Enter|Your|YOUR) [^\]\n]+\]|XXXX ?\([^)\n]+\)|<[a-z]+(?: [a-z]+){0,3} here>)"
+IN_PLACE = re.compile(rf"(?i:\b(?:dear|hello|hi|hey|mr\.?|mrs\.?|ms\.?|liebe[rs]?|hallo|herr|frau|cher|chère|bonjour|querid[oa]|estimad[oa]|hola|prezad[oa]|car[oa]|olá|kính gửi|thân gửi|chào))[ \t]+{INSIDE}")
+INSIDE_FIELD = re.compile(INSIDE)
+# Sentences with these words speak about fields; what stands in code or quotes is shown.
+MENTIONS = re.compile(
+    r"(?i)\b(?:templates?|variables?|placeholders?|headings?|fields?|mailer|syntax|manual|vorlagen?|platzhalter|variablen?|felder?|überschrift|modèles?|champs?|titre|gabarits?|plantillas?|marcador(?:es)?|campos?|encabezado|modelos?|cabeçalho|variáve(?:l|is)|variáveis|mẫu|biến|trường|tiêu đề)\b"
+)
+SHOWN = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»", re.S)
+SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|\n+")
 UNFILLED = re.compile(rf"(?m)^[ \t>*\-]*(?:#+[ \t]*|[\w ]{{1,30}}:[ \t]*|[A-Z]\w*[ \t])?{FIELD}[ \t]*[,.;:]?[ \t]*$|\b(?:met on|dear|an|für|pour|para|am)[ \t]+{FIELD}[ \t]+(?:about|über|sur|sobre)[ \t]+{FIELD}")
 
 
+def unfilled_inside(text: str) -> bool:
+    """Whether sentences have fields in the place of values."""
+    if not INSIDE_FIELD.search(text):
+        return False
+    said = [x for x in SENTENCE_END.split(SHOWN.sub(" ", text)) if x and INSIDE_FIELD.search(x) and not MENTIONS.search(INSIDE_FIELD.sub(" ", x))]
+    return any(IN_PLACE.search(x) for x in said) or len({f for x in said for f in INSIDE_FIELD.findall(x)}) > 1
+
+
 def normal(text: str) -> str:
     t = unicodedata.normalize("NFC", text).lower().replace("’", "'")
     return re.sub(r"\d+", "0", t)
@@ -94,7 +113,7 @@ _PIECES = re.compile(r"[^.!?;\n|]+(?:[.](?=\w)[^.!?;\n|]+)*[.!?;\n|]*")
 def kind_of(text: str | None) -> str | None:
     if text is None or not text.strip():
         return None
-    if UNFILLED.search(text):
+    if UNFILLED.search(text) or unfilled_inside(text):
         return "placeholder"
     t = normal(text)
     hits = sorted((end - n + 1, end + 1, kind) for end, (kind, n) in automaton().iter(t))

@@ -179,6 +179,19 @@ def test_residue(text, kind):
     assert residue.kind_of(text) == kind
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("Hello {{first_name}}, your order {{order_id}} ships on {{date}}.", "placeholder"), ("Dear {{name}}, thank you for the visit.", "placeholder"), ("The parcel of ${CLIENT} left on <<delivery day>> by rail.", "placeholder"),
+        ("Owner: {{the full name of the person who looks after the shelf}}", "placeholder"), ("The template greets with Dear {{name}} and {{title}}.", None), ("Variables such as ${CLIENT} and ${DAY} are explained in the manual.", None),
+        ("Run this:\n```\ncp ${HOME}/a ${TARGET}/b\n```\nand wait.", None), ('It opens with "Dear {{name}}", as always. The crew went home.', None), ("Lines $AB$ and $CD$ meet. The note [sic] said so [citation needed].", None),
+        ("{{cite book|title=The long way round the harbour|year=2001|page=4}}", None),
+    ],
+)
+def test_fields_inside_sentences(text, kind):
+    assert residue.kind_of(text) == kind
+
+
 @pytest.mark.parametrize(
     ("text", "kinds"),
     [
