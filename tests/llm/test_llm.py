@@ -93,6 +93,24 @@ def test_trie_finds_all_pairs_in_budget(shape, seed):
     assert got == want
 
 
+def test_trie_walk_is_bounded_in_one_cell(monkeypatch):
+    rng = np.random.default_rng(4)
+    sk = rng.integers(0, 1 << 63, (3000, 4), dtype=np.uint64)
+    sk[1500:1510] = sk[:10]
+    sizes, product = [], neardup._product
+
+    def seen(*args):
+        out = product(*args)
+        sizes.append(len(out[0]))
+        return out
+
+    monkeypatch.setattr(neardup, "_product", seen)
+    monkeypatch.setattr(neardup, "CHUNK_PAIRS", 1 << 12)
+    a, b = neardup.trie_pairs(np.zeros(3000, np.int64), np.full(3000, 20, np.int64), sk, 0.25)
+    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())} == {(i, 1500 + i) for i in range(10)}
+    assert max(sizes) <= 256 * 256  # all pairs of the cell are 4.5 million
+
+
 # --- 6 -----------------------------------------------------------------------------------------------------------------------
 
 
