@@ -7,17 +7,22 @@ to the smaller chunk_id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notemesh.functions import text as T
+from notemesh.plans import materialize
 
 # Constants that define results.
 RRF_K, ANCHOR_BAND, ABSOLUTE, RELATIVE, STRONG = 60, 0.8, 0.45, 0.75, 0.6
 TOP_K, MAX_TERMS, MAX_ADD = 8, 8, 4
 
+#: Digits of a cosine that count; what is equal to them is a tie.
+DIGITS = 10
 #: Vectors of a block of queries, and of the data that one task compares with it.
 QUERY_BLOCK, DATA_BLOCK = 4_096, 32_768
 
@@ -26,15 +31,6 @@ def ranked(df: DataFrame, *order: Column, by: str = "query_id", name: str = "ran
     return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double precision over the common length; 0 if either norm is 0."""
-    pair = F.arrays_zip(F.transform(a, lambda x: x.cast("double")).alias("x"), F.transform(b, lambda x: x.cast("double")).alias("y"))
-    short = F.slice(pair, 1, F.least(F.size(a), F.size(b)))
-    dot = F.aggregate(short, F.lit(0.0), lambda s, p: s + p["x"] * p["y"])
-    norm = lambda k: F.sqrt(F.aggregate(short, F.lit(0.0), lambda s, p: s + p[k] * p[k]))
-    return F.when((norm("x") == 0) | (norm("y") == 0), 0.0).otherwise(dot / (norm("x") * norm("y")))
-
-
 def _block_top(k: int):
     def work(key, queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.empty(0, object), "chunk_id": np.empty(0, object), "score": np.empty(0)})
@@ -47,7 +43,7 @@ def _block_top(k: int):
         ids = data["chunk_id"].to_numpy()
         out = []
         for at in range(0, len(q), 256):
-            s = (q[at : at + 256] @ d.T).round(12)
+            s = (q[at : at + 256] @ d.T).round(DIGITS)
             least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else s.min(axis=1)
             row, col = np.nonzero(s >= least[:, None])  # the k best and those tied with the last
             order = np.lexsort((col, -s[row, col], row))
@@ -84,18 +80,101 @@ def floor_top(hits: DataFrame, floor: float) -> DataFrame:
     return hits.withColumn("_top", F.max("score").over(Window.partitionBy("query_id"))).where(F.col("_top") >= floor).drop("_top")
 
 
+def _blocks(rows: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
+    """Deals rows to `own_n` blocks by a hash of their key, once for each of the other side's blocks."""
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_n - 1).cast("long")))
+    # new columns, so that both sides may come from one table
+    return rows.select(*[F.col(c).alias(c) for c in rows.columns]).withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_n))).withColumn(other, every)
+
+
+def _units(vecs: pd.Series) -> np.ndarray:
+    """Vectors of one length as unit rows; a missing one, or one without length, is a row of zeros."""
+    dim = max((len(v) for v in vecs if v is not None), default=1)
+    x = np.stack([np.zeros(dim) if v is None else np.asarray(v, np.float64) for v in vecs])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.nan_to_num(x / np.linalg.norm(x, axis=1)[:, None])
+
+
+def _block_shared(k: int):
+    """The best k rows of a block of data for each query, by signs in common, then cosine, then key."""
+
+    def work(key, queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": np.empty(0, object), "chunk_id": np.empty(0, object), "shared_count": np.empty(0, np.int32), "score": np.empty(0)})
+        if not len(queries) or not len(data):
+            return empty
+        data = data.sort_values("chunk_id", kind="stable")
+        ids, d, q = data["chunk_id"].to_numpy(), _units(data["vec"]), _units(queries["vec"])
+        size = np.array([len(x) for x in data["signs"]], np.int64)
+        sign = np.concatenate([*(np.asarray(x, np.int64) for x in data["signs"]), np.empty(0, np.int64)])
+        row = np.repeat(np.arange(len(data)), size)
+        order = np.argsort(sign, kind="stable")
+        sign, row = sign[order], row[order]
+        place = {c: i for i, c in enumerate(ids.tolist())}
+        out = []
+        for i, (qid, signs, labels, skip) in enumerate(zip(queries["query_id"], queries["signs"], queries["labels"], queries["skip"])):
+            signs, labels = np.asarray(signs, np.int64), np.asarray(labels, np.int64)
+            lo, hi = np.searchsorted(sign, signs, "left"), np.searchsorted(sign, signs, "right")
+            hit = np.concatenate([*(row[a:b] for a, b in zip(lo, hi)), np.empty(0, np.int64)])
+            shared = np.bincount(hit, minlength=len(ids))
+            for c in skip:
+                if c in place:
+                    shared[place[c]] = 0
+            met = np.flatnonzero(shared)
+            if not len(met):
+                continue
+            different = np.unique(labels)
+            # signs with one label count once in a row; label 0 makes a row a candidate, but doesn't count
+            if len(different) < len(labels) or different[0] == 0 or 0 in different:
+                label = np.repeat(labels, hi - lo)
+                shared = np.bincount(np.unique(np.stack([hit, label], axis=1)[label != 0], axis=0)[:, 0], minlength=len(ids))
+            shared = shared[met]
+            if len(met) > k:
+                keep = shared >= np.partition(shared, -k)[-k]
+                met, shared = met[keep], shared[keep]
+            cos = (d[met] @ q[i]).round(DIGITS)
+            best = np.lexsort((met, -cos, -shared))[:k]
+            out.append((np.full(len(best), qid, object), ids[met[best]], shared[best].astype(np.int32), cos[best]))
+        return pd.DataFrame(dict(zip(empty.columns, map(np.concatenate, zip(*out))))) if out else empty
+
+    return work
+
+
+def shared_top(queries: DataFrame, data: DataFrame, k: int = TOP_K) -> DataFrame:
+    """Top k by signs in common: (query_id, chunk_id, shared_count, score, rank).
+
+    `queries` (query_id, vec, signs, labels, skip) and `data` (chunk_id, vec,
+    signs), one row a key; `signs` are hashes of entities or words, `labels` (as
+    long as a query's signs) say which signs count as one, 0 as none; `skip`
+    holds keys that can't be results. Order: shared_count, cosine, smaller key.
+    Both sides are dealt to blocks and a task counts one pair of blocks, so a
+    sign that is in a third of the rows makes no rows, and no key is one task.
+    """
+    spark = data.sparkSession
+    sizes = queries.count(), data.count()
+    qb = max(1, -(-sizes[0] // QUERY_BLOCK))
+    db = max(min(8, spark.sparkContext.defaultParallelism), -(-sizes[1] // DATA_BLOCK))
+    left = _blocks(queries.select("query_id", "vec", "signs", "labels", "skip"), "query_id", "qb", qb, "db", db)
+    right = _blocks(data.select("chunk_id", "vec", "signs"), "chunk_id", "db", db, "qb", qb)
+    kinds = queries.schema["query_id"].dataType.simpleString(), data.schema["chunk_id"].dataType.simpleString()
+    part = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(_block_shared(k), f"query_id {kinds[0]}, chunk_id {kinds[1]}, shared_count int, score double")
+    return ranked(part, F.desc("shared_count"), F.desc("score"), F.asc("chunk_id")).where(F.col("rank") <= k)
+
+
 def lexical_top(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Top k by whole folded query words: (query_id, chunk_id, words, rank).
+    """Top k by whole folded query words, then cosine, then chunk_id: (query_id, chunk_id, words, score, rank).
 
-    `queries` (query_id, text), `chunks` (chunk_id, text). At most eight terms a
-    query count, the first ones. An inverted join on the distinct words of each
-    chunk, so only matching chunks meet a query; counts are pre-aggregated.
+    `queries` (query_id, text, and vec if there is one), `chunks` (chunk_id,
+    text, vec). At most eight terms a query count, the first ones; terms that
+    fold to one word count each. Without a query vector the cosine is 0.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.transform(F.slice(T.query_terms(F.col("text")), 1, MAX_TERMS), T.fold))).alias("word"))
-    wanted = terms.select("word").distinct()
-    words = chunks.where("text IS NOT NULL").select("chunk_id", F.explode(F.array_distinct(T.unicode_words(T.fold(F.col("text"))))).alias("word")).join(wanted, "word", "left_semi")
-    counted = words.join(terms, "word").groupBy("query_id", "chunk_id").agg(F.count("*").alias("words"))
-    return ranked(counted, F.desc("words"), F.asc("chunk_id")).where(F.col("rank") <= k)
+    no_vec = F.lit(None).cast("array<float>").alias("vec")
+    vec = lambda df: "vec" if "vec" in df.columns else no_vec
+    terms = F.transform(F.slice(T.query_terms(F.col("text")), 1, MAX_TERMS), lambda w: F.xxhash64(T.fold(w)))
+    asked = queries.where("text IS NOT NULL").select("query_id", vec(queries), terms.alias("signs")).where("size(signs) > 0")
+    left = asked.withColumn("labels", F.sequence(F.lit(1).cast("long"), F.size("signs").cast("long"))).withColumn("skip", F.array().cast("array<string>"))
+    words = F.array_distinct(F.transform(T.unicode_words(T.fold(F.col("text"))), lambda w: F.xxhash64(w)))
+    right = chunks.where("text IS NOT NULL").select("chunk_id", vec(chunks), words.alias("signs"))
+    return shared_top(left, right, k).withColumnRenamed("shared_count", "words").select("query_id", "chunk_id", F.col("words").cast("long").alias("words"), "score", "rank")
 
 
 def rrf(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -125,11 +204,15 @@ def relevant(hits: DataFrame, absolute: float = ABSOLUTE, relative: float = RELA
     return hits.withColumn("_t", first).where((F.col("_t") >= absolute) & (F.col("score") >= F.greatest(F.lit(absolute), F.col("_t") * relative))).drop("_t")
 
 
-def restrict_to_anchors(hits: DataFrame, anchors: DataFrame, strong: float = STRONG) -> DataFrame:
-    """Keeps hits of anchored documents (query_id, doc_id) and strong ones; a query without anchors keeps all."""
+def restrict_to_anchors(hits: DataFrame, anchors: DataFrame, strong: float = STRONG, protect: DataFrame | None = None) -> DataFrame:
+    """Keeps hits of anchored documents (query_id, doc_id), strong and protected ones (query_id, chunk_id); a query without anchors keeps all."""
     flagged = hits.join(anchors.select("query_id", "doc_id").distinct().withColumn("_in", F.lit(1)), ["query_id", "doc_id"], "left")
     flagged = flagged.join(anchors.select("query_id").distinct().withColumn("_any", F.lit(1)), "query_id", "left")
-    return flagged.where("_any IS NULL OR _in = 1 OR score >= " + repr(strong)).drop("_in", "_any")
+    kept = "_any IS NULL OR _in = 1 OR score >= " + repr(strong)
+    if protect is not None:
+        flagged = flagged.join(protect.select("query_id", "chunk_id").distinct().withColumn("_p", F.lit(1)), ["query_id", "chunk_id"], "left")
+        kept += " OR _p = 1"
+    return flagged.where(kept).drop("_in", "_any", "_p")
 
 
 def best_per_doc(hits: DataFrame, most: int | None = None) -> DataFrame:
@@ -148,45 +231,228 @@ def add_lexical(context: DataFrame, lexical: DataFrame, most: int = MAX_ADD) ->
     return context.select("query_id", "chunk_id", "rank").unionByName(added)
 
 
-def _named_edges(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """(chunk_id, name), distinct: the names of the entities that a chunk mentions."""
-    names = entities.where("name IS NOT NULL").groupBy(F.col("id").alias("entity_id")).agg(F.min("name").alias("name"))
-    edges = mentions.select("chunk_id", "entity_id").where("chunk_id IS NOT NULL AND entity_id IS NOT NULL").distinct()
-    return edges.join(names, "entity_id").select("chunk_id", "name").distinct()
+def _edges(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """(chunk_id, entity_id, name), distinct, of mentions whose entity exists; of an entity's names the smallest counts, it may be null."""
+    known = entities.where("id IS NOT NULL").groupBy(F.col("id").alias("entity_id")).agg(F.min("name").alias("name"))
+    return mentions.select("chunk_id", "entity_id").where("chunk_id IS NOT NULL AND entity_id IS NOT NULL").distinct().join(known, "entity_id")
 
 
-def _anchor_names(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+def _anchors(seeds: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of the seeds of at least 0.8 of the best score, or of all if none is."""
     top = F.max("score").over(Window.partitionBy("query_id"))
     flagged = seeds.withColumn("_a", F.col("score") >= top * ANCHOR_BAND)
-    anchors = flagged.withColumn("_any", F.max("_a").over(Window.partitionBy("query_id"))).where("_a OR NOT _any").select("query_id", "chunk_id")
-    return anchors.join(edges, "chunk_id").select("query_id", "name").distinct()
+    return flagged.withColumn("_any", F.max("_a").over(Window.partitionBy("query_id"))).where("_a OR NOT _any").select("query_id", "chunk_id")
 
 
-def expanded(seeds: DataFrame, mentions: DataFrame, entities: DataFrame, most: int = TOP_K) -> DataFrame:
-    """(query_id, chunk_id, shared_count, rank): chunks that share named entities with a query's best seeds.
+def expanded(seeds: DataFrame, queries: DataFrame, data: DataFrame, mentions: DataFrame, entities: DataFrame, most: int = TOP_K) -> DataFrame:
+    """(query_id, chunk_id, shared_count, score, rank): chunks that share entities with a query's best seeds.
 
-    Anchors are the seeds of at least 0.8 of the best score, or all if none is.
-    Sharing counts distinct entity names: both sides of the join are made
-    distinct by name before, so a plain count does, pre-aggregated in each task.
+    `seeds` (query_id, chunk_id, score), `queries` (query_id, vec), `data`
+    (chunk_id, vec). The count is that of distinct names of shared entities (an
+    entity without name makes a chunk a candidate, but doesn't count); order:
+    count, cosine to the query, chunk_id. Chunks without vector take no part.
     """
-    edges = _named_edges(mentions, entities)
-    counted = _anchor_names(seeds, edges).join(edges, "name").groupBy("query_id", "chunk_id").agg(F.count("*").cast("int").alias("shared_count"))
-    others = counted.join(seeds.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    return ranked(others, F.desc("shared_count"), F.asc("chunk_id")).where(F.col("rank") <= most)
+    edges = _edges(mentions, entities)
+    sign = F.xxhash64("entity_id")
+    label = F.coalesce(F.when(F.col("name").isNotNull(), F.xxhash64("name")), F.lit(0).cast("long"))
+    of = _anchors(seeds).join(edges, "chunk_id").groupBy("query_id").agg(F.collect_set(F.struct(sign.alias("sign"), label.alias("label"))).alias("e"))
+    own = seeds.groupBy("query_id").agg(F.collect_list("chunk_id").alias("skip"))
+    asked = queries.select("query_id", "vec").join(of, "query_id").join(own, "query_id").select("query_id", "vec", F.col("e.sign").alias("signs"), F.col("e.label").alias("labels"), "skip")
+    signed = edges.groupBy("chunk_id").agg(F.collect_list(sign).alias("signs"))
+    return shared_top(asked, data.select("chunk_id", "vec").join(signed, "chunk_id"), most)
 
 
-def graph_expand(seeds: DataFrame, mentions: DataFrame, entities: DataFrame, most: int = TOP_K) -> DataFrame:
+def graph_expand(seeds: DataFrame, queries: DataFrame, data: DataFrame, mentions: DataFrame, entities: DataFrame, most: int = TOP_K) -> DataFrame:
     """`expanded` with shared_entities, the sorted names; they are looked up for the chosen rows only."""
-    edges = _named_edges(mentions, entities)
-    chosen = expanded(seeds, mentions, entities, most)
-    shared = chosen.join(edges, "chunk_id").join(_anchor_names(seeds, edges), ["query_id", "name"], "left_semi")
+    seeds = materialize(seeds.select("query_id", "chunk_id", "score"), "seeds")
+    edges = _edges(mentions, entities).where("name IS NOT NULL")
+    chosen = expanded(seeds, queries, data, mentions, entities, most)
+    of = _anchors(seeds).join(edges, "chunk_id").select("query_id", "entity_id").distinct()
+    shared = chosen.select("query_id", "chunk_id").join(edges, "chunk_id").join(of, ["query_id", "entity_id"], "left_semi")
     names = shared.groupBy("query_id", "chunk_id").agg(F.sort_array(F.collect_set("name")).alias("shared_entities"))
-    return chosen.join(names, ["query_id", "chunk_id"])
+    return chosen.join(names, ["query_id", "chunk_id"], "left").withColumn("shared_entities", F.coalesce("shared_entities", F.array().cast("array<string>")))
+
+
+def fuse_graph(seeds: DataFrame, expansion: DataFrame, k: int = TOP_K) -> DataFrame:
+    """(query_id, chunk_id, fused, rank): two rankings fused, that of seeds and expansion together by cosine, and that of the expansion.
+
+    `seeds` (query_id, chunk_id, score), `expansion` (query_id, chunk_id, score,
+    rank); of a chunk in both the seed's score counts. A handful of rows a query.
+    """
+    rows = seeds.select("query_id", "chunk_id", F.col("score").alias("s"), F.lit(None).cast("double").alias("e"), F.lit(None).cast("int").alias("g"))
+    rows = rows.unionByName(expansion.select("query_id", "chunk_id", F.lit(None).cast("double").alias("s"), F.col("score").alias("e"), F.col("rank").alias("g")))
+    one = rows.groupBy("query_id", "chunk_id").agg(F.coalesce(F.max("s"), F.max("e")).alias("score"), F.min("g").alias("g"))
+    both = ranked(one, F.desc("score"), F.asc("chunk_id"), name="v")
+    fused = F.round(1.0 / (RRF_K + F.col("v")) + F.coalesce(1.0 / (RRF_K + F.col("g")), F.lit(0.0)), 12)
+    return ranked(both.select("query_id", "chunk_id", fused.alias("fused")), F.desc("fused"), F.asc("chunk_id")).where(F.col("rank") <= k)
 
 
 def graph_retrieve(queries: DataFrame, data: DataFrame, mentions: DataFrame, entities: DataFrame, k: int = TOP_K) -> DataFrame:
     """(query_id, chunk_id, fused, rank): seeds by vector fused with the chunks that their entities lead to."""
-    seeds = vector_top(queries, data, k)
-    more = expanded(seeds, mentions, entities, k)
-    both = rrf(seeds.select("query_id", "chunk_id", "rank").unionByName(more.select("query_id", "chunk_id", "rank")))
-    return ranked(both.withColumn("fused", F.round("fused", 9)), F.desc("fused"), F.asc("chunk_id")).where(F.col("rank") <= k)
+    seeds = materialize(vector_top(queries, data, k).select("query_id", "chunk_id", "score"), "seeds")
+    return fuse_graph(seeds, expanded(seeds, queries, data, mentions, entities, k), k)
+
+
+def graph_context(seeds: DataFrame, expansion: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score, nth): the context of an answer: the seeds that cleared the floor (query_id, chunk_id, score, rank), then the
+    expansion in its order without them; a query without such seeds has none."""
+    more = expansion.join(seeds.select("query_id").distinct(), "query_id", "left_semi").join(seeds.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    cols = ["query_id", "chunk_id", "score", "rank"]
+    both = seeds.select(*cols, F.lit(0).alias("_x")).unionByName(more.select(*cols, F.lit(1).alias("_x")))
+    return ranked(both, F.asc("_x"), F.asc("rank"), F.asc("chunk_id"), name="nth").drop("_x", "rank")
+
+
+# --- hybrid search over the whole index ---------------------------------------------------------------------------------------
+
+
+def _occurrences(asked: pd.Series, texts: list[str]) -> Callable[[list[str]], np.ndarray]:
+    """How often terms stand in each text (substrings, without overlap); all terms of `asked` are looked for in one pass over the texts."""
+    import ahocorasick
+
+    known = sorted({t for terms in asked for t in terms})
+    at: dict[str, tuple[list[int], list[int]]] = {t: ([], []) for t in known}
+    if known:
+        machine = ahocorasick.Automaton()
+        for t in known:
+            machine.add_word(t, t)
+        machine.make_automaton()
+        for i, text in enumerate(texts):
+            end: dict[str, int] = {}
+            n: dict[str, int] = {}
+            for stop, t in machine.iter(text):
+                if stop - len(t) >= end.get(t, -1):
+                    n[t] = n.get(t, 0) + 1
+                    end[t] = stop
+            for t, c in n.items():
+                at[t][0].append(i)
+                at[t][1].append(c)
+    packed = {t: (np.array(i, np.int64), np.array(c, np.int64)) for t, (i, c) in at.items()}
+
+    def of(terms: list[str]) -> np.ndarray:
+        out = np.zeros(len(texts), np.int64)
+        for t in terms:
+            out[packed[t][0]] += packed[t][1]
+        return out
+
+    return of
+
+
+def _block_terms(depth: int):
+    """Of a pair of blocks: each query's `depth` best rows by cosine and by the number of term occurrences."""
+
+    def work(key, queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(queries) and len(data):
+            data = data.sort_values("chunk_id", kind="stable")
+            ids, q, d = data["chunk_id"].to_numpy(), _units(queries["vec"]), _units(data["vec"])
+            said_of = _occurrences(queries["terms"], data["text"].fillna("").tolist())
+            for i, (qid, terms) in enumerate(zip(queries["query_id"], queries["terms"])):
+                cos, lex = (d @ q[i]).round(DIGITS), said_of(terms)
+                near, said = np.argsort(-cos, kind="stable")[:depth], np.argsort(-lex, kind="stable")[:depth]
+                rows += [(qid, ids[j], cos[j], lex[j]) for j in sorted({*near.tolist(), *said[lex[said] > 0].tolist()})]
+        return pd.DataFrame(rows, columns=["query_id", "chunk_id", "cos", "lex"]).astype({"cos": float, "lex": np.int64})
+
+    return work
+
+
+def _block_above(key, wanted: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
+    """Of a pair of blocks: how many rows stand before each wanted row in its query's two orders."""
+    rows = []
+    if len(wanted) and len(data):
+        data = data.sort_values("chunk_id", kind="stable")
+        ids, d = data["chunk_id"].to_numpy().astype(object), _units(data["vec"])
+        said_of = _occurrences(wanted["terms"], data["text"].fillna("").tolist())
+        for qid, g in wanted.groupby("query_id", sort=False):
+            cos, lex = (d @ _units(g["vec"].iloc[:1])[0]).round(DIGITS), said_of(list(g["terms"].iat[0]))
+            before = np.searchsorted(ids, g["chunk_id"].to_numpy().astype(object))
+            counts = []
+            for have, want in ((cos, g["cos"].to_numpy()), (lex, g["lex"].to_numpy())):
+                up = np.argsort(have, kind="stable")
+                low, high = np.searchsorted(have[up], want, "left"), np.searchsorted(have[up], want, "right")
+                # rows of an equal value keep their order by key
+                counts.append([len(have) - h + int(np.searchsorted(up[a:h], b)) for a, h, b in zip(low, high, before)])
+            rows += zip([qid] * len(g), g["chunk_id"], *counts)
+    return pd.DataFrame(rows, columns=["query_id", "chunk_id", "nearer", "fuller"])
+
+
+def hybrid_search(queries: DataFrame, data: DataFrame, k: int = TOP_K, rrf_k: int = RRF_K) -> DataFrame:
+    """(query_id, chunk_id, fused, rank): the ranking of the whole index by cosine fused with that by occurrences of the query's terms.
+
+    `queries` (query_id, vec, terms), `data` (chunk_id, vec, text). Occurrences are substrings of the folded text, without overlap; a row
+    without any has no lexical rank. Only rows among the first rrf_k + 2k of one of the rankings can be in the top k, since the first k of
+    either beat all others; each pair of blocks gives those, and a second pass counts their exact places.
+    """
+    spark = data.sparkSession
+    depth = rrf_k + 2 * k
+    sizes = queries.count(), data.count()
+    qb, db = max(1, -(-sizes[0] // QUERY_BLOCK)), max(min(8, spark.sparkContext.defaultParallelism), -(-sizes[1] // DATA_BLOCK))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {data.schema['chunk_id'].dataType.simpleString()}"
+    asked = queries.select("query_id", "vec", F.filter(F.transform("terms", T.fold), lambda t: t != "").alias("terms"))
+    right = data.select("chunk_id", "vec", T.fold(F.col("text")).alias("text"))
+    dealt = lambda rows: _blocks(rows, "query_id", "qb", qb, "db", db).groupBy("qb", "db").cogroup(_blocks(right, "chunk_id", "db", db, "qb", qb).groupBy("qb", "db"))
+    part = dealt(asked).applyInPandas(_block_terms(depth), f"{kinds}, cos double, lex long")
+    place = lambda *by: F.row_number().over(Window.partitionBy("query_id").orderBy(*by))
+    both = part.withColumn("c", place(F.desc("cos"), F.asc("chunk_id"))).withColumn("l", place(F.desc("lex"), F.asc("chunk_id")))
+    cand = materialize(both.where((F.col("c") <= depth) | ((F.col("l") <= depth) & (F.col("lex") > 0))).drop("c", "l"), "hybrid")
+    counted = dealt(cand.join(asked, "query_id")).applyInPandas(_block_above, f"{kinds}, nearer long, fuller long").groupBy("query_id", "chunk_id").agg(F.sum("nearer").alias("v"), F.sum("fuller").alias("l"))
+    lexical = F.when(F.col("lex") > 0, 1.0 / (rrf_k + 1 + F.col("l"))).otherwise(0.0)
+    fused = counted.join(cand, ["query_id", "chunk_id"]).select("query_id", "chunk_id", F.round(1.0 / (rrf_k + 1 + F.col("v")) + lexical, 12).alias("fused"))
+    return ranked(fused, F.desc("fused"), F.asc("chunk_id")).where(F.col("rank") <= k)
+
+
+# --- subjects of a question ----------------------------------------------------------------------------------------------------
+
+
+def anchor_docs(queries: DataFrame, entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(query_id, doc_id): the documents of a question's subjects, in two hops.
+
+    `queries` (query_id, text), `entities` (id, name), `mentions` (entity_id,
+    doc_id). A question names an entity if it holds its whole folded name (three
+    characters or more), or a word of at least four letters that is in the name
+    of one entity only. Documents of such entities are the first hop, documents
+    of all entities that stand in those the second. Whole names meet questions by
+    their first word, so no question meets all names; a name without letters and
+    digits names nothing.
+    """
+    known = entities.where("id IS NOT NULL AND name IS NOT NULL").groupBy("id").agg(F.min("name").alias("name"))
+    folded = known.select("id", T.fold(F.col("name")).alias("name")).withColumn("words", T.unicode_words(F.col("name")))
+    asked = queries.where("text IS NOT NULL").select("query_id", T.fold(F.col("text")).alias("q"), F.transform(T.query_terms(F.col("text")), T.fold).alias("terms"))
+    rare = folded.select("id", F.explode(F.array_distinct(F.filter("words", lambda w: F.length(w) >= 4))).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select("word", "id")
+    long = folded.where(F.length("name") >= 3)
+    by_word = asked.select("query_id", F.explode(F.array_distinct("terms")).alias("word")).join(rare, "word").select("query_id", "id").join(long.select("id"), "id", "left_semi")
+    # a name is held by a question as a string, so its first word may begin inside one of the question's: all ends of words meet
+    ends = F.flatten(F.transform(T.unicode_words(F.col("q")), lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, i, F.length(w)))))
+    heads = F.get("words", 0)
+    inner = asked.select("query_id", "q", F.explode(F.array_distinct(ends)).alias("head")).join(long.where(F.size("words") > 1).select("id", "name", heads.alias("head")), "head")
+    # a name of one word may also end inside a word: all runs of a word of its length meet
+    lens = F.flatten(F.transform(T.unicode_words(F.col("q")), lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.transform(F.sequence(F.lit(1), F.length(w) - i + 1), lambda n: F.substring(w, i, n))))))
+    single = asked.select("query_id", "q", F.explode(F.array_distinct(lens)).alias("head")).join(long.where(F.size("words") == 1).select("id", "name", heads.alias("head")), "head")
+    named = inner.unionByName(single).where(F.contains("q", F.col("name"))).select("query_id", "id").unionByName(by_word).distinct()
+    pairs = mentions.where("entity_id IS NOT NULL AND doc_id IS NOT NULL").select(F.col("entity_id").alias("id"), "doc_id").distinct().join(known.select("id"), "id", "left_semi")
+    first = named.join(pairs, "id").select("query_id", "doc_id").distinct()
+    around = first.join(pairs, "doc_id").select("query_id", "id").distinct()
+    return first.union(around.join(pairs, "id").select("query_id", "doc_id")).distinct()
+
+
+def named_subjects(queries: DataFrame) -> DataFrame:
+    """(query_id, subject, folded): phrases of two to four capitalised words of questions (query_id, text), each once by its folded form."""
+    phrase = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{Lu}\p{L}*(?:\s+\p{Lu}\p{L}*)+"), F.lit(0))
+    rows = queries.select("query_id", F.posexplode(phrase).alias("at", "subject")).withColumn("subject", F.trim("subject"))
+    rows = rows.where(F.size(F.split("subject", r"\s+")).between(2, 4)).withColumn("folded", T.fold(F.col("subject")))
+    return rows.groupBy("query_id", "folded").agg(F.min_by("subject", "at").alias("subject")).select("query_id", "subject", "folded")
+
+
+def ungrounded_subjects(queries: DataFrame, context: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query_id, subject) of questions none of whose subjects is grounded: neither the context (query_id, text) nor a known name holds one.
+
+    A subject and a name of at least three characters match if one holds the
+    other; they meet by a word in common.
+    """
+    subjects = named_subjects(queries)
+    said = context.where("text IS NOT NULL").groupBy("query_id").agg(F.concat_ws("\n", F.sort_array(F.collect_list(T.fold(F.col("text"))))).alias("hay"))
+    names = entities.where("name IS NOT NULL").select(T.fold(F.col("name")).alias("name")).where("length(name) >= 3").distinct()
+    one = lambda df, c: df.withColumn("word", F.explode(F.array_distinct(T.unicode_words(F.col(c)))))
+    met = one(subjects.select("folded").distinct(), "folded").join(one(names, "name"), "word").where(F.contains("folded", F.col("name")) | F.contains("name", F.col("folded"))).select("folded").distinct()
+    known = subjects.join(met.withColumn("_k", F.lit(True)), "folded", "left").join(said, "query_id", "left")
+    flag = F.coalesce("_k", F.lit(False)) | F.coalesce(F.contains("hay", F.col("folded")), F.lit(False))
+    return known.withColumn("_any", F.max(flag).over(Window.partitionBy("query_id"))).where("NOT _any").select("query_id", "subject")

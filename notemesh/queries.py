@@ -9,6 +9,7 @@ from notemesh.functions import markdown
 from notemesh.functions import text as T
 from notemesh.operators import chunking, context, corpus, graph, lifecycle, links, prompting
 from notemesh.operators import retrieval as R
+from notemesh.plans import materialize
 from notemesh.plans.registry import Registry
 from notemesh.sources import files, once, read_table, store
 
@@ -139,7 +140,7 @@ def _(s, d):
 # --- retrieval ---------------------------------------------------------------------------------------------------------------
 
 TOP = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
- t AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 12) AS s FROM embeddings, q),
+ t AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 10) AS s FROM embeddings, q),
  r AS (SELECT query_id, vec_id AS chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM t)"""
 
 
@@ -159,18 +160,50 @@ def _(s, d):
     return R.floor_top(others, context.FLOOR).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("lexical_topk", rf"""WITH q AS (SELECT DISTINCT turn_id, query FROM chat_turns WHERE turn_id % 20 = 0 AND query IS NOT NULL),
- w AS (SELECT turn_id, word, min(i) AS i FROM (SELECT turn_id, unnest(regexp_split_to_array(lower(query), '[^\p{{L}}\p{{N}}]+')) AS word, generate_subscripts(regexp_split_to_array(lower(query), '[^\p{{L}}\p{{N}}]+'), 1) AS i FROM q)
+UNIT = "len(embedding) = 96 AND list_sum(list_transform(embedding, lambda x: CASE WHEN isfinite(x) AND x IS NOT NULL THEN 0 ELSE 1 END)) = 0"
+COSINE = "round(coalesce(CASE WHEN isnan(list_cosine_similarity({0}, {1})) THEN 0 ELSE list_cosine_similarity({0}, {1}) END, 0), 10)"
+LEXICAL = rf"""w AS (SELECT query_id, word, min(i) AS i FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query), '[^\p{{L}}\p{{N}}]+')) AS word, generate_subscripts(regexp_split_to_array(lower(query), '[^\p{{L}}\p{{N}}]+'), 1) AS i FROM q)
    WHERE length(word) >= 3 AND NOT list_contains({STOPS}, word) GROUP BY ALL),
- terms AS (SELECT DISTINCT turn_id, {FOLD.format('word')} AS word FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY i) AS n FROM w) WHERE n <= 8),
+ terms AS (SELECT query_id, {FOLD.format('word')} AS word, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS n FROM w) WHERE n <= 8),
  c AS (SELECT DISTINCT chunk_id, unnest(regexp_split_to_array({FOLD.format('text')}, '[^\p{{L}}\p{{N}}]+')) AS word FROM chunks WHERE text IS NOT NULL),
- m AS (SELECT turn_id, chunk_id, count(*) AS words FROM c JOIN terms USING (word) GROUP BY ALL)
- SELECT turn_id AS query_id, chunk_id, words, rank FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY words DESC, chunk_id) AS rank FROM m) WHERE rank <= 8""")
+ m AS (SELECT query_id, chunk_id, count(*) AS words FROM c JOIN terms USING (word) GROUP BY ALL)"""
+
+
+@query("lexical_topk", f"""WITH q AS (SELECT DISTINCT turn_id AS query_id, query FROM chat_turns WHERE turn_id % 20 = 0 AND query IS NOT NULL), {LEXICAL}
+ SELECT query_id, chunk_id, words, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY words DESC, chunk_id) AS rank FROM m) WHERE rank <= 8""")
 def _(s, d):
     q = read_table(s, d, "chat_turns").where("turn_id % 20 = 0 AND query IS NOT NULL").select(F.col("turn_id").alias("query_id"), F.col("query").alias("text")).distinct()
     return R.lexical_top(q, chunks_of(s, d, "chunk_id", "text")).select("query_id", "chunk_id", "words", F.col("rank").cast("long").alias("rank"))
 
 
+@query("lexical_with_vectors", f"""WITH q AS (SELECT DISTINCT chunk_id AS query_id, text AS query, embedding::DOUBLE[] AS qv FROM chunks WHERE seq % 20 = 0 AND text IS NOT NULL AND {UNIT}), {LEXICAL},
+ v AS (SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS v FROM chunks WHERE {UNIT}),
+ s AS (SELECT m.*, {COSINE.format('qv', 'v')} AS score FROM m JOIN q USING (query_id) JOIN v USING (chunk_id))
+ SELECT query_id, chunk_id, words, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY words DESC, score DESC, chunk_id) AS rank FROM s) WHERE rank <= 8""")
+def _(s, d):
+    """A chunk's text and vector as the question: equal counts of words are told apart by cosine."""
+    q, c = chunk_vectors(s, d, "text")
+    out = R.lexical_top(q.where("text IS NOT NULL"), c)
+    return out.select("query_id", "chunk_id", "words", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+HYBRID_TERMS = "list_slice(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda t: length(t) >= 5), 1, 3)"
+
+
+@query("hybrid_search", f"""WITH c AS (SELECT DISTINCT chunk_id, seq, text, {FOLD.format('text')} AS folded, embedding::DOUBLE[] AS v FROM chunks WHERE text IS NOT NULL AND {UNIT}),
+ q AS (SELECT chunk_id AS query_id, v AS qv, {HYBRID_TERMS} AS terms FROM c WHERE seq % 20 = 0),
+ t AS (SELECT query_id, chunk_id, {COSINE.format('v', 'qv')} AS s, coalesce(list_sum(list_transform(terms, lambda t: CAST((length(folded) - length(replace(folded, t, ''))) / length(t) AS BIGINT))), 0) AS lex FROM q, c),
+ r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS v, CASE WHEN lex > 0 THEN row_number() OVER (PARTITION BY query_id ORDER BY lex DESC, chunk_id) END AS l FROM t),
+ f AS (SELECT query_id, chunk_id, round(1.0::DOUBLE / (60 + v) + coalesce(1.0::DOUBLE / (60 + l), 0), 12) AS fused FROM r)
+ SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS rank FROM f) WHERE rank <= 8""")
+def _(s, d):
+    """The whole index ranked by cosine and by occurrences of the first three long ASCII words of the asking chunk."""
+    q, c = chunk_vectors(s, d, "text")
+    terms = F.slice(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda t: F.length(t) >= 5), 1, 3)
+    out = R.hybrid_search(q.where("text IS NOT NULL").select("query_id", "vec", terms.alias("terms")), c.where("text IS NOT NULL"))
+    return out.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
 @query("rrf_fuse", f"WITH {HITS} SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)) + sum(1.0 / (60 + hit_rank)), 9) AS fused FROM h WHERE hit_rank IS NOT NULL GROUP BY ALL")
 def _(s, d):
     h = hits_of(s, d).where("hit_rank IS NOT NULL")
@@ -195,15 +228,16 @@ def _(s, d):
     return R.relevant(hits_of(s, d)).select("hit_id", "query_id", "score")
 
 
-ANCHORS = "a AS (SELECT DISTINCT h.query_id, m.doc_id FROM h JOIN mentions m ON m.chunk_id = h.chunk_id WHERE h.rank = 1 AND m.doc_id IS NOT NULL)"
+ANCHORS = "a AS (SELECT DISTINCT h.query_id, m.doc_id FROM h JOIN mentions m ON m.chunk_id = h.chunk_id WHERE m.doc_id IS NOT NULL AND h.rank <= 2)"
 
 
-@query("restrict_to_entities", f"WITH {HITS}, {ANCHORS} SELECT hit_id, query_id FROM h WHERE query_id NOT IN (SELECT query_id FROM a) OR score >= 0.6 OR EXISTS (SELECT 1 FROM a WHERE a.query_id = h.query_id AND a.doc_id = h.doc_id)")
+@query("restrict_to_entities", f"WITH {HITS}, {ANCHORS} SELECT hit_id, query_id FROM h WHERE query_id NOT IN (SELECT query_id FROM a) OR score >= 0.6 OR hit_rank = 3 OR EXISTS (SELECT 1 FROM a WHERE a.query_id = h.query_id AND a.doc_id = h.doc_id)")
 def _(s, d):
+    """Anchors are the documents of the first two hits here, since stored searches have no question text; third hits are protected."""
     h = hits_of(s, d)
     m = read_table(s, d, "mentions").where("doc_id IS NOT NULL").select("chunk_id", F.col("doc_id").alias("to")).distinct()
-    anchors = h.where("rank = 1").select("query_id", "chunk_id").join(m, "chunk_id").select("query_id", F.col("to").alias("doc_id"))
-    return R.restrict_to_anchors(h, anchors).select("hit_id", "query_id")
+    anchors = h.where("rank <= 2").select("query_id", "chunk_id").join(m, "chunk_id").select("query_id", F.col("to").alias("doc_id"))
+    return R.restrict_to_anchors(h, anchors, protect=h.where("hit_rank = 3")).select("hit_id", "query_id")
 
 
 @query("best_per_doc", f"WITH {HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank, chunk_id) AS k FROM h) SELECT query_id, doc_id, chunk_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS nth FROM o WHERE k = 1) WHERE nth <= 5")
@@ -216,37 +250,85 @@ def _(s, d):
     return R.best_per_doc(hits_of(s, d)).select("query_id", "doc_id", F.col("nth").cast("long").alias("number"))
 
 
-GRAPH = """q AS (SELECT DISTINCT chunk_id AS query_id, embedding::DOUBLE[] AS v FROM chunks WHERE seq % 20 = 0 AND len(embedding) = 96 AND list_sum(list_transform(embedding, lambda x: CASE WHEN isfinite(x) AND x IS NOT NULL THEN 0 ELSE 1 END)) = 0),
- c AS (SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS v FROM chunks WHERE len(embedding) = 96 AND list_sum(list_transform(embedding, lambda x: CASE WHEN isfinite(x) AND x IS NOT NULL THEN 0 ELSE 1 END)) = 0),
- t AS (SELECT query_id, chunk_id, round(coalesce(CASE WHEN isnan(list_cosine_similarity(c.v, q.v)) THEN 0 ELSE list_cosine_similarity(c.v, q.v) END, 0), 12) AS s FROM c, q),
- seeds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM t) WHERE rank <= 8),
- b AS (SELECT *, s >= max(s) OVER (PARTITION BY query_id) * 0.8 AS a FROM seeds),
- an AS (SELECT query_id, chunk_id FROM (SELECT *, bool_or(a) OVER (PARTITION BY query_id) AS o FROM b) WHERE a OR NOT o),
- ed AS (SELECT DISTINCT chunk_id, entity_id FROM mentions WHERE chunk_id IS NOT NULL AND entity_id IS NOT NULL),
- nm AS (SELECT id AS entity_id, min(name) AS name FROM entities WHERE name IS NOT NULL GROUP BY id),
- sh AS (SELECT o.query_id, ed.chunk_id, count(DISTINCT nm.name) AS shared FROM (SELECT DISTINCT query_id, entity_id FROM an JOIN ed USING (chunk_id)) o JOIN nm USING (entity_id) JOIN ed USING (entity_id)
-   WHERE (o.query_id, ed.chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM seeds) GROUP BY ALL),
- ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, chunk_id) AS rank FROM sh) WHERE rank <= 8)"""
+GRAPH = f"""q AS (SELECT DISTINCT chunk_id AS query_id, embedding::DOUBLE[] AS qv FROM chunks WHERE seq % 20 = 0 AND {UNIT}),
+ c AS (SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS v FROM chunks WHERE {UNIT}),
+ t AS (SELECT query_id, chunk_id, {COSINE.format('v', 'qv')} AS score FROM c, q),
+ seeds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM t) WHERE rank <= 8),
+ band AS (SELECT *, score >= 0.8 * max(score) OVER (PARTITION BY query_id) AS near FROM seeds),
+ anchor AS (SELECT query_id, chunk_id FROM (SELECT *, bool_or(near) OVER (PARTITION BY query_id) AS found FROM band) WHERE near OR NOT found),
+ live AS (SELECT DISTINCT chunk_id, entity_id FROM mentions WHERE entity_id IN (SELECT id FROM entities) AND chunk_id IN (SELECT chunk_id FROM c)),
+ subject AS (SELECT DISTINCT query_id, entity_id FROM anchor JOIN live USING (chunk_id)),
+ sibling AS (SELECT query_id, chunk_id, count(DISTINCT (SELECT min(name) FROM entities WHERE id = entity_id)) AS shared FROM subject JOIN live USING (entity_id) ANTI JOIN seeds USING (query_id, chunk_id) GROUP BY ALL),
+ ex AS (SELECT * FROM (SELECT query_id, chunk_id, shared, score, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, score DESC, chunk_id) AS rank FROM sibling JOIN t USING (query_id, chunk_id)) WHERE rank <= 8),
+ pool AS (SELECT query_id, chunk_id, score, NULL AS g FROM seeds UNION ALL SELECT query_id, chunk_id, score, rank FROM ex),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS v FROM pool),
+ fuse AS (SELECT query_id, chunk_id, round(1.0::DOUBLE / (60 + v) + CASE WHEN g IS NULL THEN 0 ELSE 1.0::DOUBLE / (60 + g) END, 12) AS fused FROM placed)"""
 
 
-def chunk_vectors(s, d):
+def chunk_vectors(s, d, *more):
     v = F.col("embedding")
     good = (F.size(v) == 96) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    c = read_table(s, d, "chunks").where("embedding IS NOT NULL").where(good).select("chunk_id", "seq", v.alias("vec")).distinct()
-    return c.where("seq % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vec"), c.select("chunk_id", "vec")
+    c = read_table(s, d, "chunks").where("embedding IS NOT NULL").where(good).select("chunk_id", "seq", *more, v.alias("vec")).distinct()
+    return c.where("seq % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vec", *more), c.select("chunk_id", "vec", *more)
 
 
-@query("graph_expand", f"WITH {GRAPH} SELECT query_id, chunk_id, shared AS shared_count, rank FROM ex")
+def graph_rows(s, d):
+    q, c = chunk_vectors(s, d)
+    return q, c, read_table(s, d, "mentions"), read_table(s, d, "entities")
+
+
+@query("graph_expand", f"WITH {GRAPH} SELECT query_id, chunk_id, shared AS shared_count, round(score, 6) AS score, rank FROM ex")
 def _(s, d):
-    seeds = R.vector_top(*chunk_vectors(s, d))
-    out = R.graph_expand(seeds, read_table(s, d, "mentions"), read_table(s, d, "entities"))
-    return out.select("query_id", "chunk_id", F.col("shared_count").cast("long").alias("shared_count"), F.col("rank").cast("long").alias("rank"))
+    q, c, m, e = graph_rows(s, d)
+    out = R.graph_expand(R.vector_top(q, c), q, c, m, e)
+    return out.select("query_id", "chunk_id", F.col("shared_count").cast("long").alias("shared_count"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("graph_retrieve", f"WITH {GRAPH}, f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused FROM (SELECT query_id, chunk_id, rank FROM seeds UNION ALL SELECT query_id, chunk_id, rank FROM ex) GROUP BY ALL) SELECT query_id, chunk_id, fused, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS rank FROM f) WHERE rank <= 8")
+@query("graph_retrieve", f"WITH {GRAPH} SELECT query_id, chunk_id, round(fused, 9) AS fused, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS rank FROM fuse) WHERE rank <= 8")
 def _(s, d):
-    q, c = chunk_vectors(s, d)
-    return R.graph_retrieve(q, c, read_table(s, d, "mentions"), read_table(s, d, "entities")).withColumn("rank", F.col("rank").cast("long"))
+    return R.graph_retrieve(*graph_rows(s, d)).select("query_id", "chunk_id", F.round("fused", 9).alias("fused"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("graph_context", f"WITH {GRAPH}, ok AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM seeds) WHERE top >= 0.45 AND score >= 0.75 * top AND score >= 0.45), u AS (SELECT query_id, chunk_id, score, 0 AS x, rank FROM ok UNION ALL SELECT query_id, chunk_id, score, 1, rank FROM ex WHERE query_id IN (SELECT query_id FROM ok)) SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY x, rank) AS nth FROM u")
+def _(s, d):
+    q, c, m, e = graph_rows(s, d)
+    seeds = materialize(R.vector_top(q, c), "seeds")
+    out = R.graph_context(R.relevant(seeds), R.expanded(seeds, q, c, m, e))
+    return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("nth").cast("long").alias("nth"))
+
+
+QUESTIONS = "q AS (SELECT DISTINCT turn_id AS query_id, query AS text FROM chat_turns WHERE query IS NOT NULL)"
+
+
+def questions(s, d):
+    return read_table(s, d, "chat_turns").where("query IS NOT NULL").select(F.col("turn_id").alias("query_id"), F.col("query").alias("text")).distinct()
+
+
+@query("anchor_docs", rf"""WITH {QUESTIONS}, e AS (SELECT id, {FOLD.format('min(name)')} AS name FROM entities WHERE id IS NOT NULL AND name IS NOT NULL GROUP BY id),
+ ew AS (SELECT DISTINCT id, unnest(regexp_split_to_array(name, '[^\p{{L}}\p{{N}}]+')) AS word FROM e), rare AS (SELECT word, min(id) AS id FROM ew WHERE length(word) >= 4 GROUP BY word HAVING count(*) = 1),
+ qw AS (SELECT DISTINCT query_id, {FOLD.format('word')} AS word FROM (SELECT query_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS word FROM q) WHERE length(word) >= 3 AND NOT list_contains({STOPS}, word)),
+ named AS (SELECT query_id, id FROM q JOIN e ON length(name) >= 3 AND regexp_matches(name, '[\p{{L}}\p{{N}}]') AND contains({FOLD.format('text')}, name) UNION SELECT query_id, id FROM qw JOIN rare USING (word) JOIN e USING (id) WHERE length(name) >= 3),
+ p AS (SELECT DISTINCT entity_id AS id, doc_id FROM mentions WHERE doc_id IS NOT NULL AND entity_id IN (SELECT id FROM e)),
+ one AS (SELECT DISTINCT query_id, doc_id FROM named JOIN p USING (id)), two AS (SELECT DISTINCT query_id, id FROM one JOIN p USING (doc_id))
+ SELECT query_id, doc_id FROM one UNION SELECT query_id, doc_id FROM two JOIN p USING (id)""")
+def _(s, d):
+    return R.anchor_docs(questions(s, d), read_table(s, d, "entities"), read_table(s, d, "mentions"))
+
+
+@query("named_subjects", rf"WITH {QUESTIONS}, p AS (SELECT query_id, unnest(x) AS subject, generate_subscripts(x, 1) AS i FROM (SELECT query_id, regexp_extract_all(text, '\p{{Lu}}\p{{L}}*(?:\s+\p{{Lu}}\p{{L}}*)+') AS x FROM q)) SELECT query_id, arg_min(subject, i) AS subject FROM p WHERE len(regexp_split_to_array(subject, '\s+')) BETWEEN 2 AND 4 GROUP BY query_id, {FOLD.format('subject')}")
+def _(s, d):
+    return R.named_subjects(questions(s, d)).select("query_id", "subject")
+
+
+@query("ungrounded_subjects", rf"""WITH {QUESTIONS}, p AS (SELECT query_id, unnest(x) AS subject, generate_subscripts(x, 1) AS i FROM (SELECT query_id, regexp_extract_all(text, '\p{{Lu}}\p{{L}}*(?:\s+\p{{Lu}}\p{{L}}*)+') AS x FROM q)),
+ s AS (SELECT query_id, {FOLD.format('subject')} AS f, arg_min(subject, i) AS subject FROM p WHERE len(regexp_split_to_array(subject, '\s+')) BETWEEN 2 AND 4 GROUP BY ALL),
+ e AS (SELECT DISTINCT {FOLD.format('name')} AS n FROM entities WHERE length(name) >= 3),
+ a AS (SELECT DISTINCT turn_id AS query_id, {FOLD.format('answer')} AS hay FROM chat_turns WHERE answer IS NOT NULL),
+ k AS (SELECT s.*, EXISTS (SELECT 1 FROM e WHERE contains(s.f, n) OR contains(n, s.f)) OR EXISTS (SELECT 1 FROM a WHERE a.query_id = s.query_id AND contains(hay, s.f)) AS ok FROM s)
+ SELECT query_id, subject FROM (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS found FROM k) WHERE NOT found""")
+def _(s, d):
+    said = read_table(s, d, "chat_turns").select(F.col("turn_id").alias("query_id"), F.col("answer").alias("text")).distinct()
+    return R.ungrounded_subjects(questions(s, d), said, read_table(s, d, "entities"))
 
 
 @query("add_lexical", f"WITH {HITS}, c AS (SELECT query_id, chunk_id, min(rank) AS rank FROM h WHERE rank <= 3 GROUP BY ALL), l AS (SELECT query_id, chunk_id, min(hit_rank) AS hr FROM h WHERE hit_rank IS NOT NULL GROUP BY ALL), x AS (SELECT l.query_id, l.chunk_id, row_number() OVER (PARTITION BY l.query_id ORDER BY l.hr, l.chunk_id) AS k FROM l ANTI JOIN c ON c.query_id = l.query_id AND c.chunk_id = l.chunk_id) SELECT query_id, chunk_id, rank FROM c UNION ALL SELECT x.query_id, x.chunk_id, x.k + coalesce(m.m, 0) FROM x LEFT JOIN (SELECT query_id, max(rank) AS m FROM c GROUP BY 1) m USING (query_id) WHERE x.k <= 4")

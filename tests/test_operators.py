@@ -39,12 +39,74 @@ def test_rerank_demotes_topical(spark):
     assert got == {("q", "y"): 1, ("q", "x"): 2, ("r", "x"): 1}
 
 
+V = "chunk_id string, vec array<float>"
+
+
 def test_graph_expand(spark):
     seeds = spark.createDataFrame([("q", "c1", 0.9), ("q", "c2", 0.2)], "query_id string, chunk_id string, score double")
-    m = spark.createDataFrame([("c1", "e1"), ("c1", "e1"), ("c3", "e1"), ("c3", "e1"), ("c2", "e2"), ("c4", "e2")], "chunk_id string, entity_id string")
-    e = spark.createDataFrame([("e1", "Acme"), ("e2", "Beta")], "id string, name string")
-    got = R.graph_expand(seeds, m, e).collect()
-    assert [(r.chunk_id, r.shared_count, r.shared_entities) for r in got] == [("c3", 1, ["Acme"])]
+    m = spark.createDataFrame([("c1", "e1"), ("c1", "e1"), ("c3", "e1"), ("c3", "e1"), ("c2", "e2"), ("c4", "e2"), ("c5", "e1"), ("c1", "e3"), ("c5", "e3"), ("c6", "e4"), ("c1", "e5"), ("c7", "e5"), ("c8", "e1"), (None, "e1")], "chunk_id string, entity_id string")
+    e = spark.createDataFrame([("e1", "Acme"), ("e2", "Beta"), ("e3", "Acme"), ("e4", "Acme"), ("e5", None)], "id string, name string")
+    q = spark.createDataFrame([("q", [1.0, 0.0])], VEC)
+    c = spark.createDataFrame([("c1", [1.0, 0.0]), ("c2", [0.0, 1.0]), ("c3", [0.0, 1.0]), ("c4", [1.0, 0.0]), ("c5", [1.0, 1.0]), ("c6", [1.0, 0.0]), ("c7", [1.0, 0.0])], V)
+    got = R.graph_expand(seeds, q, c, m, e).orderBy("rank").collect()
+    # one name under two ids counts once, another id of the name is no shared entity, an entity without name counts nothing; then cosine decides
+    assert [(r.chunk_id, r.shared_count, r.shared_entities) for r in got] == [("c5", 1, ["Acme"]), ("c3", 1, ["Acme"]), ("c7", 0, [])]
+
+
+@pytest.mark.parametrize(
+    ("seeds", "more", "k", "want"),
+    [([("a", 0.9), ("b", 0.8)], [], 2, ["a", "b"]), ([("a", 0.9)], [("e", 0.2)], 1, ["e"]), ([("a", 0.9)], [("a", 0.5), ("b", 0.2)], 5, ["a", "b"]), ([("a", 0.9), ("b", 0.8)], [("c", 0.3), ("d", 0.2)], 3, None)],
+)
+def test_graph_fusion(spark, seeds, more, k, want):
+    s = spark.createDataFrame([("q", *x) for x in seeds], "query_id string, chunk_id string, score double")
+    x = spark.createDataFrame([("q", c, v, i) for i, (c, v) in enumerate(more, 1)], "query_id string, chunk_id string, score double, rank int")
+    got = [r.chunk_id for r in R.fuse_graph(s, x, k).orderBy("rank").collect()]
+    assert got == want if want else len(got) == k
+
+
+def test_graph_context(spark):
+    shape = "query_id string, chunk_id string, score double, rank int"
+    seeds = spark.createDataFrame([("q", "s1", 0.68, 1)], shape)
+    more = spark.createDataFrame([("q", "s1", 0.4, 1), ("q", "e1", 0.21, 2), ("r", "e1", 0.2, 1)], shape)
+    assert [(r.query_id, r.chunk_id, r.score) for r in R.graph_context(seeds, more).orderBy("nth").collect()] == [("q", "s1", 0.68), ("q", "e1", 0.21)]
+
+
+def test_lexical_search(spark):
+    c = spark.createDataFrame([("sleep#0", "melatonin regulates the circadian rhythm", [1.0, 0.0, 0.0]), ("inv#0", "Invoice ACME-9931 paid in full", [0.0, 1.0, 0.0]), ("spend#0", "we spend the weekend offsite", [0.0, 0.0, 1.0]), ("vn#0", "ngân sách cho chuyến đi Kyoto", [0.5, 0.5, 0.0]), ("z", "acme", [0.9, 0.1, 0.0]), ("null", None, [1.0, 0.0, 0.0])], "chunk_id string, text string, vec array<float>")
+    find = lambda t: [r.chunk_id for r in R.lexical_top(spark.createDataFrame([("q", t, [1.0, 0.0, 0.0])], "query_id string, text string, vec array<float>"), c).orderBy("rank").collect()]
+    assert find("Acme 9931") == ["inv#0", "z"] and find("acme") == ["z", "inv#0"] and find("end") == [] and find("ngan sach") == ["vn#0"] and find("the") == []
+
+
+def test_hybrid_search_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"c{i:03d}", rng.standard_normal(4).tolist(), " ".join(rng.choice(["aa", "ab", "b", "é", "x"], 6))) for i in range(120)]
+    q = spark.createDataFrame([("q", [1.0, 0.5, 0.0, 0.0], ["aa", "É", ""]), ("r", [0.0, 1.0, 0.0, 0.0], ["zzz"])], "query_id string, vec array<double>, terms array<string>")
+    got = R.hybrid_search(q, spark.createDataFrame(rows, "chunk_id string, vec array<double>, text string"), 4, 10).toPandas().sort_values("rank")
+    for qid, vec, terms in (("q", [1.0, 0.5, 0, 0], ["aa", "é"]), ("r", [0, 1.0, 0, 0], ["zzz"])):
+        cos = {c: round(float(np.dot(v, vec) / np.linalg.norm(v) / np.linalg.norm(vec)), 10) for c, v, _ in rows}
+        lex = {c: sum(t.count(w) for w in terms) for c, _, t in rows}
+        fused = dict.fromkeys(cos, 0.0)
+        for order in (sorted(cos, key=lambda c: (-cos[c], c)), sorted((c for c in lex if lex[c]), key=lambda c: (-lex[c], c))):
+            for i, c in enumerate(order, 1):
+                fused[c] += 1 / (10 + i)
+        assert got.loc[got["query_id"] == qid, "chunk_id"].tolist() == sorted(fused, key=lambda c: (-round(fused[c], 12), c))[:4]
+
+
+def test_anchor_documents(spark):
+    e = spark.createDataFrame([("h", "Project Harmony"), ("y", "Yamaha"), ("g", "Globex Industries"), ("f", "Project Falcon"), ("n", None)], "id string, name string")
+    m = spark.createDataFrame([("h", "budget"), ("h", "competition"), ("y", "competition"), ("y", "poc"), ("g", "globex"), ("f", "falcon"), ("n", "x")], "entity_id string, doc_id string")
+    ask = lambda t: {r.doc_id for r in R.anchor_docs(spark.createDataFrame([("q", t)], "query_id string, text string"), e, m).collect()}
+    assert ask("How do I de-risk the Project Harmony budget?") == ask("what is the harmony budget") == {"budget", "competition", "poc"}
+    assert ask("summarize the open risks") == ask("the project") == set()
+
+
+def test_subjects(spark):
+    q = spark.createDataFrame([(1, "Who is Ngọc Anh?"), (2, "Is Project Harmony with Jane Roe?"), (3, "What Does Everybody Think About This Now"), (4, None)], "query_id long, text string")
+    assert {(r.query_id, r.subject) for r in R.named_subjects(q).collect()} == {(1, "Ngọc Anh"), (2, "Is Project Harmony"), (2, "Jane Roe")}
+    said = spark.createDataFrame([(1, "nothing"), (2, None)], "query_id long, text string")
+    names = spark.createDataFrame([("Harmony",), (None,), ("an",)], "name string")
+    assert {r.query_id for r in R.ungrounded_subjects(q, said, names).collect()} == {1}
+    assert R.ungrounded_subjects(q, spark.createDataFrame([(1, "say NGOC ANH here")], "query_id long, text string"), names).count() == 0
 
 
 def test_reach_and_components(spark):
