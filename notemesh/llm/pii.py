@@ -1,8 +1,10 @@
 """Problem 7: personal information in free text, found and replaced by typed placeholders.
 
-Regular expressions propose spans with a score, checksum validators (Luhn,
-mod 97, mod 23 letters) and nearby context words move it, and spans that reach
-THRESHOLD count. Inline markup is looked through: patterns run over the text
+Regular expressions propose spans with a score, nearby context words adjust it,
+and spans that reach THRESHOLD count. A number without such words is below it;
+a checksum of the number's own scheme (Luhn, mod 97, mod 23, mod 11) confirms it,
+a failed one doesn't. A number that words name counts with a wrong checksum too,
+since people mistype them. Inline markup is looked through: patterns run over the text
 without it, and positions are those of the original text.
 
 Given names come from the table of nicknames and from names of the knowledge
@@ -81,12 +83,52 @@ def luhn(digits: str) -> bool:
 
 
 def mod97(digits: str) -> bool:
-    return len(digits) >= 10 and int(digits) % 97 == 1
+    """Whether the last two digits are 97 less the rest modulo 97."""
+    return len(digits) >= 10 and 97 - int(digits[:-2]) % 97 == int(digits[-2:])
 
 
 def mod23(number: str) -> bool:
-    m = re.fullmatch(r"(\d{8})[ -]?([A-Z])", number)
-    return bool(m) and "TRWAGMYFPDXBNJZSQVHLCKE"[int(m[1]) % 23] == m[2]
+    m = re.fullmatch(r"([XYZ]?)(\d{7,8})[ -]?([A-Z])", number)
+    if not m or len(m[1] + m[2]) != 8:
+        return False
+    lead = str("XYZ".index(m[1])) if m[1] else ""
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[int(lead + m[2]) % 23] == m[3]
+
+
+def mod11(digits: str) -> bool:
+    """Eleven digits, of which the last two check those before them, weighted from 2 up."""
+    if len(digits) != 11 or len(set(digits)) == 1:
+        return False
+    for n in (9, 10):
+        rest = sum(int(d) * (n + 1 - i) for i, d in enumerate(digits[:n])) * 10 % 11 % 10
+        if rest != int(digits[n]):
+            return False
+    return True
+
+
+def mod11_10(digits: str) -> bool:
+    """Eleven digits with a check digit by ISO 7064 mod 11,10."""
+    p = 10
+    for d in digits[:10]:
+        p = ((int(d) + p) % 10 or 10) * 2 % 11
+    return len(digits) == 11 and digits[0] != "0" and (11 - p) % 10 == int(digits[10])
+
+
+# Numbers that are written in the way of a scheme with a checksum, and the check.
+CHECKED = (
+    (re.compile(r"[XYZ]?\d{7,8}[ -]?[A-Z]"), lambda n, d: mod23(n)),
+    (re.compile(r"[12] ?\d\d ?(?:0[1-9]|1[0-2]) ?\d\d ?\d{3} ?\d{3} ?\d\d"), lambda n, d: mod97(d)),
+    (re.compile(r"\d\d\.(?:0\d|1[0-2])\.[0-3]\d-\d{3}\.\d\d"), lambda n, d: mod97(d) or mod97("2" + d)),
+    (re.compile(r"\d{3}\.\d{3}\.\d{3}-\d\d"), lambda n, d: mod11(d)),
+    (re.compile(r"\d\d \d{3} \d{3} \d{3}"), lambda n, d: mod11_10(d)),
+    (re.compile(r"(?:\d\d)?\d\d(?:0[1-9]|1[0-2])(?:[0-2]\d|3[01])-\d{4}"), lambda n, d: luhn(d[-10:])),
+)
+
+
+def checked(number: str) -> bool:
+    """Whether a number is of a scheme with a checksum and has the right one."""
+    digits = re.sub(r"\D", "", number)
+    return any(p.fullmatch(number) and right(number, digits) for p, right in CHECKED)
 
 
 INLINE = re.compile(
@@ -227,12 +269,11 @@ def find(text: str | None, given: frozenset[str]) -> list[tuple[str, int, int]]:
         m = IDNO.match(plain, begin.start() if begin else at) or IDNO.match(plain, at)
         if m:
             lead = plain[max(0, m.start() - 60) : m.start()]
-            digits = re.sub(r"\D", "", m[0])
             s = 0.3 + 0.6 * bool(ID_WORDS.search(lead)) - 0.7 * bool(NOT_PERSONAL.search(lead))
             if re.fullmatch(r"(?!9[78]\d-)\d{3}-\d{2}-\d{4}", m[0]):
                 s += 0.3
-            if luhn(digits) or mod97(digits) or mod23(m[0]):
-                s += 0.1
+            if checked(m[0]):
+                s += 0.35
             found.append((s, m.start(), m.end(), "idno"))
             done = max(done, m.end())
     if given:

@@ -1,12 +1,17 @@
 """Problem 10: template residue, filler, error pages and script notices.
 
-A multi-pattern automaton (Aho–Corasick) with phrases of several languages runs
-over every whole text. The characters its matches cover, as a share of those that
-aren't page furniture, decide: a text that mostly consists of such phrases is a
-left-over; one that quotes a phrase among real sentences is not. Fields of a
-template count wherever they stand for a value (a line, the value of a label, a
-heading, a salutation), even with real text around them; inside sentences they count
-if there are several or one stands for a name, unless the sentence speaks about fields.
+A multi-pattern automaton (Aho–Corasick) with phrases of several languages, the
+words of dummy text and the openings of template fields runs over every whole
+text. The characters its matches cover, as a share of those that aren't page
+furniture, decide: a text that mostly consists of such phrases or words is a
+left-over; one that quotes a phrase among real sentences is not. Dummy words are
+the usual Latin ones and those the corpus shows to be such: words of which nearly
+all documents have several of the usual ones (counted over all documents).
+
+Openings of fields are read with the fields' syntax. Fields count wherever they
+stand for a value (a line, the value of a label, a heading, a salutation), even
+with real text around them; inside sentences they count if there are several or
+one stands for a name, unless the sentence speaks about fields.
 
 Defined cases: null, empty and blank texts are no cases; repeated rows of a key
 count once; one kind per document, in the order placeholder, script_notice,
@@ -27,8 +32,11 @@ from pyspark.sql import functions as F
 from notemesh.plans.registry import Registry
 from notemesh.sources import read_table
 
-#: Share of a text that the phrases of one kind must cover.
-COVERAGE = 0.5
+#: Share of a text that the phrases of one kind must cover; dummy words must be this many.
+COVERAGE, LEAST_DUMMY = 0.5, 3
+#: Dummy words are learnt from documents in which the usual ones, at least LEAST_DUMMY, are SEED_SHARE of the words: words that stand in
+#: LEARN_DOCS such documents, of all their documents LEARN_SHARE. The MOST_LEARNT most frequent make the model that is sent to the workers.
+SEED_SHARE, LEARN_DOCS, LEARN_SHARE, MOST_LEARNT = 0.15, 3, 0.6, 20_000
 
 # Phrases, lower case; 0 stands for a number. The first words of a message are enough, its sentence counts as covered.
 SCRIPT_NOTICE = """
@@ -58,10 +66,13 @@ texte de remplissage|faux texte|texte factice|votre texte ici|contenu à venir|t
 texto de relleno|texto de ejemplo|su texto aquí|tu texto aquí|contenido pendiente|texto provisional|próximamente
 texto de preenchimento|texto de exemplo|o seu texto aqui|seu texto aqui|conteúdo a definir|texto provisório|em breve
 """
-LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua veniam nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa officia deserunt mollit anim est laborum ceteris cubil merum moru nimbor nostra persil plaga quarum rotunda salis sustena trabum ventor vexil"
+LATIN = (
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua veniam nostrud exercitation ullamco laboris nisi aliquip commodo consequat "
+    "duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa officia deserunt mollit anim est laborum"
+)
 MASHED = "asdf asdfgh qwer qwerty qwertz jkl foo bar baz bla blah test xxx abc"
 PROMPTS = "heading 0|type something|untitled section|add a description|click to edit|click to add|enter text here|new section|add a title|write something"
-FURNITURE = "openproxy/0.0|request id|menu|sign in|home|search|login|contact the administrator|back|clip service|clipped page|loading...|learn how|reader view|<title>error</title>|incident|code js-0|ref|0%"
+FURNITURE = "request id|menu|sign in|home|search|login|contact the administrator|back|clip service|clipped page|loading...|learn how|reader view|<title>error</title>|incident|ref|0%"
 
 FIELD = (
     r"(?:\{\{\s*(?:[^{}\n]{1,40}|[^{}|\n]+)\}\}|\$\{\s*[^{}\n]+\}|\$[A-Z][A-Z0-9_]+\$|@@\w+@@|%%\w+%%|__[A-Z][A-Z0-9_]*__|<<[^<>\n]+>>|<%=?[^%\n]+%>"
@@ -93,12 +104,17 @@ def normal(text: str) -> str:
     return re.sub(r"\d+", "0", t)
 
 
-@functools.cache
-def automaton():
+# How the fields above begin, lower case.
+OPENINGS = "{{|${|$|@@|%%|__|<<|<%|[|todo:|xxxx|<|{"
+
+
+@functools.lru_cache(maxsize=4)
+def automaton(learnt: frozenset[str] = frozenset()):
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for kind, phrases in (("script_notice", SCRIPT_NOTICE), ("error_page", ERROR_PAGE), ("filler", FILLER), ("placeholder", PROMPTS), ("", FURNITURE)):
+    words = "|".join([*LATIN.split(), *MASHED.split(), *sorted(learnt)])
+    for kind, phrases in (("field", OPENINGS), ("word", words), ("script_notice", SCRIPT_NOTICE), ("error_page", ERROR_PAGE), ("filler", FILLER), ("placeholder", PROMPTS), ("", FURNITURE)):
         for p in re.split(r"[|\n]+", phrases.strip()):
             if p.strip():
                 a.add_word(p.strip(), (kind, len(p.strip())))
@@ -106,23 +122,25 @@ def automaton():
     return a
 
 
-LATIN_WORDS = frozenset(LATIN.split()) | frozenset(MASHED.split())
+SEEDS = frozenset(w for w in LATIN.split() if len(w) > 3)
 _PIECES = re.compile(r"[^.!?;\n|]+(?:[.](?=\w)[^.!?;\n|]+)*[.!?;\n|]*")
+# Names of programs with a version, and codes: furniture whatever they are called.
+BANNER = re.compile(r"\W*(?:\w+ ){0,2}[a-z]\w*[/#-]v?0(?:\.0)*\W*")
 
 
-def kind_of(text: str | None) -> str | None:
+def kind_of(text: str | None, learnt: frozenset[str] = frozenset()) -> str | None:
     if text is None or not text.strip():
         return None
-    if UNFILLED.search(text) or unfilled_inside(text):
-        return "placeholder"
     t = normal(text)
-    hits = sorted((end - n + 1, end + 1, kind) for end, (kind, n) in automaton().iter(t))
-    words = re.findall(r"[^\W\d_]+", t)
-    latin = sum(w in LATIN_WORDS for w in words)
-    if not hits and not latin:
+    inside = lambda a, b: (a and t[a - 1].isalpha()) or (b < len(t) and t[b].isalpha())
+    hits = sorted((end - n + 1, end + 1, kind) for end, (kind, n) in automaton(learnt).iter(t) if kind != "word" or not inside(end - n + 1, end + 1))
+    if any(h[2] == "field" for h in hits):
+        if UNFILLED.search(text) or unfilled_inside(text):
+            return "placeholder"
+        hits = [h for h in hits if h[2] != "field"]
+    if not hits:
         return None
-    if words and latin >= 4 and latin / len(words) >= 0.7:
-        return "filler"
+    dummy = sum(h[2] == "word" for h in hits) >= LEAST_DUMMY
     covered: dict[str, int] = {}
     total = at = 0
     for m in _PIECES.finditer(t):
@@ -134,7 +152,8 @@ def kind_of(text: str | None) -> str | None:
         while i < len(hits) and hits[i][0] < m.end():
             kinds[hits[i][2]] = kinds.get(hits[i][2], 0) + hits[i][1] - hits[i][0]
             i += 1
-        if set(kinds) == {""} and size <= 2 * kinds[""] + 6:
+        words = kinds.pop("word", 0)
+        if (set(kinds) == {""} and size <= 2 * kinds[""] + 6) or BANNER.fullmatch(m[0]):
             continue
         total += size
         real = {k: n for k, n in kinds.items() if k}
@@ -142,18 +161,32 @@ def kind_of(text: str | None) -> str | None:
             best = max(real, key=lambda k: (real[k], k))
             # a long sentence that merely mentions a phrase is covered by the phrase only
             covered[best] = covered.get(best, 0) + (size if size <= 4 * real[best] + 24 and '"' not in m[0].strip('{}\n "') else real[best])
+        elif words and dummy:
+            covered["filler"] = covered.get("filler", 0) + words  # words cover themselves only
     if not covered:
         return None
     best = max(covered, key=lambda k: (covered[k], k))
     return best if sum(covered.values()) >= COVERAGE * total else None
 
 
+def dummy_words(docs: DataFrame, text: str) -> frozenset[str]:
+    """Words that the corpus uses as dummy text; one pre-aggregated count over the distinct words of all documents."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}{4,}"), F.lit(0)))
+    seeds = F.size(F.array_intersect("w", F.array(*[F.lit(x) for x in sorted(SEEDS)])))
+    of = docs.where(F.col(text).isNotNull()).select(words.alias("w")).where("size(w) > 0").select("w", ((seeds >= LEAST_DUMMY) & (seeds >= SEED_SHARE * F.size("w"))).cast("int").alias("d"))
+    counted = of.select(F.explode("w").alias("word"), "d").groupBy("word").agg(F.count("*").alias("n"), F.sum("d").alias("d"))
+    got = counted.where((F.col("d") >= LEARN_DOCS) & (F.col("d") >= LEARN_SHARE * F.col("n"))).orderBy(F.desc("d"), "word").limit(MOST_LEARNT).toPandas()
+    return frozenset(got["word"])
+
+
 def classify(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, kind) of the documents that are left-overs."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(dummy_words(docs, text))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            kinds = [kind_of(t) for t in pdf["t"]]
+            kinds = [kind_of(t, shared.value) for t in pdf["t"]]
             yield pd.DataFrame({"k": pdf["k"], "kind": pd.Series(kinds, index=pdf.index, dtype=object)}).dropna(subset=["kind"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -210,6 +210,17 @@ def test_fields_inside_sentences(text, kind):
     assert residue.kind_of(text) == kind
 
 
+def test_dummy_words_are_learnt_and_the_automaton_decides(spark, monkeypatch):
+    rows = [f"Lorem ipsum dolor zorbu kelta amet {w}." for w in ("kelta", "zorbu", "mirta", "mirta", "mirta")] + ["Zorbu kelta mirta zorbu. Kelta zorbu mirta.", "The ledger says kelta once.", None, ""]
+    docs = spark.createDataFrame(list(enumerate(rows)) + [(0, rows[0])], "doc_id long, text string").withColumn("kind", F.lit(1))
+    assert residue.dummy_words(docs, "text") >= {"zorbu", "kelta", "mirta"}
+    assert {tuple(r) for r in residue.classify(docs, "doc_id", "text").collect()} == {(i, "filler") for i in range(6)}
+    assert residue.classify(docs.limit(0), "doc_id", "text").count() == 0
+    # without the automaton nothing is found
+    monkeypatch.setattr(residue, "automaton", lambda learnt: type("None", (), {"iter": lambda self, t: iter(())})())
+    assert residue.kind_of("Dear {{name}}, thank you.") is None and residue.kind_of("404 Not Found") is None and residue.kind_of(rows[0]) is None
+
+
 @pytest.mark.parametrize(
     ("text", "kinds"),
     [
@@ -255,7 +266,17 @@ def test_pii(text, items):
 
 def test_pii_masking_and_checks():
     assert pii.redact("Ask Bob Tuvutitox, a@b.test.", GIVEN) == "Ask [NAME], [EMAIL]."
-    assert pii.luhn("4539148803436467") and not pii.luhn("4539148803436468") and pii.mod23("12345678Z") and pii.mod97("0" * 9 + "98")
+    assert pii.luhn("4539148803436467") and not pii.luhn("4539148803436468") and pii.mod23("12345678Z") and pii.mod23("X1234567L") and not pii.mod23("12345678A") and pii.mod97("1850578006084" + "91")
+
+
+@pytest.mark.parametrize("right", ["12345678Z", "X1234567-L", "529.982.247-25", "86 095 742 719", "811218-9876", "85.07.30-033.28"])
+def test_checksums_confirm_and_reject(right):
+    """Without a word for what it is, a number counts if, and only if, its checksum is right."""
+    assert pii.checked(right) and [k for k, _, _ in pii.find(f"It was {right} again", frozenset())] == ["idno"]
+    last = right[-1]
+    wrong = right[:-1] + (chr((ord(last) - 65 + 1) % 26 + 65) if last.isalpha() else str((int(last) + 1) % 10))
+    assert not pii.checked(wrong) and pii.find(f"It was {wrong} again", frozenset()) == []
+    assert pii.find(f"Invoice no. {right}", frozenset()) == [] and len(pii.find(f"ID card {wrong}", frozenset())) == 1
 
 
 # --- 1, 2 -----------------------------------------------------------------------------------------------------------------------
