@@ -8,11 +8,13 @@ classes are the host's template; what lies between their tokens are the slots.
 Occurrence vectors are compared by sums of note hashes times counts, so they are
 built by one pre-aggregated shuffle, whatever the size of a host.
 
-Most markup of notes was typed once and belongs to no template, so the slots are
-read with a small grammar of each notation; the kinds of a note are those of its
-template tokens and of its slots. Markup shown inside code counts only as the
-code block's own kind. Clean text isn't made from the slots: the template tokens
-of notes are their items, table cells and formulas, which must stay recognisable.
+A page is cut at its host's template tokens. They tell their own kinds; what is
+left are slots, and a slot knows the delimiters of the template it stands between
+(a formula's, a table's, a comment's). Most markup of notes was typed once and
+belongs to no template, so slots are read with a small grammar of each notation,
+without the template's tokens. Markup shown inside code counts only as the code
+block's own kind. For clean text the template's tags become the signs of what they
+mean (an item's, a cell's, a heading's), delimiters stay, and the rules clean the slots.
 
 Defined cases: null and blank bodies have no markup and no clean text (null);
 notes delivered twice count once, the latest load winning; a null vault is a
@@ -156,38 +158,66 @@ def template_tokens(pages: DataFrame) -> DataFrame:
     return good.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("nested"))).alias("tokens"))
 
 
-def slots_of(body: str, template: set[str]) -> tuple[str, set[str]]:
-    """A page cut at the tags of its host's template, a blank for each tag, and the kinds of all its template tokens.
+#: Delimiters whose slots are read for the other notations only: signs in them aren't Markdown's.
+OPAQUE = re.compile(r"<!--|\{\||\{\{|\[\[|\\\[|\\\(|\\begin\{(?:equation|align|math|displaymath|eqnarray)\*?\}")
 
-    Delimiters of comments, wiki and LaTeX stay around their slots: they say which notation the slot is in.
-    """
-    kinds: set[str] = set()
+
+def template_parts(body: str, template: set[str]) -> Iterator[tuple[str, str | None]]:
+    """(text, notation) of a page's pieces in order; the notation is None for slots and that of the token for the template's tokens."""
     code = [m.span() for m in CODE.finditer(body)]
+    at = 0
+    for m in TOKEN.finditer(body):
+        if shape(m[0]) in template and not any(a <= m.start() < b for a, b in code):
+            yield body[at : m.start()], None
+            yield m[0], m.lastgroup
+            at = m.end()
+    yield body[at:], None
 
-    def part(m: re.Match) -> str:
-        if shape(m[0]) not in template or any(a <= m.start() < b for a, b in code):
-            return m[0]
-        kinds.add(m.lastgroup)
-        return " " if m.lastgroup == "html" and m[0] not in ("<!--", "-->") else m[0]
 
-    return TOKEN.sub(part, body), kinds
+def slots_of(body: str, template: set[str]) -> tuple[str, list[str], set[str]]:
+    """The open slots of a page, joined by blanks where its host's template was, the slots inside delimiters, and the kinds of the template's tokens."""
+    kinds: set[str] = set()
+    free: list[str] = []
+    inner: list[str] = []
+    until: str | None = None
+    for text, notation in template_parts(body, template):
+        if notation is None:
+            (free if until is None else inner).append(text)
+            continue
+        kinds.add(notation)
+        token = text.strip()
+        if until is None and OPAQUE.fullmatch(token):
+            until = closing(shape(token))
+        elif until is not None and shape(token) == until:
+            until = None
+        free.append(" ")
+    return "".join(free), inner, kinds
+
+
+def page_kinds(body: str, template: set[str]) -> set[str]:
+    """Kinds of markup of a page: those of its template tokens, and those the grammar reads in its slots."""
+    if not template:
+        return kinds_of(body)
+    free, inner, kinds = slots_of(body.replace("\r\n", "\n"), template)
+    return kinds | kinds_of(free) | set().union(*(kinds_of(x) - {"markdown"} for x in inner))
 
 
 def _page_kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
-        for page, body, tokens in zip(pdf["page"], pdf["body"], pdf["tokens"]):
-            slots, kinds = slots_of(body, set(tokens)) if tokens is not None and len(tokens) else (body, set())
-            rows += [(page, k) for k in sorted(kinds | kinds_of(slots))]
+        rows = [(page, k) for page, body, tokens in zip(pdf["page"], pdf["body"], pdf["tokens"]) for k in sorted(page_kinds(body, set() if tokens is None else set(tokens)))]
         yield pd.DataFrame(rows, columns=["page", "markup"])
 
 
-def found(pages: DataFrame) -> DataFrame:
-    """(page, markup) of pages (host, page, body)."""
+def templated(pages: DataFrame) -> DataFrame:
+    """(page, body, tokens) of pages (host, page, body) with text: each with the template tokens of its host, null if there are none."""
     pages = pages.where("body IS NOT NULL").withColumn("host", F.coalesce("host", F.lit("")))
-    templates = materialize(template_tokens(pages), "templates")
     # one short row a host; a host with very many pages isn't moved if the table is small
-    return pages.join(templates, "host", "left").select("page", "body", "tokens").mapInPandas(_page_kinds, "page string, markup string")
+    return pages.join(materialize(template_tokens(pages), "templates"), "host", "left").select("page", "body", "tokens")
+
+
+def found(pages: DataFrame) -> DataFrame:
+    """(page, markup) of pages (host, page, body)."""
+    return templated(pages).mapInPandas(_page_kinds, "page string, markup string")
 
 
 # --- clean text --------------------------------------------------------------------------------------------------------
@@ -250,12 +280,36 @@ def clean(body: str | None) -> str | None:
     return re.sub(r"\x00(\d+)\x00", lambda m: kept[int(m[1])], re.sub(r"\x00(\d+)\x00", lambda m: kept[int(m[1])], t)).strip()
 
 
+def sign_of(tag: str) -> str:
+    """What a tag of a template means in clean text."""
+    m = re.match(r"<(/?)([a-z][a-z0-9]*)", tag.strip(), re.I)
+    if not m:
+        return tag
+    end, name = m[1], m[2].lower()
+    if not end and (h := re.fullmatch(r"h([1-6])", name)):
+        return "\n" + "#" * int(h[1]) + " "
+    if name in ("td", "th"):
+        return " " if end else "| "
+    if name == "li" and not end:
+        return "\n- "
+    return "\n" if _BLOCK.fullmatch(tag.strip()) else "" if name not in ("pre", "code", "script", "style", "syntaxhighlight", "source", "nowiki") else tag
+
+
+def clean_page(body: str, template: set[str]) -> str | None:
+    """`clean` of a page whose template tags have become their signs."""
+    return clean("".join(sign_of(t) if notation == "html" and t not in ("<!--", "-->") else t for t, notation in template_parts(body, template))) if template else clean(body)
+
+
 def cleaned(pages: DataFrame) -> DataFrame:
+    """(page, clean) of pages (host, page, body); pages without text have null."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"page": pdf["page"], "clean": pd.Series([clean(b) for b in pdf["body"]], index=pdf.index, dtype=object)})
+            texts = [clean_page(b, set() if t is None else set(t)) for b, t in zip(pdf["body"], pdf["tokens"])]
+            yield pd.DataFrame({"page": pdf["page"], "clean": pd.Series(texts, index=pdf.index, dtype=object)})
 
-    return pages.select("page", "body").mapInPandas(run, "page string, clean string")
+    none = pages.where("body IS NULL").select("page", F.lit(None).cast("string").alias("clean"))
+    return templated(pages).mapInPandas(run, "page string, clean string").unionByName(none)
 
 
 def note_pages(spark: SparkSession, sf: str) -> DataFrame:

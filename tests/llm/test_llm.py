@@ -245,7 +245,20 @@ def test_markup_is_read_in_slots(spark):
     cells = '<td class="n">$</td><td class="n">$</td>'
     pages = spark.createDataFrame([("h", f"p{i}", cells + f" row {i}") for i in range(3)] + [("h", "code", "```\n<td class='n'>\n```\nx")], "host string, page string, body string")
     assert {tuple(r) for r in markup.found(pages).collect()} == {(f"p{i}", "html") for i in range(3)} | {("code", "markdown")}
-    assert markup.slots_of("<td>a</td> [[b]] `<td>`", {"<td>", "</td>", "[[", "]]"}) == (" a  [[b]] `<td>`", {"html", "wiki"})
+    free, inner, kinds = markup.slots_of("<td>a</td> [[b]] `<td>`", {"<td>", "</td>", "[[", "]]"})
+    assert (free.split(), inner, kinds) == (["a", "`<td>`"], ["b"], {"html", "wiki"})
+    # delimiters of a formula or table say that what is between them isn't Markdown
+    assert markup.page_kinds("\\[ a *b* c \\] x", {"\\[", "\\]"}) == {"latex"} and markup.page_kinds("x *b* y", {"\\[", "\\]"}) == {"markdown"}
+
+
+def test_markup_rows_rest_on_the_template(spark, monkeypatch):
+    pages = spark.createDataFrame([("h", f"p{i}", f"<li>a</li> $x^{i}$") for i in range(3)] + [("h", "q", "<b>once</b>")], "host string, page string, body string")
+    want = {(f"p{i}", k) for i in range(3) for k in ("html", "latex")} | {("q", "html")}
+    assert {tuple(r) for r in markup.found(pages).collect()} == want
+    assert {r.page: r.clean for r in markup.cleaned(pages).collect()} == {f"p{i}": f"- a $x^{i}$" for i in range(3)} | {"q": "once"}
+    # the grammar doesn't see the template's tokens: without their kinds rows are lost
+    slots = [markup.slots_of(f"<li>a</li> $x^{i}$", {"<li>", "</li>"}) for i in range(3)]
+    assert all(markup.kinds_of(free) == {"latex"} for free, _, _ in slots)
 
 
 GIVEN = frozenset({"robert", "bob", "isabella"})
