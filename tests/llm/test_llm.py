@@ -133,6 +133,28 @@ def test_neighbours_recall_and_copies(spark):
     assert neighbours.nearest(neighbours.usable(df.limit(0), "key", "vec", 16), 5, 16).count() == 0
 
 
+def test_windows_grow_and_count_collisions():
+    rng = np.random.default_rng(2)
+    data, ask = rng.standard_normal((50, neighbours.PROJECTIONS)), rng.standard_normal((7, neighbours.PROJECTIONS))
+    w = neighbours.Windows(data)
+    w.ask(ask)
+    for width in (0.3, 0.7, 3.0):
+        w.widen(width)
+        assert (w.count == (np.abs(data[None] - ask[:, None]) <= width).sum(axis=2)).all()
+    w.keep(np.arange(7) > 4)
+    w.widen(9.0)
+    assert (w.count == neighbours.PROJECTIONS).all() and w.count.shape == (2, 50)
+
+
+def test_lonely_vectors_ask_further_cells(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 10)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.eye(16)[i] + 0.01 * rng.standard_normal((n, 16)) for i, n in enumerate((30, 30, 1, 2))])
+    df = spark.createDataFrame([(f"v{i:03d}", v.tolist()) for i, v in enumerate(x)], "key string, vec array<float>")
+    got = neighbours.nearest(neighbours.usable(df, "key", "vec", 16), 5, 16).toPandas()
+    assert got.groupby("key").size().eq(5).all() and got["key"].nunique() == len(x)
+
+
 # --- 4 -----------------------------------------------------------------------------------------------------------------------
 
 
@@ -255,7 +277,7 @@ def test_markup_rows_rest_on_the_template(spark, monkeypatch):
     pages = spark.createDataFrame([("h", f"p{i}", f"<li>a</li> $x^{i}$") for i in range(3)] + [("h", "q", "<b>once</b>")], "host string, page string, body string")
     want = {(f"p{i}", k) for i in range(3) for k in ("html", "latex")} | {("q", "html")}
     assert {tuple(r) for r in markup.found(pages).collect()} == want
-    assert {r.page: r.clean for r in markup.cleaned(pages).collect()} == {f"p{i}": f"- a $x^{i}$" for i in range(3)} | {"q": "once"}
+    assert {r.page: r.clean for r in markup.cleaned(pages).collect()} == {f"p{i}": f"- a\n $x^{i}$" for i in range(3)} | {"q": "once"}
     # the grammar doesn't see the template's tokens: without their kinds rows are lost
     slots = [markup.slots_of(f"<li>a</li> $x^{i}$", {"<li>", "</li>"}) for i in range(3)]
     assert all(markup.kinds_of(free) == {"latex"} for free, _, _ in slots)
