@@ -2,11 +2,15 @@
 
 Refusals: the openings of answers are clustered by MinHash, each link verified by
 the Jaccard similarity of their five-word runs (0.8). A cluster that recurs under
-different questions and doesn't take its words from them is a template; it is one
-of refusals if most of it declines, in the known phrases or in any words that deny
-an answer. Recurrence alone can't tell: "nothing in your notes covers this" recurs
-as much. Openings of no template are judged by the known phrases. Copy, language
-and termination checks find the other defects, with the language model of problem 1.
+unrelated questions (different ones that share no telling word) and doesn't take
+its words from them is a template. Most templates are no refusals: they name
+things that people ask about, numbers, or what the notes hold. A template under
+RECURS questions of whose words FOREIGN_SHARE are words that nobody asks about
+says nothing but that it doesn't answer, whatever its words and language; other
+templates refuse if most of their openings deny an answer by the word lists. An
+opening of no template refuses if it has a phrase of a refusal and a word for what
+is refused. Copy, language and termination checks find the other defects, with the
+language model of problem 1.
 
 Defined cases: turns without a question (null, blank) have no defect; a null or
 blank answer is empty and nothing else; quoted words of an answer don't count as
@@ -36,6 +40,11 @@ RUN, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 2
 #: A template stands under this many different questions at least, and at most this share of its words is in its question.
 MIN_QUESTIONS, OWN_SHARE = 2, 0.4
+#: Questions are related if a word that is in at most COMMON_WORD of all questions is in more than RELATED of them.
+COMMON_WORD, RELATED = 0.05, 0.5
+#: A template without numbers, of this many words, under this many questions refuses if this share of its words is foreign to questions: in
+#: FOREIGN times as many of the answered questions' openings as of the questions.
+RECURS, WHOLE_WORDS, FOREIGN, FOREIGN_SHARE = 5, 5, 10, 0.4
 #: Openings of a band that are compared in one piece of work.
 BLOCK = 512
 #: Nats by which an answer's language must beat every language of its question.
@@ -63,6 +72,7 @@ DENIED = re.compile(
     r"\b(?:answer(?:s|ing|ed)?|respond(?:ing)?|response|reply|assist(?:ing|ance|ant)?|help(?:ing)?|discuss(?:ing|ed|ion)?|request(?:s|ed)?|questions?|topics?|tra loi|cau hoi (?:nay|nhu|ve)|yeu cau nay|giup|ho tro|beantwort\w*|antwort\w*|helfen|anfragen?|fragen?|auskunft|auskunfte"
     r"|repon(?:dre|se|ses)|aider|(?:cette|votre|ta) demande|questions?|requete|sujets?|responder\w*|respuestas?|contestar\w*|ayudar\w*|ayuda|(?:esta|su|tu) (?:peticion|solicitud)|preguntas?|respostas?|ajudar\w*|(?:este|esse|seu|teu) pedido|perguntas?)\b"
 )
+SPEAKER = re.compile(r"\b(?:language model|assistant|guidelines|mo hinh ngon ngu|sprachmodell|modele de langag?ue?|modelo de lengua\w*|modelo de linguagem|peticion|solicitud|demande|pedido|yeu cau|viec nay|no can do|discuss|comfortable|with (?:that|this)|(?:won't|will not|can't|cannot) (?:do|say|comment))\b")
 HELD = re.compile(r"\b(?:notes?|entry|entries|notizen|notiz|eintrag|notas?|ghi chu|anotac\w+|apuntes|document\w*|dokument\w*|tai lieu|registr\w+)\b")
 ASKED = {
     "en": "english englisch anglais ingles inglese anh",
@@ -205,6 +215,11 @@ def declines(text: str) -> bool:
     return bool(REFUSALS.search(text) or (DENIAL.search(text) and DENIED.search(text) and not HELD.search(text)))
 
 
+def refuses_alone(text: str) -> bool:
+    """Whether an opening of no template is a refusal: a phrase of one, and a word for what is refused or who refuses."""
+    return bool(REFUSALS.search(text) and (DENIED.search(text) or SPEAKER.search(text)))
+
+
 def same_template(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links (a, b) between alike openings of each cell: all pairs are compared, and as many links given as join them."""
     left, right = [], []
@@ -251,22 +266,40 @@ def refusal_openings(turns: DataFrame) -> DataFrame:
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cue = np.array([bool(REFUSALS.search(o)) for o in pdf["opening"]], bool)
-            yield pdf.assign(cue=cue, says=np.array([declines(o) for o in pdf["opening"]], bool), bands=pd.Series([signatures(o) for o in pdf["opening"]], index=pdf.index, dtype=object))
+            o = pdf["opening"]
+            flags = {n: np.array([bool(f(x)) for x in o], bool) for n, f in (("cue", refuses_alone), ("says", declines), ("held", HELD.search))}
+            yield pdf.assign(**flags, bands=pd.Series([signatures(x) for x in o], index=pdf.index, dtype=object))
 
     # a question put again in other letters, order or numbers is the same; counts are exact
     asked = turns.where("opening <> '' AND query IS NOT NULL").select("opening", "query").distinct().mapInPandas(subjects, "opening string, subject string, own double")
-    counted = asked.groupBy("opening", "subject").agg(F.max("own").alias("own")).groupBy("opening").agg(F.count("*").alias("questions"), F.sum("own").alias("own"))
-    signed = materialize(counted.mapInPandas(sign, "opening string, questions long, own double, cue boolean, says boolean, bands array<long>").withColumn("id", F.xxhash64("opening")), "openings")
+    asked = materialize(asked.groupBy("opening", "subject").agg(F.max("own").alias("own")), "asked")
+    counted = asked.groupBy("opening").agg(F.count("*").alias("questions"), F.sum("own").alias("own"))
+    signed = materialize(counted.mapInPandas(sign, "opening string, questions long, own double, cue boolean, says boolean, held boolean, bands array<long>").withColumn("id", F.xxhash64("opening")), "openings")
     groups = components(alike_openings(signed))
-    placed = signed.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("grp", F.coalesce("component", "id"))
+    placed = materialize(signed.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("grp", F.coalesce("component", "id")).drop("bands", "component"), "clusters")
     said = F.sum(F.when(F.col("says"), F.col("questions")).otherwise(0))
-    grouped = placed.groupBy("grp").agg(F.sum("questions").alias("n"), F.sum("own").alias("shared"), said.alias("said"))
-    template = (F.col("n") >= MIN_QUESTIONS) & (F.col("shared") <= F.col("n") * OWN_SHARE)
-    judged = placed.join(grouped.select("grp", template.alias("template"), (F.col("said") * 2 > F.col("n")).alias("declines")), "grp")
-    # the known phrases decide where no template does: under one question, or in the question's own words
-    alone = F.col("cue") & ((F.col("questions") < MIN_QUESTIONS) | ~F.col("template"))
-    return judged.where((F.col("template") & F.col("declines")) | alone).select("opening").distinct()
+    held = F.sum(F.when(F.col("held"), F.col("questions")).otherwise(0))
+    grouped = placed.groupBy("grp").agg(F.sum("questions").alias("n"), F.sum("own").alias("shared"), said.alias("said"), held.alias("held"))
+    several = grouped.where((F.col("n") >= MIN_QUESTIONS) & (F.col("shared") <= F.col("n") * OWN_SHARE))
+
+    # words of all questions, and of the openings by the questions they answer
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.translate(c, "'", " "), " "), lambda w: w != ""))).alias("word")
+    subject = asked.select("subject").distinct()
+    in_questions = materialize(subject.select(words("subject")).groupBy("word").agg(F.count("*").alias("q")), "question_words")
+    total = subject.count()
+    members = placed.join(several.select("grp", "n"), "grp")
+    telling = in_questions.where(F.col("q") <= COMMON_WORD * total).select("word")
+    shared = members.select("grp", "n", "opening").join(asked.select("opening", "subject"), "opening").select("grp", "n", words("subject")).groupBy("grp", "n", "word").agg(F.count("*").alias("c"))
+    related = shared.where((F.col("c") > RELATED * F.col("n")) & (F.col("c") > 1)).join(telling, "word", "left_semi").select("grp").distinct()
+    templates = several.join(related, "grp", "left_anti")
+    in_openings = placed.select("questions", words("opening")).groupBy("word").agg(F.sum("questions").alias("o"))
+    often = members.where((F.col("n") >= RECURS) & (F.size(F.split("opening", " ")) >= WHOLE_WORDS) & ~F.col("opening").rlike(r"\b0\b")).select("grp", "questions", "opening", words("opening"))
+    foreign = (F.coalesce("q", F.lit(0)) * FOREIGN <= F.col("o")).cast("int")
+    strange = often.join(in_openings, "word").join(in_questions, "word", "left").groupBy("grp", "opening", "questions").agg(F.avg(foreign).alias("f"))
+    strange = strange.groupBy("grp").agg((F.sum(F.col("f") * F.col("questions")) / F.sum("questions")).alias("foreign"))
+    refuses = (F.col("said") * 2 > F.col("n")) | ((F.col("foreign") >= FOREIGN_SHARE) & (F.col("held") * 2 <= F.col("n")))
+    judged = placed.join(templates.join(strange, "grp", "left").select("grp", F.coalesce(refuses, F.lit(False)).alias("refuses")), "grp", "left")
+    return judged.where(F.coalesce("refuses", F.col("cue"))).select("opening").distinct()
 
 
 def register(reg: Registry) -> None:

@@ -375,6 +375,24 @@ def test_refusal_templates_in_other_words(spark):
     assert pairs.refusal_openings(once).count() == 0
 
 
+def test_refusal_templates_without_any_listed_word(spark):
+    """Recurrence under unrelated questions and words that nobody asks about decide, whatever the words."""
+    strange = "Cette matiere demeure hors de mon perimetre, voila tout."
+    assert not pairs.REFUSALS.search(pairs.opening(strange)) and not pairs.declines(pairs.opening(strange))
+    things = ["ledger", "boiler", "ferry", "lease", "harbour", "lantern", "orchard"]
+    ask = [f"Where did the crew put the {t} last week?" for t in things]
+    topic = "The lantern and the ledger and the lease"
+    rows = [(pairs.opening(strange), q) for q in ask] + [(pairs.opening(topic), q) for q in ask]
+    found = lambda r: {x.opening for x in pairs.refusal_openings(spark.createDataFrame(r, "opening string, query string")).collect()}
+    filler = [(f"opening number {t}", f"What about {t} and {u}?") for t in things for u in ("paint", "slate", "canvas")]
+    assert found(rows + filler) == {pairs.opening(strange)}
+    # questions that share a telling word aren't unrelated
+    same = [(pairs.opening(strange), f"Tell {w} of the gramophone") for w in things]
+    assert found(same + [(f"opening number {i}", f"What about item{chr(97 + i % 26)}{chr(97 + i // 26)} then?") for i in range(300)]) == set()
+    # a single opening needs a word for what is refused
+    assert found([(pairs.opening("We cannot ship before Friday because the pump failed."), ask[0]), (pairs.opening("I cannot answer that."), ask[1])]) == {"i cannot answer that"}
+
+
 def test_openings_of_a_split_band_all_meet(spark, monkeypatch):
     monkeypatch.setattr(pairs, "BLOCK", 2)
     texts = {1: "a b c d e f g h i j k l m n o p", 2: "a b c d e f g h i j k l m n o q", 3: "z y x w v u t s", 4: "z y x w v u t s", 5: "unlike all of them here"}
