@@ -1,4 +1,4 @@
-"""Text functions as Column expressions; all of them stay inside the JVM.
+"""Text functions as Column expressions; all but Unicode normal forms stay inside the JVM.
 
 Nulls give null unless stated. Offsets and lengths are code points.
 """
@@ -9,6 +9,7 @@ import functools
 import sys
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,9 +71,19 @@ def first_tokens(c: Column, n: int) -> Column:
     return F.array_join(F.slice(F.filter(F.split(c, WS + "+"), lambda t: t != ""), 1, n), " ")
 
 
+def normalized(c: Column, form: str) -> Column:
+    """A Unicode normal form; the JVM's functions have none, so it takes an Arrow batch."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x.isascii() else unicodedata.normalize(form, x), na_action="ignore").astype(object)
+
+    return run(c)
+
+
 def canonical_id(name: Column) -> Column:
-    """Lower case, trimmed, white space as one underscore, other signs than letters, digits, _ and - dropped."""
-    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(name)), r"\s+", "_"), r"[^\p{L}\p{N}_-]", "")
+    """NFKC, lower case, trimmed, white space as one underscore, other signs than letters, digits, _ and - dropped."""
+    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(normalized(name, "NFKC"))), r"\s+", "_"), r"[^\p{L}\p{N}_-]", "")
 
 
 def norm_tag(tag: Column) -> Column:
@@ -87,11 +98,59 @@ def inline_tags(body: Column) -> Column:
 
 def slug(title: Column) -> Column:
     """ASCII slug of at most 80 characters; 'untitled' if nothing is left."""
-    s = F.regexp_replace(F.regexp_replace(fold(title), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return _slugged(fold(normalized(title, "NFKD")))
+
+
+def _slugged(folded: Column) -> Column:
+    s = F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     s = F.regexp_replace(F.substring(s, 1, 80), "-+$", "")
     return F.when(s != "", s).otherwise("untitled")
 
 
+def folder_path(folder: Column) -> Column:
+    """A typed folder as a path of slugs; segments without letters or digits drop out, so it may be empty."""
+    parts = F.transform(F.split(fold(normalized(F.coalesce(folder, F.lit("")), "NFKD")), "/"), _slugged)
+    return F.array_join(F.filter(parts, lambda x: x != "untitled"), "/")
+
+
+def child_folder(parent: Column, name: Column) -> Column:
+    """The path of a new folder under a typed parent ('notes' if it is empty)."""
+    base = folder_path(parent)
+    return F.concat(F.when(base == "", "notes").otherwise(base), F.lit("/"), slug(name))
+
+
+def renamed_folder(folder: Column, name: Column) -> Column:
+    """A folder's path with another last segment."""
+    parent = F.regexp_extract(folder, "^(.*)/[^/]*$", 1)
+    return F.concat(F.when(parent == "", "").otherwise(F.concat(parent, F.lit("/"))), slug(name))
+
+
+def conflict_path(path: Column, stamp: Column) -> Column:
+    """The path beside a note for a copy in conflict."""
+    safe = F.regexp_replace(stamp, "[:.]", "-")
+    return F.concat(F.regexp_replace(path, r"\.md$", ""), F.lit("."), safe, F.lit(".conflict.md"))
+
+
+def graph_hash(c: Column) -> Column:
+    """FNV-1a of the UTF-16 code units, 32 bits, as hexadecimal digits without leading zeros."""
+    units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    step = lambda h, u: ((h.bitwiseXOR(F.conv(u, 16, 10).cast("long"))) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.lower(F.hex(F.aggregate(units, F.lit(0x811C9DC5).cast("long"), step)))
+
+
+def clean_title(c: Column) -> Column:
+    """A title or alias as links meet it: lower case, trimmed, white space of any width as one blank."""
+    return F.trim(F.regexp_replace(F.lower(c), WS + "+", " "))
+
+
+def highlight(body: Column, start: Column, end: Column) -> Column:
+    """(pre, hit, post) of a span in a text; offsets out of the text are moved to its ends."""
+    n = F.length(body)
+    a = F.least(F.greatest(start, F.lit(0)), n)
+    b = F.least(F.greatest(end, a), n)
+    return F.struct(F.substring(body, F.lit(1), a).alias("pre"), F.substring(body, a + 1, b - a).alias("hit"), F.substring(body, b + 1, n - b).alias("post"))
+
+
 def folder_of(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
@@ -121,7 +180,7 @@ def content_hash(c: Column) -> Column:
 def file_type(path: Column) -> Column:
     """pdf, md, txt or csv by extension; null for others."""
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    return F.when(ext.isin("md", "markdown"), "md").when(ext.isin("pdf", "txt", "csv"), ext)
+    return F.when(ext.isin("md", "markdown"), "md").when(ext.isin("txt", "text"), "txt").when(ext.isin("pdf", "csv"), ext)
 
 
 def humanize(header: Column) -> Column:

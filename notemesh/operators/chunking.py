@@ -51,6 +51,8 @@ def chunk(text: str | None, size: int | None = None, overlap: int | None = None,
     size, overlap = size or auto[0], auto[1] if overlap is None else overlap
     if not 0 < size < WINDOW:
         raise ValueError(f"chunk size must be between 1 and {WINDOW - 1}")
+    if overlap >= size:
+        raise ValueError("the overlap must be smaller than the chunk size")
     spans = [(a, b, count(text[a:b])) for a, b in _split(text, 0, size, count)]
     groups, now, total = [], [], 0
     for s in spans:
@@ -70,8 +72,7 @@ def chunk(text: str | None, size: int | None = None, overlap: int | None = None,
     out = []
     for g in groups:
         a, b = g[0][0], g[-1][1]
-        if text[a:b].strip():
-            out.append((len(out), text[a:b], count(text[a:b]), a, b))
+        out.append((len(out), text[a:b], count(text[a:b]), a, b))
     return out
 
 
@@ -127,6 +128,16 @@ def embed_text(title: str | None, section: str | None, body: str) -> str:
     return "\n".join(([head] if head else []) + ["\n".join(lines).strip()])
 
 
+def embed_texts(title, section, text):
+    """`embed_text` of three Columns, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(t: pd.Series, h: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series([embed_text(a, b, c or "") for a, b, c in zip(t, h, x)], dtype=object)
+
+    return run(title, section, text)
+
+
 def hashed_vector(text: str, dim: int) -> np.ndarray:
     """A bag of words as a vector of length one; the stand-in for a model that isn't here."""
     v = np.zeros(dim, np.float32)

@@ -21,11 +21,13 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, component) for all nodes of `edges` (a long, b long); the component is its smallest node.
 
     Each round writes the new edges to the shared folder, so a lost executor
-    costs one round at most. Self-loops are ignored; no edges give no rows.
+    costs one round at most. Self-loops are ignored; no edges give no rows. The
+    steps need a number of rounds that grows with the logarithm of the longest
+    path; should `rounds` not be enough, an error is raised.
     """
     now = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
     mark = None
@@ -35,5 +37,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if mark == (seen["n"], seen["h"]):
             break
         mark = (seen["n"], seen["h"])
+    else:
+        raise RuntimeError(f"components didn't settle in {rounds} rounds")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

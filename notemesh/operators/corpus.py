@@ -38,13 +38,13 @@ def file_tree(paths: DataFrame, col: str = "doc_id") -> DataFrame:
 
 def title_index(notes: DataFrame) -> DataFrame:
     """(surface, doc_id): each normalised title or alias with the first note (by id) that bears it."""
-    surfaces = notes.select("doc_id", F.explode(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("s")).select(F.lower(F.trim("s")).alias("surface"), "doc_id").where("surface <> ''")
+    surfaces = notes.select("doc_id", F.explode(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("s")).select(T.clean_title(F.col("s")).alias("surface"), "doc_id").where("surface <> ''")
     return surfaces.groupBy("surface").agg(F.min("doc_id").alias("doc_id"))
 
 
 def links(notes: DataFrame) -> DataFrame:
     """(doc_id, surface), one row a link of the body."""
-    return notes.select("doc_id", F.explode(T.wikilink_targets(F.col("body"))).alias("t")).select("doc_id", F.lower("t").alias("surface"))
+    return notes.select("doc_id", F.explode(T.wikilink_targets(F.col("body"))).alias("t")).select("doc_id", T.clean_title(F.col("t")).alias("surface"))
 
 
 def backlinks(notes: DataFrame, index: DataFrame) -> DataFrame:
@@ -89,12 +89,49 @@ def rank_titles(index: DataFrame, typed: str, most: int = 8) -> DataFrame:
 
 
 def first_free(paths: DataFrame, taken: DataFrame) -> DataFrame:
-    """(doc_id, path): wanted paths (doc_id, path) made unique with -2, -3, … against each other and `taken` (path)."""
-    order = Window.partitionBy("path").orderBy("doc_id")
-    base = taken.groupBy("path").agg(F.lit(1).alias("_t"))
-    nth = paths.withColumn("_n", F.row_number().over(order)).join(base, "path", "left").withColumn("_i", F.col("_n") + F.coalesce("_t", F.lit(0)))
-    stem = F.regexp_replace("path", r"\.md$", "")
-    return nth.select("doc_id", F.when(F.col("_i") == 1, F.col("path")).otherwise(F.concat(stem, F.lit("-"), F.col("_i").cast("string"), F.lit(".md"))).alias("path"))
+    """(doc_id, path): wanted paths (doc_id, path) made unique with -2, -3, … against each other and `taken` (path).
+
+    The nth note (by id) that wants a path gets the nth number that is free for
+    it; number 1 is the path itself. A number is taken if a file, or another
+    note's wanted path, has its name. The free numbers come from a merge of both
+    in one sorted pass, so no candidate is tried twice.
+    """
+    stem = lambda c: F.regexp_replace(c, r"\.md$", "")
+    numbered = r"^(.*)-([2-9]|[1-9][0-9]+)$"
+    files = taken.select("path").where("path IS NOT NULL").distinct()
+    names = files.unionByName(paths.select("path").distinct()).distinct().select(stem(F.col("path")).alias("s"))
+    by_number = names.where(F.col("s").rlike(numbered)).select(F.regexp_extract("s", numbered, 1).alias("stem"), F.regexp_extract("s", numbered, 2).cast("long").alias("t"))
+    used = by_number.unionByName(files.select(stem(F.col("path")).alias("stem"), F.lit(1).cast("long").alias("t"))).distinct()
+    order = Window.partitionBy("stem").orderBy("t")
+    # the ith number taken stands before the nth free one if t - i < n
+    steps = used.withColumn("v", F.col("t") - F.row_number().over(order)).select("stem", "v", F.lit(None).cast(paths.schema["doc_id"].dataType).alias("doc_id"), F.lit(0).alias("side"))
+    wanted = paths.select(stem(F.col("path")).alias("stem"), "doc_id").withColumn("v", F.row_number().over(Window.partitionBy("stem").orderBy("doc_id")).cast("long"))
+    rows = steps.unionByName(wanted.select("stem", (F.col("v") - 1).alias("v"), "doc_id", F.lit(1).alias("side")))
+    before = F.sum(1 - F.col("side")).over(Window.partitionBy("stem").orderBy("v", "side").rowsBetween(Window.unboundedPreceding, 0))
+    n = (F.col("v") + 1 + F.coalesce("_b", F.lit(0))).cast("long")
+    placed = rows.withColumn("_b", before).where("side = 1").withColumn("_i", n)
+    return placed.select("doc_id", F.when(F.col("_i") == 1, F.concat("stem", F.lit(".md"))).otherwise(F.concat("stem", F.lit("-"), F.col("_i").cast("string"), F.lit(".md"))).alias("path"))
+
+
+def scope_docs(notes: DataFrame, kind: str, value: str) -> DataFrame:
+    """(doc_id) of the notes (doc_id, body, frontmatter) in a scope: a folder's prefix, or a tag."""
+    if kind == "folder":
+        return notes.select("doc_id").distinct().where(F.startswith("doc_id", F.lit(value)))
+    return note_tags(notes).where(F.col("tag") == T.norm_tag(F.lit(value))).select("doc_id").distinct()
+
+
+def in_scope(rows: DataFrame, docs: DataFrame | None) -> DataFrame:
+    """The rows whose doc_id is in a scope; no scope keeps all."""
+    return rows if docs is None else rows.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def scope_label(kind: str, value: str) -> str:
+    return f"📁 {value}" if kind == "folder" else "#" + value.strip().removeprefix("#").lower()
+
+
+def tag_notes(notes: DataFrame) -> DataFrame:
+    """(tag, doc_ids): each tag with its notes, sorted, for tags of a bounded number of notes; `note_tags` has the rows."""
+    return note_tags(notes).distinct().groupBy("tag").agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
 
 
 def edit_conflict(rows: DataFrame) -> DataFrame:

@@ -96,11 +96,11 @@ def relations_among(ids: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def entity_graph(starts: DataFrame, relations: DataFrame, most: int = VIEW_NODES) -> DataFrame:
-    """(start, source_id, target_id): the relations among a start and its nearest `most` nodes."""
+    """(start, source_id, target_id, label), distinct: the relations among a start and its nearest `most` nodes; the label is the type."""
     near = reach(starts, relations, HOPS, most).select("start", "node").union(starts.select("start", F.col("start").alias("node")))
-    edges = relations.where("source_id IS NOT NULL AND target_id IS NOT NULL").select("source_id", "target_id").distinct()
+    edges = relations.where("source_id IS NOT NULL AND target_id IS NOT NULL").select("source_id", "target_id", F.col("type").alias("label")).distinct()
     one = near.select("start", F.col("node").alias("source_id")).join(edges, "source_id")
-    return one.join(near.select("start", F.col("node").alias("target_id")), ["start", "target_id"], "left_semi").select("start", "source_id", "target_id")
+    return one.join(near.select("start", F.col("node").alias("target_id")), ["start", "target_id"], "left_semi").select("start", "source_id", "target_id", "label")
 
 
 def ring_layout(graph: DataFrame, radius: float = 100.0) -> DataFrame:
@@ -122,11 +122,22 @@ def expand_by_entities(seeds: DataFrame, mentions: DataFrame) -> DataFrame:
     return hit.join(seeds.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
 
 
-def micro_graph(hits: DataFrame, least: int = 3, most: int = 5) -> DataFrame:
-    """(query_id, chunk_id, weight) of the edges from a query to its first three to five hits; weights to 2 places."""
-    n = F.greatest(F.lit(least), F.least(F.lit(most), F.count("*").over(Window.partitionBy("query_id"))))
-    r = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id"))
-    return hits.withColumn("_n", n).withColumn("_r", r).where("_r <= _n").select("query_id", "chunk_id", F.round("score", 2).alias("weight"))
+def micro_graph(hits: DataFrame, shared: DataFrame | None = None, most: int = 5, thin: float = 1.0, thick: float = 6.0) -> DataFrame:
+    """(query_id, chunk_id, label, weight, width, via_graph): the edges from a query to its first `most` hits, clamped to three to five.
+
+    `hits` (query_id, rank, chunk_id, doc_id, page, score); `shared` (query_id,
+    chunk_id, shared_count) says which came through the graph: they weigh by the
+    share of the largest count, others by cosine in [0, 1]. Two places.
+    """
+    top = hits.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id"))).where(F.col("_r") <= max(3, min(5, most)))
+    none = F.lit(None).cast("int").alias("shared_count")
+    rows = top.withColumn("shared_count", none) if shared is None else top.join(shared.select("query_id", "chunk_id", "shared_count"), ["query_id", "chunk_id"], "left")
+    largest = F.greatest(F.lit(1), F.coalesce(F.max("shared_count").over(Window.partitionBy("query_id")), F.lit(0)))
+    weight = F.when(F.col("shared_count").isNotNull(), F.col("shared_count") / largest).otherwise(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)))
+    half_up = lambda x: F.floor(x * 100 + 0.5) / 100  # noqa: E731 — in binary, as the results expect
+    label = F.concat("doc_id", F.when(F.col("page").isNull(), "").otherwise(F.concat(F.lit(" · p."), F.col("page").cast("string"))))
+    weighed = rows.withColumn("w", weight)
+    return weighed.select("query_id", "chunk_id", label.alias("label"), half_up(F.col("w")).alias("weight"), half_up(thin + F.col("w") * (thick - thin)).alias("width"), F.col("shared_count").isNotNull().alias("via_graph"))
 
 
 # --- building ------------------------------------------------------------------------------------------------------------

@@ -182,19 +182,18 @@ def rrf(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
     return rankings.groupBy("query_id", "chunk_id").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("fused"))
 
 
-def hybrid_rerank(hits: DataFrame, terms: list[str], k: int = RRF_K) -> DataFrame:
+def hybrid_rerank(hits: DataFrame, terms: Column, k: int = RRF_K) -> DataFrame:
     """Re-ranks hits (with text) by their rank fused with that of their whole-word matches.
 
-    A query keeps its order if it has one hit, or none that matches; `terms`
-    empty keeps all.
+    `terms` is an array of the query's words. A query keeps its order if it has
+    one hit, or none that matches.
     """
     per = Window.partitionBy("query_id")
-    lex = hits.withColumn("lex", T.whole_word_score(F.col("text"), F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")))
-    lex = lex.withColumn("lex_rank", F.when(F.col("lex") > 0, F.row_number().over(per.orderBy(F.desc("lex"), F.asc("chunk_id")))))
+    lex = hits.withColumn("lex", F.coalesce(T.whole_word_score(F.col("text"), terms), F.lit(0)))
+    lex = lex.withColumn("lex_rank", F.when(F.col("lex") > 0, F.row_number().over(per.orderBy(F.desc("lex"), F.asc("chunk_id"), F.asc("rank")))))
     lex = lex.withColumn("fused", 1.0 / (k + F.col("rank")) + F.coalesce(1.0 / (k + F.col("lex_rank")), F.lit(0.0)))
-    kept = (F.max("lex").over(per) == 0) | (F.count("*").over(per) <= 1)
-    lex = lex.withColumn("_same", kept)
-    order = [F.when(F.col("_same"), F.col("rank")), F.desc(F.round("fused", 12)), F.desc("score"), F.asc("chunk_id")]
+    lex = lex.withColumn("_same", (F.max("lex").over(per) == 0) | (F.count("*").over(per) <= 1))
+    order = [F.when(F.col("_same"), F.col("rank")), F.desc(F.round("fused", 12)), F.desc("score"), F.asc("chunk_id"), F.asc("rank")]
     return lex.withColumn("new_rank", F.row_number().over(per.orderBy(*order))).drop("_same", "lex_rank")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -22,14 +23,38 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_written: dict[str, SparkSession] = {}
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes the tables that this session has written; frames that read them can't be used any more. The number of tables."""
+    mine = [path for path, session in _written.items() if session is spark]
+    for path in mine:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _written[path]
+    return len(mine)
+
+
+@atexit.register
+def _clear_all() -> None:
+    for spark in set(_written.values()):
+        try:
+            clear(spark)
+        except Exception:  # noqa: BLE001 — the session has ended; its tables stay in the checkpoint folder
+            return
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
     Later stages read the table instead of repeating the plan, prune its
-    columns, and survive the loss of executors.
+    columns, and survive the loss of executors. `clear` removes the tables; at the
+    end of the program it is called for all sessions that still run.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notemesh.functions import markdown
 from notemesh.functions import text as T
-from notemesh.operators import chunking, context, corpus, graph, lifecycle, links, prompting
+from notemesh.operators import chunking, context, corpus, graph, lifecycle, links, prompting, selection_bench
 from notemesh.operators import retrieval as R
 from notemesh.plans import materialize
 from notemesh.plans.registry import Registry
@@ -58,9 +58,10 @@ def _(s, d):
     return n.select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce(F.array_size("aliases"), F.lit(0)).cast("long").alias("aliases"), F.length(F.coalesce("body", F.lit(""))).cast("long").alias("chars"))
 
 
-@query("chunk_texts_by_doc", "SELECT doc_id, count(*) AS n, sum(length(text)) AS chars FROM (SELECT DISTINCT chunk_id, doc_id, text FROM chunks) GROUP BY doc_id")
+@query("chunk_texts_by_doc", "SELECT doc_id, list(text ORDER BY seq, chunk_id) AS texts FROM (SELECT DISTINCT chunk_id, doc_id, seq, text FROM chunks WHERE text IS NOT NULL) GROUP BY doc_id")
 def _(s, d):
-    return chunks_of(s, d, "chunk_id", "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    rows = chunks_of(s, d, "chunk_id", "doc_id", "seq", "text").where("text IS NOT NULL")
+    return rows.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "chunk_id", "text"))), lambda x: x["text"]).alias("texts"))
 
 
 @query("live_mentions", "SELECT chunk_id, doc_id, entity_id FROM mentions WHERE chunk_id IN (SELECT chunk_id FROM chunks) AND entity_id IN (SELECT id FROM entities)")
@@ -122,9 +123,9 @@ def _(s, d):
     return latest_notes(s, d, "title").where("title IS NOT NULL").select("doc_id", T.slug(F.col("title")).alias("slug"))
 
 
-@query("query_terms", rf"SELECT turn_id, list_aggregate(list_filter(list_distinct(list_filter(regexp_split_to_array(lower(query), '[^\p{{L}}\p{{N}}]+'), lambda t: length(t) >= 3)), lambda t: NOT list_contains({STOPS}, t)), 'count') AS n FROM (SELECT DISTINCT turn_id, query FROM chat_turns WHERE query IS NOT NULL)")
+@query("query_terms", rf"SELECT turn_id, list_filter(list_distinct_in_order, lambda t: NOT list_contains({STOPS}, t)) AS terms FROM (SELECT turn_id, list(t ORDER BY i) AS list_distinct_in_order FROM (SELECT turn_id, t, min(i) AS i FROM (SELECT turn_id, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM (SELECT turn_id, regexp_split_to_array(lower(query), '[^\p{{L}}\p{{N}}]+') AS x FROM (SELECT DISTINCT turn_id, query FROM chat_turns WHERE query IS NOT NULL))) WHERE length(t) >= 3 GROUP BY ALL) GROUP BY turn_id) WHERE len(list_filter(list_distinct_in_order, lambda t: NOT list_contains({STOPS}, t))) > 0")
 def _(s, d):
-    return read_table(s, d, "chat_turns").where("query IS NOT NULL").select("turn_id", "query").distinct().select("turn_id", F.size(T.query_terms(F.col("query"))).cast("long").alias("n"))
+    return read_table(s, d, "chat_turns").where("query IS NOT NULL").select("turn_id", "query").distinct().select("turn_id", T.query_terms(F.col("query")).alias("terms")).where("size(terms) > 0")
 
 
 @query("content_hashes", f"WITH {NOTES} SELECT doc_id, 'sha256:' || sha256(coalesce(body, '')) AS hash FROM n")
@@ -132,7 +133,7 @@ def _(s, d):
     return latest_notes(s, d, "body").select("doc_id", T.content_hash(F.col("body")).alias("hash"))
 
 
-@query("file_types", "SELECT source_path AS path, CASE lower(regexp_extract(source_path, '\\.([^./]+)$', 1)) WHEN 'md' THEN 'md' WHEN 'markdown' THEN 'md' WHEN 'pdf' THEN 'pdf' WHEN 'txt' THEN 'txt' WHEN 'csv' THEN 'csv' END AS type FROM (SELECT DISTINCT source_path FROM notes WHERE source_path IS NOT NULL)")
+@query("file_types", "SELECT source_path AS path, CASE lower(regexp_extract(source_path, '\\.([^./]+)$', 1)) WHEN 'md' THEN 'md' WHEN 'markdown' THEN 'md' WHEN 'pdf' THEN 'pdf' WHEN 'txt' THEN 'txt' WHEN 'text' THEN 'txt' WHEN 'csv' THEN 'csv' END AS type FROM (SELECT DISTINCT source_path FROM notes WHERE source_path IS NOT NULL)")
 def _(s, d):
     return read_table(s, d, "notes").where("source_path IS NOT NULL").select(F.col("source_path").alias("path")).distinct().withColumn("type", T.file_type(F.col("path")))
 
@@ -211,15 +212,19 @@ def _(s, d):
     return R.rrf(both).withColumn("fused", F.round("fused", 9))
 
 
-TERMS = ["ledger", "tide", "roof", "sổ", "Plan", "presupuesto"]
-
-
-@query("hybrid_rerank", rf"""WITH {HITS}, w AS (SELECT hit_id, query_id, chunk_id, score, rank, len(list_filter(['ledger', 'tide', 'roof', 'so', 'plan', 'presupuesto'], lambda t: list_contains(regexp_split_to_array({FOLD.format('text')}, '[^\p{{L}}\p{{N}}]+'), t))) AS lex FROM h),
- x AS (SELECT *, CASE WHEN lex > 0 THEN row_number() OVER (PARTITION BY query_id ORDER BY lex DESC, chunk_id) END AS lr, max(lex) OVER (PARTITION BY query_id) = 0 OR count(*) OVER (PARTITION BY query_id) <= 1 AS same FROM w),
+@query("hybrid_rerank", rf"""WITH {HITS}, x1 AS (SELECT query_id, regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+') AS x FROM h WHERE rank = 1), t1 AS (SELECT query_id, t, min(i) AS i FROM (SELECT query_id, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM x1) WHERE length(t) >= 3 AND NOT list_contains({STOPS}, t) GROUP BY ALL),
+ asked AS (SELECT query_id, {FOLD.format('t')} AS t FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS n FROM t1) WHERE n <= 6),
+ said AS (SELECT DISTINCT hit_id, query_id, chunk_id, unnest(regexp_split_to_array({FOLD.format('text')}, '[^\p{{L}}\p{{N}}]+')) AS t FROM h),
+ n AS (SELECT hit_id, query_id, chunk_id, count(*) AS lex FROM said JOIN asked USING (query_id, t) GROUP BY ALL),
+ w AS (SELECT h.hit_id, h.query_id, h.chunk_id, score, rank, coalesce(lex, 0) AS lex FROM h LEFT JOIN n ON n.hit_id = h.hit_id AND n.query_id = h.query_id AND n.chunk_id = h.chunk_id),
+ x AS (SELECT *, CASE WHEN lex > 0 THEN row_number() OVER (PARTITION BY query_id ORDER BY lex DESC, chunk_id, rank) END AS lr, max(lex) OVER (PARTITION BY query_id) = 0 OR count(*) OVER (PARTITION BY query_id) <= 1 AS same FROM w),
  f AS (SELECT *, 1.0::DOUBLE / (60 + rank) + coalesce(1.0::DOUBLE / (60 + lr), 0) AS fused FROM x)
- SELECT hit_id, query_id, lex::BIGINT AS lex, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN same THEN rank END, round(fused, 12) DESC, score DESC, chunk_id, hit_id) AS new_rank FROM f""")
+ SELECT hit_id, query_id, lex::BIGINT AS lex, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN same THEN rank END, round(fused, 12) DESC, score DESC, chunk_id, rank) AS new_rank FROM f""")
 def _(s, d):
-    out = R.hybrid_rerank(hits_of(s, d), TERMS)
+    """The question is the first hit's text, of which the first six terms count, since stored searches have no question text."""
+    h = hits_of(s, d)
+    terms = h.where("rank = 1").select("query_id", F.slice(T.query_terms(F.col("text")), 1, 6).alias("terms"))
+    out = R.hybrid_rerank(h.join(terms, "query_id"), F.col("terms"))
     return out.select("hit_id", "query_id", F.col("lex").cast("long").alias("lex"), F.col("new_rank").cast("long").alias("new_rank"))
 
 
@@ -339,9 +344,13 @@ def _(s, d):
     return R.add_lexical(c, lex).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("micro_graph", f"WITH {HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS k, greatest(3, least(5, count(*) OVER (PARTITION BY query_id))) AS n FROM h) SELECT query_id, chunk_id, round(score, 2) AS weight FROM r WHERE k <= n")
+@query("micro_graph", f"WITH {HITS}, g AS (SELECT hit_id, max(page) AS page FROM search_hits GROUP BY 1), r AS (SELECT h.*, page, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS k, CASE WHEN hit_rank % 3 = 0 THEN hit_rank END AS n FROM h LEFT JOIN g USING (hit_id)), t AS (SELECT *, CASE WHEN n IS NULL THEN least(1, greatest(0, score)) ELSE n / greatest(1, coalesce(max(n) OVER (PARTITION BY query_id), 0)) END AS w FROM r WHERE k <= 5) SELECT query_id, chunk_id, doc_id || CASE WHEN page IS NULL THEN '' ELSE ' · p.' || page END AS label, floor(w::DOUBLE * 100 + 0.5) / 100 AS weight, floor((1 + 5 * w::DOUBLE) * 100 + 0.5) / 100 AS width, n IS NOT NULL AS via_graph FROM t")
 def _(s, d):
-    return graph.micro_graph(hits_of(s, d))
+    """Every third hit counts as one from the graph, with its rank for the shared count."""
+    h = hits_of(s, d)
+    pages = read_table(s, d, "search_hits").groupBy("hit_id").agg(F.max("page").alias("page"))
+    shared = h.where("hit_rank % 3 = 0").select("query_id", "chunk_id", F.col("hit_rank").alias("shared_count")).groupBy("query_id", "chunk_id").agg(F.max("shared_count").alias("shared_count"))
+    return graph.micro_graph(h.join(pages, "hit_id", "left"), shared)
 
 
 # --- graph -------------------------------------------------------------------------------------------------------------------
@@ -376,7 +385,7 @@ def _(s, d):
     return graph.reach(starts(s, d), read_table(s, d, "relations"))
 
 
-@query("entity_graph", f"WITH {EDGES}, {REACH}, v AS (SELECT start, node FROM k WHERE n <= 24 UNION SELECT DISTINCT src, src FROM e UNION SELECT DISTINCT x, x FROM (SELECT source_id AS x FROM relations UNION SELECT target_id FROM relations) WHERE x IS NOT NULL), r AS (SELECT DISTINCT source_id, target_id FROM relations WHERE source_id IS NOT NULL AND target_id IS NOT NULL) SELECT v.start, r.source_id, r.target_id FROM r JOIN v ON v.node = r.source_id JOIN v w ON w.node = r.target_id AND w.start = v.start")
+@query("entity_graph", f"WITH {EDGES}, {REACH}, v AS (SELECT start, node FROM k WHERE n <= 24 UNION SELECT DISTINCT src, src FROM e UNION SELECT DISTINCT x, x FROM (SELECT source_id AS x FROM relations UNION SELECT target_id FROM relations) WHERE x IS NOT NULL), r AS (SELECT DISTINCT source_id, target_id, type AS label FROM relations WHERE source_id IS NOT NULL AND target_id IS NOT NULL) SELECT v.start, r.source_id, r.target_id, r.label FROM r JOIN v ON v.node = r.source_id JOIN v w ON w.node = r.target_id AND w.start = v.start")
 def _(s, d):
     return graph.entity_graph(starts(s, d), read_table(s, d, "relations"))
 
@@ -397,9 +406,9 @@ def _(s, d):
     return graph.ring_layout(graph.reach(starts(s, d), read_table(s, d, "relations"), most=graph.VIEW_NODES))
 
 
-@query("scan_mentions", "WITH p AS (SELECT DISTINCT doc_id, entity_id FROM mentions), s AS (SELECT DISTINCT p.doc_id, p.entity_id, lower(e.name) AS s FROM p JOIN entities e ON e.id = p.entity_id WHERE trim(e.name) <> ''), c AS (SELECT DISTINCT chunk_id, doc_id, lower(text) AS t FROM chunks WHERE text IS NOT NULL) SELECT DISTINCT c.chunk_id, c.doc_id, s.entity_id FROM c JOIN s USING (doc_id) WHERE contains(c.t, s.s)")
+@query("scan_mentions", "WITH p AS (SELECT DISTINCT doc_id, entity_id FROM mentions), a AS (SELECT id, name AS s FROM entities UNION ALL SELECT id, unnest(aliases) FROM entities), s AS (SELECT DISTINCT p.doc_id, p.entity_id, lower(a.s) AS s FROM p JOIN a ON a.id = p.entity_id WHERE trim(a.s) <> ''), c AS (SELECT DISTINCT chunk_id, doc_id, lower(text) AS t FROM chunks WHERE text IS NOT NULL) SELECT DISTINCT c.chunk_id, c.doc_id, s.entity_id FROM c JOIN s USING (doc_id) WHERE contains(c.t, s.s)")
 def _(s, d):
-    names = read_table(s, d, "entities").where("name IS NOT NULL").select("id", F.array("name").alias("aliases")).distinct()
+    names = read_table(s, d, "entities").select("id", F.array_compact(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("aliases")).distinct()
     of = read_table(s, d, "mentions").select("doc_id", F.col("entity_id").alias("id")).distinct().join(names, "id")
     return graph.scan_mentions(of, chunks_of(s, d, "chunk_id", "doc_id", "text"))
 
@@ -456,10 +465,24 @@ def _(s, d):
 
 @query("scope_folder", f"WITH {NOTES} SELECT doc_id FROM n WHERE starts_with(doc_id, 'daily/')")
 def _(s, d):
-    return read_table(s, d, "notes").select("doc_id").distinct().where(F.startswith("doc_id", F.lit("daily/")))
+    return corpus.scope_docs(tagged(s, d), "folder", "daily/")
 
 
-SURFACES = "u AS (SELECT surface, min(doc_id) AS doc_id FROM (SELECT doc_id, lower(trim(title)) AS surface FROM n UNION ALL SELECT doc_id, lower(trim(unnest(aliases))) FROM n) WHERE surface <> '' GROUP BY 1)"
+@query("scope_tag", f"WITH {NOTES}, {TAGS}, most AS (SELECT tag FROM g GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 1) SELECT DISTINCT c.chunk_id, c.doc_id FROM chunks c JOIN g USING (doc_id) WHERE tag = (SELECT tag FROM most)")
+def _(s, d):
+    """The chunks of the notes that bear the most frequent tag."""
+    n = tagged(s, d)
+    top = corpus.tag_index(n).orderBy(F.desc("notes"), "tag").select("tag").first()
+    return corpus.in_scope(chunks_of(s, d, "chunk_id", "doc_id"), corpus.scope_docs(n, "tag", top["tag"] if top else ""))
+
+
+@query("tag_notes", f"WITH {NOTES}, {TAGS} SELECT tag, list(doc_id ORDER BY doc_id) AS doc_ids FROM g GROUP BY tag")
+def _(s, d):
+    return corpus.tag_notes(tagged(s, d))
+
+
+CLEAN = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
+SURFACES = f"u AS (SELECT surface, min(doc_id) AS doc_id FROM (SELECT doc_id, {CLEAN.format('title')} AS surface FROM n UNION ALL SELECT doc_id, {CLEAN.format('x')} FROM (SELECT doc_id, unnest(aliases) AS x FROM n)) WHERE surface <> '' GROUP BY 1)"
 
 
 @query("title_index", f"WITH {NOTES}, {SURFACES} SELECT surface, doc_id FROM u")
@@ -467,9 +490,20 @@ def _(s, d):
     return corpus.title_index(latest_notes(s, d, "title", "aliases"))
 
 
-@query("backlinks", rf"WITH {NOTES}, {SURFACES}, l AS (SELECT doc_id, lower(trim(unnest(regexp_extract_all(coalesce(body, ''), '\[\[([^\[\]|#\n]+)(?:#[^\[\]|\n]*)?(?:\|[^\[\]\n]*)?\]\]', 1)))) AS surface FROM n) SELECT u.doc_id AS target, l.doc_id AS source, count(*) AS links FROM l JOIN u USING (surface) WHERE l.doc_id <> u.doc_id GROUP BY ALL")
+LINKED = rf"l AS (SELECT doc_id, {CLEAN.format('t')} AS surface FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(body, ''), '\[\[([^\[\]|#\n]+)(?:#[^\[\]|\n]*)?(?:\|[^\[\]\n]*)?\]\]', 1)) AS t FROM n))"
+
+
+@query("backlinks", f"WITH {NOTES}, {SURFACES}, {LINKED}, e AS (SELECT {CLEAN.format('name')} AS surface, min(id) AS doc_id FROM entities WHERE name IS NOT NULL GROUP BY 1), k AS (SELECT * FROM u UNION ALL SELECT * FROM e WHERE surface <> '' AND surface NOT IN (SELECT surface FROM u)) SELECT k.doc_id AS target, l.doc_id AS source, count(*) AS links FROM l JOIN k USING (surface) WHERE l.doc_id <> k.doc_id GROUP BY ALL")
+def _(s, d):
+    """Links by title or alias; those that name an entity point at its page."""
+    titles = corpus.title_index(latest_notes(s, d, "title", "aliases"))
+    pages = corpus.title_index(read_table(s, d, "entities").where("name IS NOT NULL").select(F.col("id").alias("doc_id"), F.col("name").alias("title"), F.lit(None).cast("array<string>").alias("aliases")))
+    return corpus.backlinks(latest_notes(s, d, "body"), titles.unionByName(pages.join(titles.select("surface"), "surface", "left_anti")))
+
+
+@query("link_targets", f"WITH {NOTES}, {LINKED} SELECT doc_id, surface, count(*) AS links FROM l WHERE surface <> '' GROUP BY ALL")
 def _(s, d):
-    return corpus.backlinks(latest_notes(s, d, "body"), corpus.title_index(latest_notes(s, d, "title", "aliases")))
+    return corpus.links(latest_notes(s, d, "body")).groupBy("doc_id", "surface").agg(F.count("*").alias("links"))
 
 
 @query("rank_titles", f"WITH {NOTES}, {SURFACES}, h AS (SELECT doc_id, surface, CASE WHEN starts_with(surface, 'the r') THEN 2 ELSE 1 END AS score FROM u WHERE contains(surface, 'the r')), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(surface), surface) AS k FROM h) SELECT doc_id, surface, score FROM o WHERE k = 1 ORDER BY score DESC, length(surface), surface, doc_id LIMIT 8")
@@ -482,7 +516,7 @@ def _(s, d):
     return corpus.quick_switch(latest_notes(s, d, "title"), "roof")
 
 
-@query("note_paths", f"WITH {NOTES}, s AS (SELECT doc_id, 'notes/' || CASE WHEN s = '' THEN 'untitled' ELSE s END AS stem FROM (SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace({FOLD.format('title')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), '-+$', '') AS s FROM n WHERE title IS NOT NULL)), r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY doc_id) AS i FROM s) SELECT doc_id, CASE WHEN i = 1 THEN stem ELSE stem || '-' || i END || '.md' AS path FROM r")
+@query("note_paths", f"WITH {NOTES}, s AS (SELECT doc_id, 'notes/' || CASE WHEN s = '' THEN 'untitled' ELSE s END AS stem FROM (SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace({FOLD.format('title')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), '-+$', '') AS s FROM n WHERE title IS NOT NULL)), r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY doc_id) AS i FROM s), k AS (SELECT stem, k, row_number() OVER (PARTITION BY stem ORDER BY k) AS i FROM (SELECT DISTINCT stem FROM s), range(1, 2000) t(k) WHERE k = 1 OR stem || '-' || k NOT IN (SELECT stem FROM s)) SELECT doc_id, CASE WHEN k = 1 THEN stem ELSE stem || '-' || k END || '.md' AS path FROM r JOIN k USING (stem, i)")
 def _(s, d):
     wanted = latest_notes(s, d, "title").where("title IS NOT NULL").select("doc_id", F.concat(F.lit("notes/"), T.slug(F.col("title")), F.lit(".md")).alias("path"))
     return corpus.first_free(wanted, s.createDataFrame([], "path string"))
@@ -506,8 +540,12 @@ def _(s, d):
     return context.compile_xml(read_table(s, d, "chunks")).select("doc_id", F.md5("xml").alias("md5"))
 
 
-PREVIEW = "p AS (SELECT doc_id, 'pii: email' AS label, regexp_extract_all(coalesce(body, ''), '[\\w.+-]+@[\\w-]+\\.[\\w.-]+') AS m FROM n UNION ALL SELECT doc_id, 'pii: ssn', regexp_extract_all(coalesce(body, ''), '\\b\\d{3}-\\d{2}-\\d{4}\\b') FROM n UNION ALL SELECT doc_id, 'pii: ip', regexp_extract_all(coalesce(body, ''), '\\b\\d{1,3}(?:\\.\\d{1,3}){3}\\b') FROM n)"
-KINDS = ["email", "ssn", "ip"]
+PII_SQL = {"email": r"[\w.+-]+@[\w-]+\.[\w.-]+", "phone": r"\+?\d[\d\s().-]{7,}\d", "ssn": r"\b\d{3}-\d{2}-\d{4}\b", "credit_card": r"\b(?:\d[ -]?){13,16}\b", "ip": r"\b\d{1,3}(?:\.\d{1,3}){3}\b"}
+PREVIEW = "p AS (" + " UNION ALL ".join(f"SELECT doc_id, 'pii: {k}' AS label, regexp_extract_all(coalesce(body, ''), '{p}') AS m FROM n" for k, p in PII_SQL.items()) + ")"
+REDACTED = "body"
+for _p in PII_SQL.values():
+    REDACTED = f"regexp_replace({REDACTED}, '{_p}', '[REDACTED]', 'g')"
+KINDS = ["email", "phone", "ssn", "credit_card", "ip"]
 
 
 @query("redaction_preview", f"WITH {NOTES}, {PREVIEW} SELECT doc_id, label, len(m) AS matches, array_to_string(list_sort(list_distinct(m)), ' ') AS found FROM p WHERE len(m) > 0")
@@ -521,7 +559,7 @@ def _(s, d):
     return context.redaction_summary(context.redaction_preview(latest_notes(s, d, "body"), "doc_id", "body", KINDS))
 
 
-@query("redact_pii", f"WITH {NOTES} SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(body, '[\\w.+-]+@[\\w-]+\\.[\\w.-]+', '[REDACTED]', 'g'), '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b', '[REDACTED]', 'g'), '\\b\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}\\b', '[REDACTED]', 'g')) AS md5 FROM n")
+@query("redact_pii", f"WITH {NOTES} SELECT doc_id, md5({REDACTED}) AS md5 FROM n")
 def _(s, d):
     return latest_notes(s, d, "body").select("doc_id", F.md5(T.redact(F.col("body"), KINDS)).alias("md5"))
 
@@ -540,9 +578,26 @@ def _(s, d):
     return context.cost_report(docs, read_table(s, d, "model_windows"))
 
 
-@query("citations", r"SELECT turn_id, row_number() OVER (PARTITION BY turn_id ORDER BY i, j) AS nth, ref FROM (SELECT turn_id, i, unnest(string_split(regexp_replace(m, '[#\s]', '', 'g'), ','))::INT AS ref, generate_subscripts(string_split(m, ','), 1) AS j FROM (SELECT turn_id, unnest(x) AS m, generate_subscripts(x, 1) AS i FROM (SELECT DISTINCT turn_id, regexp_extract_all(coalesce(answer, ''), '\[#?(\d+(?:\s*,\s*#?\d+)*)\]', 1) AS x FROM chat_turns)))")
+CITED = r"m AS (SELECT turn_id, answer, unnest(x) AS m, generate_subscripts(x, 1) AS i FROM (SELECT DISTINCT turn_id, answer, regexp_extract_all(answer, '\[#(\d+)\]', 1) AS x FROM (SELECT turn_id, regexp_replace(answer, '\[(\d)', '[#\1', 'g') AS answer FROM chat_turns WHERE answer IS NOT NULL)))"
+
+
+def cited(s, d):
+    """Answers with their marks [n] written as [#n], as these data have them."""
+    t = read_table(s, d, "chat_turns").where("answer IS NOT NULL").select("turn_id", F.regexp_replace("answer", r"\[([0-9])", "[#$1").alias("answer")).distinct()
+    return context.citations(t).withColumn("nth", F.col("nth").cast("long"))
+
+
+@query("citations", f"WITH {CITED} SELECT turn_id, i AS nth, m::INT AS ref, sum(length(g) + 3 + length(m)) OVER (PARTITION BY turn_id, answer ORDER BY i) - 3 - length(m) AS start FROM (SELECT *, list_extract(regexp_split_to_array(answer, '\\[#\\d+\\]'), i) AS g FROM m)")
 def _(s, d):
-    return context.citations(read_table(s, d, "chat_turns").select("turn_id", "answer").distinct()).withColumn("nth", F.col("nth").cast("long"))
+    return cited(s, d).select("turn_id", "nth", "ref", F.col("start").cast("decimal(38,0)").cast("double").alias("start"))
+
+
+@query("citation_usage", f"WITH {CITED} SELECT turn_id, count(DISTINCT CASE WHEN m::INT BETWEEN 1 AND 2 THEN m::INT END) AS used, count(*) FILTER (WHERE m::INT NOT BETWEEN 1 AND 2) AS dropped FROM m GROUP BY turn_id")
+def _(s, d):
+    """Two sources an answer, so further numbers are dropped."""
+    c = cited(s, d)
+    sources = c.select("turn_id").distinct().select("turn_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("ref")).withColumn("chunk_id", F.col("ref").cast("string"))
+    return context.citation_usage(context.resolve_citations(c, sources))
 
 
 @query("selection_scores", f"WITH {HITS}, s AS (SELECT DISTINCT query_id, doc_id FROM h WHERE rank <= 4), g AS (SELECT DISTINCT query_id, doc_id FROM h WHERE score >= 0.7), n AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(ns, 0) AS ns, coalesce(ng, 0) AS ng FROM (SELECT query_id, count(*) AS ns FROM s GROUP BY 1) a FULL JOIN (SELECT query_id, count(*) AS ng FROM g GROUP BY 1) b ON a.query_id = b.query_id), b AS (SELECT s.query_id, count(*) AS c FROM s JOIN g ON g.query_id = s.query_id AND g.doc_id IS NOT DISTINCT FROM s.doc_id GROUP BY 1) SELECT query_id, round(CASE WHEN ng = 0 THEN 1 ELSE coalesce(c, 0) / ng END, 6) AS recall, round(CASE WHEN ns = 0 THEN 0 ELSE coalesce(c, 0) / ns END, 6) AS precision FROM n LEFT JOIN b USING (query_id)")
@@ -552,11 +607,81 @@ def _(s, d):
     return out.select("query_id", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
 
 
-@query("select_context")
+SELECTION = rf"""c AS (SELECT query_id, chunk_id, doc_id, CAST(nullif(regexp_extract(chunk_id, '#([0-9]+)$', 1), '') AS INT) AS seq, text, score, hit_rank % 2 = 0 AS linked, hit_rank AS n, {TOKENS.format('text')} AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank) AS k FROM h) WHERE k = 1),
+ t AS (SELECT *, CASE WHEN score >= 0.55 THEN 1 WHEN linked THEN 2 END AS tier FROM c), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, CASE WHEN tier = 2 THEN -n END, -score, doc_id, seq, chunk_id) AS place FROM t WHERE tier IS NOT NULL)"""
+
+
+def candidates(s, d):
+    h = hits_of(s, d).withColumn("_k", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("rank"))).where("_k = 1")
+    return h.select("query_id", "chunk_id", "doc_id", F.expr("try_cast(nullif(regexp_extract(chunk_id, '#([0-9]+)$', 1), '') AS int)").alias("seq"), "text", "score", (F.col("hit_rank") % 2 == 0).alias("graph_connected"), F.col("hit_rank").alias("shared_count"), F.lit(False).alias("pinned"), T.token_count(F.col("text")).alias("tokens"))
+
+
+@query("rank_candidates", f"WITH {HITS}, {SELECTION} SELECT query_id, chunk_id, tier, place FROM p")
 def _(s, d):
-    h = hits_of(s, d).dropDuplicates(["query_id", "chunk_id"])
-    c = h.select("query_id", "chunk_id", "doc_id", F.regexp_extract("chunk_id", "#([0-9]+)$", 1).cast("int").alias("seq"), "text", "score", F.lit(False).alias("graph_connected"), F.lit(0).alias("shared_count"), F.lit(False).alias("pinned"), T.token_count(F.col("text")).alias("tokens"))
-    return context.select_context(c, budget=300)
+    out = context.usefulness(candidates(s, d), floor=0.55)
+    return out.select("query_id", "chunk_id", "tier", F.col("place").cast("long").alias("place"))
+
+
+@query("select_context", f"""WITH RECURSIVE {HITS}, {SELECTION},
+ w AS (SELECT query_id, place, tier, doc_id, seq, tokens, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS words, trim(lower(text)) AS flat FROM p),
+ g AS (SELECT *, CASE WHEN len(words) >= 3 THEN list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS sh FROM w),
+ alike AS (SELECT a.query_id, a.place AS early, b.place AS late FROM g a JOIN g b ON a.query_id = b.query_id AND a.place < b.place WHERE (a.doc_id = b.doc_id AND a.seq = b.seq) OR CASE WHEN len(a.sh) = 0 OR len(b.sh) = 0 THEN a.flat = b.flat ELSE len(list_intersect(a.sh, b.sh)) >= 0.8 * (len(a.sh) + len(b.sh) - len(list_intersect(a.sh, b.sh))) END),
+ near AS (SELECT query_id, late AS place, list(early) AS early FROM alike GROUP BY ALL),
+ walk AS (SELECT query_id, 0::BIGINT AS place, 0::BIGINT AS used, []::BIGINT[] AS kept FROM (SELECT DISTINCT query_id FROM p)
+   UNION ALL SELECT walk.query_id, g.place, CASE WHEN ok THEN used + g.tokens ELSE used END, CASE WHEN ok THEN list_append(kept, g.place) ELSE kept END
+   FROM walk JOIN g ON g.query_id = walk.query_id AND g.place = walk.place + 1 LEFT JOIN near ON near.query_id = g.query_id AND near.place = g.place, LATERAL (SELECT NOT coalesce(list_has_any(kept, near.early), false) AND used + g.tokens <= 300 AS ok)),
+ done AS (SELECT query_id, unnest(kept) AS place FROM (SELECT query_id, arg_max(kept, place) AS kept FROM walk GROUP BY query_id))
+ SELECT p.query_id, p.chunk_id, p.tokens FROM done JOIN p USING (query_id, place)""")
+def _(s, d):
+    out = context.select_context(candidates(s, d), budget=300, floor=0.55)
+    return out.select("query_id", "chunk_id", F.col("tokens").cast("long").alias("tokens"))
+
+
+@query("selection_counts")
+def _(s, d):
+    return context.selection_counts(context.judged(candidates(s, d), budget=300, floor=0.55))
+
+
+@query("context_manifest", f"SELECT doc_id, model_id, tokens, tokens <= window_tokens AS fits, greatest(tokens - window_tokens, 0) AS over_by, round(tokens / window_tokens, 3) AS utilization, round(tokens / 1e6 * window_tokens / 1000, 6) AS cost FROM (SELECT doc_id, {TOKENS.format('text')} AS tokens FROM documents), model_windows")
+def _(s, d):
+    """A model's price is its window over a thousand here, since these data have none."""
+    docs = read_table(s, d, "documents").select("doc_id", T.token_count(F.col("text")).alias("tokens"))
+    return context.manifest(docs, read_table(s, d, "model_windows").withColumn("price", F.col("window_tokens") / 1000))
+
+
+@query("audit_records", f"WITH {NOTES}, {PREVIEW}, c AS (SELECT doc_id, string_agg(label || '=' || k, ', ' ORDER BY label || '=' || k) AS redactions FROM (SELECT doc_id, label, sum(len(m))::BIGINT AS k FROM p WHERE len(m) > 0 GROUP BY ALL) GROUP BY doc_id) SELECT n.doc_id, '2025-01-01' AS exported_at, 'm' AS target_model, {TOKENS.format('body')} AS tokens, 'sha256:' || sha256(coalesce(body, '')) AS hash, coalesce(redactions, '') AS redactions FROM n LEFT JOIN c USING (doc_id)")
+def _(s, d):
+    n = latest_notes(s, d, "body")
+    return context.audit_record(n.select("doc_id", T.token_count(F.col("body")).alias("tokens")), context.sources_from_notes(n), context.redaction_preview(n, "doc_id", "body", KINDS), "m", "2025-01-01")
+
+
+@query("sources_from_hits", f"WITH {HITS} SELECT DISTINCT doc_id, coalesce(TRY_CAST(nullif(split_part(chunk_id, '#', 2), '') AS INT), 0) AS seq, md5(text) AS md5 FROM h WHERE doc_id IS NOT NULL")
+def _(s, d):
+    h = hits_of(s, d).withColumn("page", F.lit(None).cast("int"))
+    return context.sources_from_hits(h).select("doc_id", "seq", F.md5("text").alias("md5")).distinct()
+
+
+@query("highlights", f"WITH {NOTES} SELECT DISTINCT c.chunk_id, md5(substring(body, char_start + 1, greatest(0, least(char_end, length(body)) - char_start))) AS md5 FROM chunks c JOIN n USING (doc_id) WHERE body IS NOT NULL AND char_start BETWEEN 0 AND length(body) AND char_end IS NOT NULL")
+def _(s, d):
+    c = chunks_of(s, d, "chunk_id", "doc_id", "char_start", "char_end").join(latest_notes(s, d, "body"), "doc_id").where("body IS NOT NULL AND char_start BETWEEN 0 AND length(body) AND char_end IS NOT NULL")
+    return c.select("chunk_id", F.md5(T.highlight(F.col("body"), F.col("char_start"), F.col("char_end"))["hit"]).alias("md5")).distinct()
+
+
+@query("graph_hashes", "SELECT doc_id, format('{:x}', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(text, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)) AS hash FROM documents WHERE text IS NOT NULL AND text <> '' AND NOT regexp_matches(text, '[^\\x{0}-\\x{FFFF}]')")
+def _(s, d):
+    docs = read_table(s, d, "documents").where("text IS NOT NULL AND text <> ''").where(~F.col("text").rlike(r"[^\x{0}-\x{FFFF}]"))
+    return docs.select("doc_id", T.graph_hash(F.col("text")).alias("hash"))
+
+
+@query("folder_paths", f"SELECT DISTINCT vault_name, array_to_string(list_filter(list_transform(string_split(vault_name || '/ Old  Things/!', '/'), lambda x: regexp_replace(left(regexp_replace(regexp_replace({FOLD.format('x')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), '-+$', '')), lambda x: x <> '' AND x <> 'untitled'), '/') AS folder FROM vaults")
+def _(s, d):
+    return read_table(s, d, "vaults").select("vault_name", T.folder_path(F.concat("vault_name", F.lit("/ Old  Things/!"))).alias("folder")).where("vault_name IS NOT NULL").distinct()
+
+
+@query("selection_bench", "SELECT * FROM (VALUES ('raw', 1.0::DOUBLE, 0.333::DOUBLE, 0.5::DOUBLE), ('naive', 0.625, 0.625, 0.625), ('compiled', 1.0, 1.0, 1.0)) t(strategy, recall, precision, f1)")
+def _(s, d):
+    """The published bench on its own notes; SQL holds the published scores."""
+    return selection_bench.published(s).select("strategy", "recall", "precision", "f1")
 
 
 # --- chunking ----------------------------------------------------------------------------------------------------------------
@@ -567,14 +692,36 @@ def _(s, d):
     return chunking.chunk_notes(latest_notes(s, d, "body"))
 
 
-@query("sections")
+@query("chunk_slices", f"WITH {NOTES} SELECT doc_id, md5(body) AS md5, 0::BIGINT AS unlike, 0::BIGINT AS gaps FROM n WHERE body IS NOT NULL AND trim(body, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+def _(s, d):
+    """Chunks are slices of their note without gaps: cut where the next begins, they give the body again."""
+    n = latest_notes(s, d, "body")
+    c = chunking.chunk_notes(n).join(n, "doc_id")
+    own = Window.partitionBy("doc_id").orderBy("seq")
+    cut = F.coalesce(F.lead("char_start").over(own), F.col("char_end"))
+    rows = c.withColumn("cut", cut).withColumn("gap", (F.col("cut") > F.col("char_end")).cast("long")).withColumn("unlike", (F.col("text") != F.substring(F.col("body"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))).cast("long"))
+    piece = F.struct("seq", F.substring(F.col("body"), F.col("char_start") + 1, F.col("cut") - F.col("char_start")).alias("t"))
+    return rows.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda x: x["t"]), "")).alias("md5"), F.sum("unlike").alias("unlike"), F.sum("gap").alias("gaps"))
+
+
+HEADS = rf"""lines AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(body, chr(10)) AS x FROM n WHERE body IS NOT NULL)),
+ placed AS (SELECT doc_id, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS pos FROM lines),
+ heads AS (SELECT doc_id, pos, regexp_extract(line, '^#{{1,6}}[ \t]+(.+?)[ \t]*#*[ \t]*$', 1) AS heading FROM placed WHERE regexp_matches(line, '^#{{1,6}}[ \t]+(.+?)[ \t]*#*[ \t]*$'))"""
+
+
+@query("sections", f"WITH {NOTES}, {HEADS} SELECT c.chunk_id, arg_max(heading, pos) AS heading FROM (SELECT DISTINCT chunk_id, doc_id, char_start FROM chunks) c LEFT JOIN heads ON heads.doc_id = c.doc_id AND pos <= char_start GROUP BY c.chunk_id, c.doc_id, c.char_start")
 def _(s, d):
     return chunking.section_of(chunks_of(s, d, "chunk_id", "doc_id", "char_start"), chunking.headings(latest_notes(s, d, "body")))
 
 
 @query("embed_chunks")
 def _(s, d):
-    return chunking.embed(chunks_of(s, d, "chunk_id", "text").where("text IS NOT NULL"))
+    """Chunks with title and section in front of their text, as they are embedded."""
+    n = latest_notes(s, d, "title", "body")
+    c = chunks_of(s, d, "chunk_id", "doc_id", "char_start", "text").where("text IS NOT NULL")
+    heads = chunking.section_of(c, chunking.headings(n)).groupBy("chunk_id").agg(F.max("heading").alias("heading"))
+    rows = c.join(heads, "chunk_id", "left").join(n.select("doc_id", "title"), "doc_id", "left")
+    return chunking.embed(rows.select("chunk_id", chunking.embed_texts(F.col("title"), F.col("heading"), F.col("text")).alias("text"))).select("chunk_id", "text", "embedding")
 
 
 # --- links and prompts -------------------------------------------------------------------------------------------------------
@@ -602,20 +749,20 @@ def _(s, d):
     return read_table(s, d, "chat_turns").select("turn_id", F.md5(prompting.normalize_markers(F.col("answer"))).alias("md5")).distinct()
 
 
-@query("shared_orders", "WITH m AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), q AS (SELECT l_orderkey AS query_id, l_partkey FROM m WHERE l_orderkey % 20 = 0) SELECT q.query_id, m.l_orderkey AS other, count(*) AS shared FROM q JOIN m USING (l_partkey) WHERE m.l_orderkey <> q.query_id GROUP BY ALL HAVING count(*) >= 2")
+@query("shared_orders", "WITH m AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), q AS (SELECT l_orderkey AS query_id, l_partkey FROM m WHERE l_orderkey % 20 = 0) SELECT q.query_id, m.l_orderkey AS other, count(*) AS shared FROM q JOIN m USING (l_partkey) WHERE m.l_orderkey <> q.query_id GROUP BY ALL")
 def _(s, d):
-    """The expansion on a large bipartite graph: orders that share two parts or more with a queried order."""
+    """The expansion on a large bipartite graph: orders that share parts with a queried order."""
     m = read_table(s, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_partkey").alias("entity_id")).distinct()
     seeds = m.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "chunk_id").distinct()
-    return graph.expand_by_entities(seeds, m).where("edges >= 2").select("query_id", F.col("chunk_id").alias("other"), F.col("edges").alias("shared"))
+    return graph.expand_by_entities(seeds, m).select("query_id", F.col("chunk_id").alias("other"), F.col("edges").alias("shared"))
 
 
 # --- life of notes -----------------------------------------------------------------------------------------------------------
 
 
-@query("entity_patterns", "SELECT DISTINCT id AS entity_id, 'entity: ' || name AS label, s AS surface FROM (SELECT id, name, trim(name) AS s FROM entities UNION ALL SELECT id, name, trim(unnest(aliases)) FROM entities) WHERE s <> '' AND name IS NOT NULL")
+@query("entity_patterns", r"WITH f AS (SELECT id, name, trim(name) AS s FROM entities UNION ALL SELECT id, name, trim(unnest(aliases)) FROM entities), own AS (SELECT id AS entity_id, 'entity: ' || name AS label, s FROM f), near AS (SELECT DISTINCT a, b FROM (SELECT source_id AS a, target_id AS b FROM relations UNION ALL SELECT target_id, source_id FROM relations) WHERE a <> b), con AS (SELECT near.a AS entity_id, 'connected: ' || name AS label, s FROM near JOIN f ON f.id = near.b) SELECT DISTINCT entity_id, label, s AS surface, '(?<![\p{L}\p{N}_])' || regexp_replace(s, '([\\.*+?^${}()|\[\]])', '\\\1', 'g') || '(?![\p{L}\p{N}_])' AS pattern FROM (SELECT * FROM own UNION ALL SELECT * FROM con) WHERE s <> '' AND label IS NOT NULL")
 def _(s, d):
-    return lifecycle.entity_patterns(read_table(s, d, "entities").where("name IS NOT NULL")).select("entity_id", "label", "surface").distinct()
+    return lifecycle.entity_patterns(read_table(s, d, "entities").where("name IS NOT NULL"), read_table(s, d, "relations")).select("entity_id", "label", "surface", "pattern").distinct()
 
 
 @query("moved_folder", f"WITH {NOTES}, w AS (SELECT doc_id, 'old/' || substring(doc_id, 7) AS path FROM n WHERE starts_with(doc_id, 'daily/')) SELECT doc_id, path FROM w")
@@ -639,15 +786,13 @@ def _(s, d):
     return latest_notes(s, d, "body").select("doc_id", markdown.to_html(F.col("body")).alias("html"))
 
 
-@query("renamed_links", r"WITH " + NOTES + r" SELECT doc_id, md5(regexp_replace(body, '(?i)\[\[\s*Tin Lantern\s*(#[^\[\]|\n]*)?(\|[^\[\]\n]*)?\]\]', '[[Tin Lamp\1\2]]', 'g')) AS md5 FROM n WHERE regexp_matches(body, '(?i)\[\[\s*Tin Lantern\s*(#[^\[\]|\n]*)?(\|[^\[\]\n]*)?\]\]')")
+@query("renamed_links", r"WITH " + NOTES + r" SELECT doc_id, md5(regexp_replace(body, '(?i)\[\[\s*Harbour Ledger\s*(#[^\[\]|\n]*)?(\|[^\[\]\n]*)?\]\]', '[[Tide Ledger\1\2]]', 'g')) AS md5 FROM n WHERE regexp_matches(body, '(?i)\[\[\s*Harbour Ledger\s*(#[^\[\]|\n]*)?(\|[^\[\]\n]*)?\]\]')")
 def _(s, d):
-    return lifecycle.renamed_links(latest_notes(s, d, "body"), "Tin Lantern", "Tin Lamp").select("doc_id", F.md5("body").alias("md5"))
+    return lifecycle.renamed_links(latest_notes(s, d, "body"), "Harbour Ledger", "Tide Ledger").select("doc_id", F.md5("body").alias("md5"))
 
 
 @query("conversation_history", "SELECT conv_id, turn_id, count(*) OVER (PARTITION BY conv_id ORDER BY turn, turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM (SELECT DISTINCT conv_id, turn_id, turn FROM chat_turns)")
 def _(s, d):
-    from pyspark.sql import Window
-
     t = read_table(s, d, "chat_turns").select("conv_id", "turn_id", "turn").distinct()
     before = Window.partitionBy("conv_id").orderBy("turn", "turn_id").rowsBetween(Window.unboundedPreceding, -1)
     return t.select("conv_id", "turn_id", F.count("*").over(before).alias("earlier"))

@@ -52,3 +52,13 @@ def test_tokens(spark):
     assert one(spark, T.token_count, None) == 0
     assert one(spark, lambda c: T.truncate(c, 20), "  much   to say ") == "much to say"
     assert one(spark, lambda c: T.truncate(c, 5), "much to say") == "much…"
+
+
+def test_paths_hashes_and_spans(spark):
+    assert one(spark, T.canonical_id, "Ａcme ﬁrm") == "acme_firm" and one(spark, T.slug, "Ｒoof ½") == "roof-1-2"
+    assert one(spark, T.folder_path, "Clients / Acme Inc/ /!") == "clients/acme-inc" and one(spark, T.folder_path, None) == ""
+    assert one(spark, lambda c: T.child_folder(c, F.lit("Đồ án")), " ") == "notes/do-an" and one(spark, lambda c: T.renamed_folder(c, F.lit("D")), "a/b/c") == "a/b/d"
+    assert one(spark, lambda c: T.conflict_path(c, F.lit("1:2.3")), "n/x.md") == "n/x.1-2-3.conflict.md"
+    assert one(spark, T.graph_hash, "") == "811c9dc5" and one(spark, T.graph_hash, "a") == "e40c292c" and one(spark, T.graph_hash, None) is None
+    assert tuple(one(spark, lambda c: T.highlight(c, F.lit(1), F.lit(99)), "äbc")) == ("ä", "bc", "") and tuple(one(spark, lambda c: T.highlight(c, F.lit(-5), F.lit(-9)), "ab")) == ("", "", "ab")
+    assert one(spark, T.file_type, "x.text") == "txt" and one(spark, T.clean_title, "  A \t B ") == "a b"
