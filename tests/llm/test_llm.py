@@ -30,6 +30,22 @@ def test_token_ids_round_trip(spark):
     sizes = {r.doc_id: r.tokens for r in tokenize.token_counts(docs, "doc_id", "text").collect()}
     assert sizes == {k: len(v) for k, v in got.items()}
     assert tokenize.token_ids(docs.limit(0), "doc_id", "text").count() == 0
+    # copies of a key give one row, and an unlike copy doesn't add to it
+    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "x"), (2, None), (3, "  "), (3, "  ")], "doc_id long, text string")
+    got = tokenize.token_ids(twice, "doc_id", "text").collect()
+    assert {r.doc_id: list(r.ids) for r in got} == {i: tok.encode(t, add_special_tokens=False).ids for i, t in ((1, "a b"), (2, "x"), (3, "  "))} and len(got) == 3
+
+
+def test_token_ids_with_a_large_dictionary(spark, monkeypatch):
+    from notemesh.plans import skew
+
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(tokenize, "WORD_ROWS", 2)
+    texts = ["the tide the the", "the ferry", "the the", "tide the", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tok = tokenize.load_tokenizer(f"{tokenize.TOKENIZER_DIR}/{tokenize.BYTE_BPE}")
+    assert {r.doc_id: list(r.ids) for r in tokenize.token_ids(docs, "doc_id", "text").collect()} == {i: tok.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert {r.doc_id: r.tokens for r in tokenize.token_counts(docs, "doc_id", "text").collect()} == {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
 
 # --- 3 -----------------------------------------------------------------------------------------------------------------------
