@@ -355,6 +355,15 @@ def test_languages(model):
     assert language.analyse(None, model) == ([], []) and language.analyse("12 – ??", model) == ([], [])
 
 
+def test_confidence_and_unknown_languages(model):
+    for text in ("Ночная смена разобрала маршрутный лист во вторник, потому что полки были сырыми.", "夜勤は火曜日に経路表を整理した。棚が湿っていたからだ。", "Η νυχτερινή βάρδια ταξινόμησε το φύλλο διαδρομής."):
+        kept, rows = language.analyse(text, model)
+        assert kept == [] and rows and all(k == -1 for *_, k, _ in rows)
+    clear = language.analyse(SAMPLES["en"], model)[1][0][3]
+    doubtful = language.analyse("The no se was", model)[1][0][3]
+    assert 0.9 < clear <= 1 and doubtful < clear - 0.05
+
+
 def test_labels():
     assert [language.label_code(x) for x in ("EN", "en-US", "pt_BR", "Vietnamese", "deu", "Español", "??", "", None, "und", "n/a", "unknown")] == ["en", "en", "pt", "vi", "de", "es", None, None, None, None, None, None]
 
