@@ -344,13 +344,21 @@ def link(entities: DataFrame, nicknames: dict[str, str]) -> DataFrame:
 
 
 def register(reg: Registry) -> None:
-    @reg.query("p4_found")
-    def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    def linked_entities(spark: SparkSession, sf: str) -> DataFrame:
         table = read_table(spark, sf, "nicknames").where("given_name IS NOT NULL AND nickname IS NOT NULL").toPandas()
         nicknames = {fold(n): fold(g) for g, n in zip(table["given_name"], table["nickname"])}
-        linked = materialize(link(read_table(spark, sf, "entities").select("id", "name", "aliases"), nicknames), "linked")
+        return link(read_table(spark, sf, "entities").select("id", "name", "aliases"), nicknames)
+
+    @reg.query("p4_found")
+    def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+        linked = materialize(linked_entities(spark, sf), "linked")
         many = linked.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
         kept = linked.join(many, "grp", "left_semi")
         # the result is all pairs of a group, as its definition asks
         one, two = kept.withColumnRenamed("id", "entity_id_a"), kept.withColumnRenamed("id", "entity_id_b")
         return one.join(two, "grp").where("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b")
+
+    @reg.query("p4_groups")
+    def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+        """Every entity with a name that tells who is meant, and its group."""
+        return linked_entities(spark, sf).select(F.col("id").alias("entity_id"), "grp")

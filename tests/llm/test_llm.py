@@ -89,6 +89,24 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     want = brute(rows, 0.6)
     assert got == want and len(want) > 100
     assert neardup.alike(rows_of(spark, rows).limit(0), 0.6, 3).count() == 0
+    # classes hold what pairs link; copies are in one class
+    got = {(r.kind, r.key): r.cls for r in neardup.grouped(rows_of(spark, rows + rows[:7]), 0.6, 3).collect()}
+    assert len(got) == len({r[:2] for r in rows}) - 3 and all(got[k, a] == got[k, b] for k, a, b in want)
+    alone = {x for x in got} - {(k, x) for k, a, b in want for x in (a, b)}
+    texts = {(r[0], r[1]): r[4] for r in rows}
+    assert all(got[x] != got[y] or texts[x] == texts[y] for x in alone for y in got if x != y)
+
+
+def test_ordinary_runs_stay_cold_in_a_large_corpus(monkeypatch):
+    """With full slots a text goes into as many tries as with empty ones."""
+    monkeypatch.setattr(neardup, "RARITY_SLOTS", 8)
+    monkeypatch.setattr(neardup, "HOT_RUN", 20)
+    rng = np.random.default_rng(1)
+    sets = [sorted(rng.integers(-(2**62), 2**62, 50).tolist()) for _ in range(200)]
+    counts, limit = np.bincount(neardup.slot(np.array(sets).ravel()), minlength=8), neardup.hot_limit(10_000)
+    assert counts.min() > neardup.HOT_RUN and counts.sum() == 10_000 and (counts <= limit).all()
+    placed = next(neardup.place(0.6, type("T", (), {"value": (counts, limit)}))(iter([pd.DataFrame({"rec": [1], "scope": [0], "runs": [np.array(sets[0])]})])))
+    assert len(placed) == 50 - 30 + 1
 
 
 @settings(max_examples=30, deadline=None)
