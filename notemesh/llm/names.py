@@ -68,8 +68,6 @@ ABBREVIATIONS = {
     "tech": "technology", "text": "textiles", "tmbr": "timber", "trad": "trading", "trdg": "trading", "trans": "transport",
 }
 
-COMPANIONS = {"brothers": "partners", "brokers": "insurance", "glass": "ceramics", "ceramics": "glass"}
-
 
 def fold(s: str) -> str:
     s = unicodedata.normalize("NFD", s.lower()).replace("đ", "d").replace("ß", "ss").replace("ø", "o").replace("ł", "l")
@@ -168,11 +166,9 @@ def forms_of(name: str | None, vocab: Vocabulary) -> list[tuple[str, str, str]]:
         business = [w for w in near if w in BUSINESS]
         if business or any(w in BUSINESS for w in common):  # a firm's name has no given names
             near = business
-        # of several words, the one that goes with another of the name
-        full = near[0] if len(near) == 1 else next((w for w in near if COMPANIONS.get(w) in common), None)
-        if full:
+        if len(near) == 1:
             rare.remove(t)
-            common.append(full)
+            common.append(near[0])
     if not rare and len(full := {vocab.nicknames.get(t, t) for t in common}) > 1:
         # all are common: the least common one, a known one last, tells who is meant
         rare = [min(full, key=lambda t: (t in vocab.known, vocab.count.get(t, 0), t))]
