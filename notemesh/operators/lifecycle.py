@@ -33,6 +33,29 @@ def renamed_links(notes: DataFrame, old: str, new: str) -> DataFrame:
     return notes.where(F.col("body").rlike(pattern)).select("doc_id", fresh.alias("body"))
 
 
+def updated(notes: DataFrame, edits: DataFrame, now: str) -> DataFrame:
+    """Notes (doc_id, title, body, frontmatter) after edits (doc_id, title, body): null keeps the old value, keys of the frontmatter stay,
+    `updated` is set and the hash is that of the new body; notes without an edit are as they were, edits without a note are left out."""
+    new = edits.groupBy("doc_id").agg(F.max(F.struct("title", "body")).alias("e"))
+    rows = notes.join(new, "doc_id", "left")
+    body = F.coalesce("e.body", "body")
+    stamp = F.when(F.col("e").isNotNull(), F.map_from_arrays(F.array(F.lit("updated"), F.lit("hash")), F.array(F.lit(now), T.content_hash(body))))
+    kept = F.map_filter(F.coalesce("frontmatter", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, _: F.col("e").isNull() | ~k.isin("updated", "hash"))
+    return rows.select("doc_id", F.coalesce("e.title", "title").alias("title"), body.alias("body"), F.when(stamp.isNull(), F.col("frontmatter")).otherwise(F.map_concat(kept, stamp)).alias("frontmatter"))
+
+
+def renamed(notes: DataFrame, doc_id: str, old: str, new: str) -> DataFrame:
+    """Notes (doc_id, title, body) after one got another title: its own row, and every note that links to the old title."""
+    own = notes.withColumn("title", F.when(F.col("doc_id") == doc_id, F.lit(new)).otherwise(F.col("title")))
+    links = renamed_links(notes, old, new).withColumnRenamed("body", "_b")
+    return own.join(links, "doc_id", "left").select("doc_id", "title", F.coalesce("_b", "body").alias("body"))
+
+
+def iso_time(at):
+    """The time of a timestamp Column, as hours and minutes."""
+    return F.date_format(at, "HH:mm")
+
+
 def entity_patterns(entities: DataFrame, relations: DataFrame | None = None) -> DataFrame:
     """(entity_id, label, surface, pattern): whole-word patterns for an entity's names, longest first, and for its neighbours' if relations are given."""
     own = entities.select(F.col("id").alias("entity_id"), "id", F.lit("entity").alias("kind"), "name", "aliases")

@@ -56,6 +56,25 @@ def messages(user: str, history: list[tuple[str, str]], system: str = SYSTEM) ->
     return [("system", system), *(m for q, a in history for m in (("user", q), ("assistant", a))), ("user", user)]
 
 
+REASON = "Start from the numbered notes and cite them as [#n]. You may add what you know, but say which part isn't from the notes."
+
+
+def grounding_hint(absent: list[str]) -> str:
+    """What a model is told about names that a question asks for and no note holds."""
+    return f"These names are in none of the notes: {', '.join(repr(a) for a in absent)}. Say so; ascribe nothing to them from the notes, and don't take them for somebody else." if absent else ""
+
+
+def language_directive(language: str | None) -> str:
+    return f"Write the whole answer in {language}, whatever language the notes and the question are in; names and code stay." if language else ""
+
+
+def system_prompt(mode: str = "grounded", language: str | None = None, absent: list[str] | None = None) -> str:
+    """The system's message: the language first, then the mode's rules, then absent names."""
+    if mode not in ("grounded", "reason"):
+        raise ValueError(f"unknown mode {mode!r}")
+    return "\n\n".join(x for x in (language_directive(language), REASON if mode == "reason" else SYSTEM, grounding_hint(absent or [])) if x)
+
+
 def assemble_prompts(hits: DataFrame, questions: DataFrame, budget: int) -> DataFrame:
     """(query_id, prompt, chunk_ids) of hits (query_id, rank, chunk_id, doc_id, page, text) and questions (query_id, question)."""
     kind = hits.schema["query_id"].dataType.simpleString()

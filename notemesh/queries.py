@@ -105,6 +105,28 @@ def _(s, d):
     return files.csv_rows(read_table(s, d, "documents").where("source = 'csv'"), "doc_id", "text")
 
 
+@query("csv_notes")
+def _(s, d):
+    return files.csv_notes(read_table(s, d, "documents").where("source = 'csv'"), "doc_id", "text")
+
+
+@query("vault_round_trip", f"WITH {NOTES} SELECT doc_id, md5(body) AS md5, coalesce(element_at(frontmatter, 'tags')[1], '') AS tags, coalesce(len(map_keys(frontmatter)), 0) AS keys FROM n WHERE coalesce(body, '') <> ''")
+def _(s, d):
+    """Notes written as files and read back: bodies and frontmatter are those of the table."""
+    made = files.vault_files(tagged(s, d).where("coalesce(body, '') <> ''"))
+    entries = made.select(F.lit("v").alias("archive"), "path", F.lit("note").alias("kind"), F.encode("content", "UTF-8").alias("content"))
+    return files.vault_notes(entries).select("doc_id", F.md5("body").alias("md5"), F.coalesce(F.element_at("frontmatter", F.lit("tags")), F.lit("")).alias("tags"), F.size("frontmatter").cast("long").alias("keys"))
+
+
+@query("chat_files", "SELECT 'chats/' || conv_id || '.md' AS path, count(*) AS turns FROM (SELECT DISTINCT conv_id, turn_id, turn, query, answer FROM chat_turns) GROUP BY conv_id")
+def _(s, d):
+    t = read_table(s, d, "chat_turns").select("conv_id", "turn_id", "turn", "query", "answer").distinct()
+    none = s.createDataFrame([], "doc_id string, frontmatter map<string,string>, body string")
+    made = files.vault_files(none, corpus.export_chats(t))
+    turns = t.groupBy("conv_id").agg(F.count("*").alias("turns")).withColumn("path", F.concat(F.lit("chats/"), F.col("conv_id").cast("string"), F.lit(".md")))
+    return made.join(turns, "path").select("path", "turns")
+
+
 # --- text ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -770,6 +792,15 @@ def _(s, d):
     return lifecycle.moved(read_table(s, d, "notes").where("doc_id IS NOT NULL").select("doc_id").distinct(), "daily", "old")
 
 
+@query("updated_notes", f"WITH {NOTES} SELECT doc_id, coalesce(title, '') AS title, md5(CASE WHEN length(body) % 2 = 0 THEN 'new ' || body ELSE body END) AS md5, CASE WHEN length(body) % 2 = 0 THEN 'sha256:' || sha256('new ' || body) ELSE coalesce(element_at(frontmatter, 'hash')[1], '') END AS hash FROM n WHERE body IS NOT NULL")
+def _(s, d):
+    """Bodies of even length get a word in front."""
+    n = tagged(s, d).join(latest_notes(s, d, "title"), "doc_id").where("body IS NOT NULL")
+    edits = n.where("length(body) % 2 = 0").select("doc_id", F.lit(None).cast("string").alias("title"), F.concat(F.lit("new "), "body").alias("body"))
+    out = lifecycle.updated(n, edits, "2025-01-01")
+    return out.select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.md5("body").alias("md5"), F.coalesce(F.element_at("frontmatter", F.lit("hash")), F.lit("")).alias("hash"))
+
+
 @query("model_profiles", "SELECT model_id AS model, model_id, window_tokens FROM model_windows")
 def _(s, d):
     m = read_table(s, d, "model_windows")

@@ -274,6 +274,37 @@ def test_csv_and_notes():
     assert files.parse_note(files.serialize_note({"k": "v"}, "b"))[1] == "b"
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.from_regex(r"\A[a-z]{1,6}\Z"), st.text("ab \"'\\\n:#[],-é", min_size=1, max_size=12), max_size=4), st.text("a\n-: ", max_size=20))
+def test_notes_round_trip(frontmatter, body):
+    got = files.parse_note(files.serialize_note(frontmatter, "x" + body))
+    assert got == (frontmatter, "x" + body)
+
+
+def test_csv_linear_and_lists():
+    assert files.csv_linear("DoanhThu_trieu,Q\n1|2,\n,\n") == "| DoanhThu_trieu | Q |\n| --- | --- |\n| 1\\|2 |  |\n|  |  |\n\n## Dữ liệu theo dòng\n\n- Doanh Thu trieu: 1\\|2"
+    assert files.csv_linear("a,b") == files.csv_markdown([["a", "b"]]) and files.csv_linear("") == ""
+    assert files.inline_list('[a, "b, c", \'d\', ]') == ["a", "b, c", "d"] and files.scalar('"a\\"b"') == 'a"b'
+
+
+def test_vault_files_and_updates(spark):
+    from notemesh.operators import lifecycle
+
+    shape = "doc_id string, title string, body string, frontmatter map<string,string>"
+    n = spark.createDataFrame([("a.md", "A", "old", {"tags": "x", "hash": "h"}), ("b.md", "B", "[[A]]", None), ("c.md", None, None, None)], shape)
+    entries = files.vault_files(n, spark.createDataFrame([(1, "**user:**")], "conv_id int, markdown string"))
+    got = {r.path: r.content for r in entries.collect()}
+    assert got == {"a.md": "---\nhash: h\ntags: x\n---\n\nold", "b.md": "[[A]]", "c.md": "", "chats/1.md": "---\ntype: chat\nid: 1\n---\n\n**user:**"}
+    e = spark.createDataFrame([("a.md", None, "new"), ("z.md", "Z", "z")], "doc_id string, title string, body string")
+    out = {r.doc_id: r for r in lifecycle.updated(n, e, "now").collect()}
+    assert set(out) == {"a.md", "b.md", "c.md"} and (out["a.md"].title, out["a.md"].body) == ("A", "new") and out["b.md"].frontmatter is None
+    assert {k: v for k, v in out["a.md"].frontmatter.items() if k != "hash"} == {"tags": "x", "updated": "now"} and out["a.md"].frontmatter["hash"].startswith("sha256:")
+    assert {(r.doc_id, r.title, r.body) for r in lifecycle.renamed(n, "a.md", "A", "New").collect()} == {("a.md", "New", "old"), ("b.md", "B", "[[New]]"), ("c.md", None, None)}
+    assert "Vietnamese" in prompting.system_prompt("reason", "Vietnamese", ["Jane"]) and "'Jane'" in prompting.system_prompt(absent=["Jane"]) and prompting.system_prompt() == prompting.SYSTEM
+    with pytest.raises(ValueError):
+        prompting.system_prompt("guess")
+
+
 def test_intake_and_archives(spark, tmp_path):
     for name, data in {"a.md": b"# hi", "b.txt": b"\xff\xfe\xfa", "c.exe": b"x", "d.pdf": b"%PDF"}.items():
         (tmp_path / name).write_bytes(data)
