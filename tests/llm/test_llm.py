@@ -109,6 +109,27 @@ def test_ordinary_runs_stay_cold_in_a_large_corpus(monkeypatch):
     assert len(placed) == 50 - 30 + 1
 
 
+def test_run_counts_reach_the_driver_packed(spark, monkeypatch):
+    """However many slots are in use, the driver gets a row a block, and the counts are those of all runs."""
+    rng = np.random.default_rng(4)
+    flat = rng.integers(-(2**62), 2**62, 40_000)
+    flat[:9_000] = flat[0]
+    frame = type(spark.range(1))
+    got, collect, to_pandas = [], frame.collect, frame.toPandas
+    monkeypatch.setattr(frame, "collect", lambda df: got.append(collect(df)) or got[-1])
+    monkeypatch.setattr(frame, "toPandas", lambda df: got.append(to_pandas(df)) or got[-1])
+    rows = spark.createDataFrame([(x.tolist(),) for x in flat.reshape(-1, 50)], "runs array<bigint>")
+    table, limit = neardup.rarity(rows)
+    assert (table == np.bincount(neardup.slot(flat), minlength=neardup.RARITY_SLOTS)).all() and limit == neardup.hot_limit(len(flat))
+    assert 0 < sum(map(len, got)) <= 1024 < (table > 0).sum()
+    table, limit = neardup.rarity(rows.limit(0))
+    assert not table.any() and limit == neardup.HOT_RUN
+    # a count beyond int32 is the largest in the table, but whole in the sum
+    some = pd.DataFrame({"block": [3, 3, 5], "place": [7, 7, 0], "n": [2**31, 5, 1]})
+    packed = pd.concat(neardup._blocks(iter([some[:1], some[1:]]))).set_index("block")
+    assert packed["total"].to_dict() == {3: 2**31 + 5, 5: 1} and np.frombuffer(packed["counts"][3], "<i4")[7] == 2**31 - 1
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(4, 9)), min_size=1, max_size=40), st.integers(0, 2**32 - 1))
 def test_trie_finds_all_pairs_in_budget(shape, seed):
