@@ -2,9 +2,11 @@
 
 A word's likelihood in a language comes from its character n-grams and itself,
 without accents, so a text typed without them reads the same. The counts are
-fitted on about TRAIN_ROWS records (those with a small hash of their key): their
-sentences are first told apart by common function words, then the model labels
-them anew, twice. Labels of rows play no part in the fit, since they may be wrong.
+those of all records: their sentences are first told apart by common function
+words, then the model labels them anew, twice. Tasks count words by language, and
+n-grams by their words; the model has a hash and a number a language for each
+distinct n-gram, so it grows with the vocabulary, not with rows. Labels of rows
+play no part in the fit, since they may be wrong.
 
 A record is a mixture of languages. Expectation-maximisation estimates its
 proportions from the likelihoods of its sentences; the set of languages starts
@@ -23,10 +25,10 @@ blank texts have none; rows delivered twice count once.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,10 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemesh.llm.markup import CODE, HTML
+from notemesh.plans import materialize
 from notemesh.plans.registry import Registry
-from notemesh.sources import hashed_sample, once, read_table
+from notemesh.sources import once, read_table
 
-TRAIN_ROWS = 2_000
+#: Words that a task counts before it hands them on, and whose likelihoods it keeps at hand; neither changes a result.
+COUNTED_WORDS, KNOWN_WORDS = 100_000, 200_000
 #: Nats that a further language must gain over the record, and for each of its sentences over the main language.
 PENALTY, MARGIN = 6.0, 5.0
 #: Counted words of a whole sentence.
@@ -124,12 +128,34 @@ def sentences(text: str | None) -> list[tuple[int, int, list[str], list[int]]]:
     return out
 
 
+Parts = list[tuple[int, int, list[str], list[int]]]
+
+
+@functools.lru_cache(maxsize=100_000)
+def gram_hash(gram: str) -> int:
+    return int.from_bytes(hashlib.blake2b(gram.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def counted_grams(words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the words' n-grams, sorted, and their counts by language, given those of the words."""
+    grams = [[gram_hash(g) for g in LanguageModel.grams(w)] for w in words]
+    hashes, at = np.unique(np.array([h for x in grams for h in x], np.int64), return_inverse=True)
+    out = np.zeros((len(hashes), counts.shape[1]), np.int64)
+    np.add.at(out, at, np.repeat(counts, [len(x) for x in grams], axis=0))
+    return hashes, out
+
+
 class LanguageModel:
     def __init__(self, languages: list[str]):
         self.languages = languages
-        self.tables: list[dict[str, float]] = []
+        self.hashes = np.empty(0, np.int64)
+        self.logs = np.empty((0, len(languages)), np.float32)
         self.floor: np.ndarray | None = None
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.vectors = np.empty((1024, len(self.languages) + 1))
 
     @staticmethod
     def grams(word: str) -> list[str]:
@@ -137,37 +163,83 @@ class LanguageModel:
         return [w, *(w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1))]
 
     def fit(self, labelled: list[tuple[list[str], int]]) -> None:
-        counts = [Counter() for _ in self.languages]
-        words = [Counter() for _ in self.languages]
-        for sentence, k in labelled:
-            words[k].update(sentence)
-        for k, c in enumerate(words):
-            for w, n in c.items():
-                for g in self.grams(w):
-                    counts[k][g] += n
-        vocabulary = len(set().union(*counts)) or 1
-        total = [sum(c.values()) + 0.5 * vocabulary for c in counts]
-        self.tables = [{g: float(np.log((n + 0.5) / t)) for g, n in c.items()} for c, t in zip(counts, total)]
-        self.floor = np.array([np.log(0.5 / t) for t in total])
-        self.known = {}
+        words: dict[str, int] = {}
+        where = [[words.setdefault(w, len(words)) for w in sentence] for sentence, _ in labelled]
+        counts = np.zeros((len(words), len(self.languages)), np.int64)
+        for at, (_, k) in zip(where, labelled):
+            np.add.at(counts[:, k], at, 1)
+        self.fit_counts(*counted_grams(list(words), counts))
+
+    def fit_counts(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        """Fits the model on the counts by language of distinct n-grams, whose hashes are sorted."""
+        total = counts.sum(axis=0) + 0.5 * (len(hashes) or 1)
+        self.hashes, self.logs = hashes, np.empty(counts.shape, np.float32)
+        for k, t in enumerate(total):
+            self.logs[:, k] = np.log((counts[:, k] + 0.5) / t)
+        self.floor = np.log(0.5 / total)
+        self.forget()
 
     def word(self, w: str) -> np.ndarray:
         """Log likelihood of a word in each language and, last, in the background, relative to the best language, per gram and bounded."""
-        got = self.known.get(w)
-        if got is None:
-            grams = self.grams(w)
-            none = (self.floor.max() + np.log(UNSEEN)) * len(grams)
-            got = np.array([*(sum(t.get(g, f) for g in grams) for t, f in zip(self.tables, self.floor)), none]) / (0.35 * len(grams) + 1)
-            got = np.clip(got - got[:-1].max(), -WORD_NATS, WORD_NATS)
-            if len(self.known) < 200_000:
-                self.known[w] = got
-        return got
+        grams = np.array([gram_hash(g) for g in self.grams(w)], np.int64)
+        at = np.searchsorted(self.hashes, grams)
+        at[at == len(self.hashes)] = 0
+        at = at[self.hashes[at] == grams] if len(self.hashes) else at[:0]
+        own = self.logs[at].astype(float).sum(axis=0) + (len(grams) - len(at)) * self.floor
+        none = (self.floor.max() + np.log(UNSEEN)) * len(grams)
+        got = np.array([*own, none]) / (0.35 * len(grams) + 1)
+        return np.clip(got - got[:-1].max(), -WORD_NATS, WORD_NATS)
+
+    def place(self, w: str) -> int:
+        """The row of `vectors` that has a word's likelihoods."""
+        at = self.known.get(w)
+        if at is None:
+            at = len(self.known)
+            if at == len(self.vectors):
+                self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
+            self.vectors[at] = self.word(w)
+            self.known[w] = at
+        return at
 
     def sentence(self, words: list[str]) -> np.ndarray:
         return self.each(words)[:, :-1].sum(axis=0)
 
     def each(self, words: list[str]) -> np.ndarray:
-        return np.array([self.word(w) for w in words]).reshape(len(words), len(self.languages) + 1)
+        if len(self.known) > KNOWN_WORDS:
+            self.forget()
+        at = [self.place(w) for w in words]
+        return self.vectors[np.array(at, np.int64)]
+
+
+def basis(languages: list[str]) -> list[tuple[list[str], int]]:
+    return [(FUNCTION_WORDS[c].split(), k) for k, c in enumerate(languages) if c in FUNCTION_WORDS]
+
+
+def first_labels(parts: Parts, seeds: list[set[str]]) -> Iterator[tuple[list[str], int]]:
+    """Sentences of a record with the language that function words tell."""
+    scores = [[sum(w in seed for w in s) for seed in seeds] for _, _, s, _ in parts]
+    total = [sum(x) for x in zip(*scores)] or [0]
+    if max(total) < 2:
+        return
+    main = total.index(max(total))
+    for (_, _, s, _), x in zip(parts, scores):
+        own = x.index(max(x))
+        yield s, own if x[own] >= x[main] + 2 else main
+
+
+def labels(parts: Parts, model: LanguageModel) -> Iterator[tuple[list[str], int]]:
+    """Sentences of a record with the language that the model tells, where it is sure."""
+    for (_, _, s, _), (_, _, k, c) in zip(parts, judge(parts, model, whole=True)[1]):
+        if c > 0.8:
+            yield s, k
+
+
+def seeds_of(languages: list[str]) -> list[set[str]]:
+    return [set(FUNCTION_WORDS.get(c, "").split()) for c in languages]
+
+
+#: Fits after the first, on what the model itself has told.
+ROUNDS = 2
 
 
 def train(texts: list[str], languages: list[str]) -> LanguageModel:
@@ -175,35 +247,22 @@ def train(texts: list[str], languages: list[str]) -> LanguageModel:
 
     A sentence takes the language of its record unless its own words speak
     clearly for another, so that a sentence with few function words is learnt
-    from its surroundings.
+    from its surroundings. `fitted` does the same for tables.
     """
-    seeds = [set(FUNCTION_WORDS.get(c, "").split()) for c in languages]
-    basis = [(FUNCTION_WORDS[c].split(), k) for k, c in enumerate(languages) if c in FUNCTION_WORDS]
-    docs = [[s for _, _, s, _ in sentences(t)] for t in texts]
-    first = list(basis)
-    for parts in docs:
-        scores = [[sum(w in seed for w in s) for seed in seeds] for s in parts]
-        total = [sum(x) for x in zip(*scores)] or [0]
-        if max(total) < 2:
-            continue
-        main = total.index(max(total))
-        for s, x in zip(parts, scores):
-            own = x.index(max(x))
-            first.append((s, own if x[own] >= x[main] + 2 else main))
+    docs = [sentences(t) for t in texts]
+    seeds = seeds_of(languages)
     model = LanguageModel(languages)
-    model.fit(first)
-    for _ in range(2):
-        again = list(basis)
-        for t, parts in zip(texts, docs):
-            rows = analyse(t, model, whole=True)[1]
-            again += [(s, k) for s, (_, _, k, c) in zip(parts, rows) if c > 0.8]
-        model.fit(again)
+    model.fit(basis(languages) + [x for parts in docs for x in first_labels(parts, seeds)])
+    for _ in range(ROUNDS):
+        model.fit(basis(languages) + [x for parts in docs for x in labels(parts, model)])
     return model
 
 
 def mixture(ll: np.ndarray, weight: np.ndarray, among: list[int], rounds: int = 12) -> tuple[float, np.ndarray]:
     """Log likelihood and posteriors of sentences under the best proportions of the languages `among`."""
     part = ll[:, among]
+    if len(among) == 1:
+        return float(part.sum()), np.ones_like(part)
     share = np.full(len(among), 1 / len(among))
     for _ in range(rounds):
         with np.errstate(divide="ignore"):
@@ -216,10 +275,9 @@ def mixture(ll: np.ndarray, weight: np.ndarray, among: list[int], rounds: int =
     return float((top[:, 0] + np.log(norm[:, 0])).sum()), post
 
 
-def weighed(part: tuple[int, int, list[str], list[int]], model: LanguageModel, whole: bool) -> list[tuple[int, int, int, np.ndarray]]:
+def weighed(part: tuple[int, int, list[str], list[int]], each: np.ndarray, whole: bool) -> list[tuple[int, int, int, np.ndarray]]:
     """(start, end, words, log likelihoods) of a sentence, or of its two halves if it changes language without a stop."""
     a, b, words, places = part
-    each = model.each(words)
     total = each.sum(axis=0)
     if whole or len(words) < 2 * SENTENCE_WORDS or -total[:-1].max() < SPLIT_NATS:
         return [(a, b, len(words), total)]
@@ -237,9 +295,15 @@ def analyse(text: str | None, model: LanguageModel, whole: bool = False) -> tupl
 
     The language is its number in the model, -1 for none of them; a record in none has no languages.
     """
-    parts = [x for p in sentences(text) for x in weighed(p, model, whole)]
-    if not parts:
+    return judge(sentences(text), model, whole)
+
+
+def judge(found: Parts, model: LanguageModel, whole: bool = False) -> tuple[list[int], list[tuple[int, int, int, float]]]:
+    """`analyse` of a record whose sentences are known."""
+    if not found:
         return [], []
+    each = np.split(model.each([w for _, _, words, _ in found for w in words]), np.cumsum([len(words) for _, _, words, _ in found])[:-1])
+    parts = [x for p, e in zip(found, each) for x in weighed(p, e, whole)]
     ll = np.stack([p[3] for p in parts])
     ll, background = ll[:, :-1], ll[:, -1]
     weight = np.array([p[2] for p in parts], float)
@@ -280,14 +344,73 @@ def analyse(text: str | None, model: LanguageModel, whole: bool = False) -> tupl
 
 def fitted(spark: SparkSession, sf: str) -> LanguageModel:
     codes = sorted(r["lang"] for r in read_table(spark, sf, "languages").select("lang").where("lang IS NOT NULL").distinct().collect())
-    notes = read_table(spark, sf, "notes").select(F.col("doc_id").alias("k"), F.col("body").alias("t"))
-    chats = read_table(spark, sf, "chat_turns").select(F.col("turn_id").cast("string").alias("k"), F.col("query").alias("t"))
-    texts: list[str] = []
-    for df in (notes, chats):
-        full = df.where("t IS NOT NULL AND trim(t) <> ''")
-        got = hashed_sample(full, ["k"], TRAIN_ROWS // 2, full.count()).toPandas()
-        texts += got.sort_values(["k", "t"])["t"].tolist()
-    return train(texts, codes)
+    return fit_all(records(spark, sf).select("text"), codes)
+
+
+def fit_all(texts: DataFrame, languages: list[str]) -> LanguageModel:
+    """`train` on all rows of `texts` (text)."""
+    spark = texts.sparkSession
+    cols = [f"n{k}" for k in range(len(languages))]
+    by_language = ", ".join(f"{c} long" for c in cols)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lines = ["\n".join(" ".join(words) for _, _, words, _ in sentences(t)) for t in pdf["text"]]
+            yield pd.DataFrame({"words": [x for x in lines if x]}, dtype=object)
+
+    def frame(counts: dict[str, list[int]]) -> pd.DataFrame:
+        n = np.array(list(counts.values()), np.int64).reshape(len(counts), len(cols))
+        return pd.DataFrame({"word": pd.Series(list(counts), dtype=object)} | {c: n[:, k] for k, c in enumerate(cols)})
+
+    def count(tell: Callable[[Parts], Iterator[tuple[list[str], int]]]) -> Callable:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            counts: dict[str, list[int]] = {}
+            for pdf in batches:
+                for text in pdf["words"]:
+                    for words, k in tell([(0, 0, line.split(" "), []) for line in text.split("\n")]):
+                        for w in words:
+                            (counts.get(w) or counts.setdefault(w, [0] * len(cols)))[k] += 1
+                    if len(counts) > COUNTED_WORDS:
+                        yield frame(counts)
+                        counts = {}
+            yield frame(counts)
+
+        return run
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            hashes, n = counted_grams(pdf["word"].tolist(), pdf[cols].to_numpy(np.int64))
+            yield pd.DataFrame({"gram": hashes} | {c: n[:, k] for k, c in enumerate(cols)})
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"grams": [pdf["gram"].to_numpy("<i8").tobytes()], "counts": [pdf[cols].to_numpy("<i8").tobytes()]})
+
+    known: dict[str, list[int]] = {}
+    for words, k in basis(languages):
+        for w in words:
+            known.setdefault(w, [0] * len(cols))[k] += 1
+    own = spark.createDataFrame([(w, *n) for w, n in known.items()], f"word string, {by_language}")
+    sums = [F.sum(c).alias(c) for c in cols]
+
+    def fit(model: LanguageModel, tell: Callable) -> None:
+        words = parsed.mapInPandas(count(tell), f"word string, {by_language}").unionByName(own).groupBy("word").agg(*sums)
+        counted = words.mapInPandas(grams, f"gram long, {by_language}").groupBy("gram").agg(*sums)
+        rows = counted.mapInPandas(pack, "grams binary, counts binary").collect()
+        hashes = np.concatenate([np.frombuffer(r["grams"], "<i8") for r in rows] or [np.empty(0, np.int64)])
+        counts = np.concatenate([np.frombuffer(r["counts"], "<i8").reshape(-1, len(cols)) for r in rows] or [np.empty((0, len(cols)), np.int64)])
+        order = np.argsort(hashes)
+        model.fit_counts(hashes[order], counts[order])
+
+    parsed = materialize(texts.mapInPandas(read, "words string"), "sentences")
+    seeds, model = seeds_of(languages), LanguageModel(languages)
+    fit(model, lambda parts: first_labels(parts, seeds))
+    for _ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(model)
+        model = LanguageModel(languages)
+        fit(model, lambda parts, shared=shared: labels(parts, shared.value))
+        shared.unpersist()
+    return model
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:

@@ -403,6 +403,26 @@ def test_confidence_and_unknown_languages(model):
     assert 0.95 < clear <= 1 and max(doubtful) < 0.8
 
 
+def test_language_model_counts_all_records(spark, monkeypatch, tmp_path):
+    """Words that one record of thousands has are in the model, records delivered twice count once, and parts don't matter."""
+    monkeypatch.setattr(language, "COUNTED_WORDS", 40, raising=False)
+    monkeypatch.setattr(language, "KNOWN_WORDS", 30, raising=False)
+    codes, rng = sorted(SAMPLES), random.Random(5)
+    rare = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(1300)]
+    texts = [SAMPLES[codes[i % 6]].replace(".", f" {w}.") for i, w in enumerate(rare * 2)]
+    at = "timestamp'2024-01-01 00:00:00'"
+    notes, chats = ([(str(i), t) for i, t in enumerate(x)] for x in (texts[:1300], texts[1300:]))
+    for name, key, text, rows in (("notes", "doc_id string", "body", notes + notes[:400]), ("chat_turns", "turn_id string", "query", chats)):
+        made = spark.createDataFrame(rows, f"{key}, {text} string").selectExpr("*", "'en' AS lang", f"{at} AS loaded_at")
+        made.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    spark.createDataFrame([(c,) for c in codes], "lang string").write.parquet(str(tmp_path / "languages.parquet"))
+    got, want = language.fitted(spark, str(tmp_path)), language.train(texts, codes)
+    assert got.languages == codes and np.allclose(got.floor, want.floor)
+    words = rare + [w for t in SAMPLES.values() for _, _, x, _ in language.sentences(t) for w in x]
+    assert all(np.allclose(got.word(w), want.word(w), atol=1e-4) for w in words)
+    assert np.allclose(got.each(words), [want.word(w) for w in words], atol=1e-4) and len(got.each([])) == 0
+
+
 def test_labels():
     assert [language.label_code(x) for x in ("EN", "en-US", "pt_BR", "Vietnamese", "deu", "Español", "??", "", None, "und", "n/a", "unknown")] == ["en", "en", "pt", "vi", "de", "es", None, None, None, None, None, None]
 
