@@ -5,10 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notemesh.plans import dealt, dealt_block
+
+#: Titles and aliases of which a task has one automaton at a time.
+SURFACE_BLOCK = 200_000
+
 PROTECTED = re.compile(r"```.*?```|`[^`\n]*`|\[\[[^\]]*\]\]|\[[^\]]*\]\([^)]*\)", re.S)
 WIKILINK = re.compile(r"\[\[([^\[\]|#\n]+)(#[^\[\]|\n]*)?(?:\|([^\[\]\n]*))?\]\]")
 
@@ -55,26 +61,110 @@ def surface_pattern(surfaces: list[str]) -> re.Pattern | None:
     return re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(re.escape(s).replace(r"\ ", r"\s+") for s in ordered) + r")(?![A-Za-z0-9])", re.I)
 
 
+def _even(text: str) -> tuple[str, np.ndarray]:
+    """A text in lower case with white space of any width as one blank, and the place of each of its characters (and of its end) in the text."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    runs = [(m.start(), m.end()) for m in re.finditer(r"\s+", low)]
+    keep = np.ones(len(low) + 1, bool)
+    for a, b in runs:
+        keep[a + 1 : b] = False
+    return re.sub(r"\s+", " ", low), np.flatnonzero(keep)
+
+
+def _ascii_word(c: str) -> bool:
+    return c.isascii() and c.isalnum()
+
+
+class Surfaces:
+    """All surfaces of an index as one automaton; what they match is that of `surface_pattern`, though a text is read once however many there are."""
+
+    def __init__(self, surfaces: list[str], targets: list[str]):
+        import ahocorasick
+
+        self.machine = ahocorasick.Automaton()
+        for s, t in zip(surfaces, targets):
+            if len(s) >= 2:
+                self.machine.add_word(s, (len(s), t))
+        self.any = len(self.machine) > 0
+        if self.any:
+            self.machine.make_automaton()
+
+    def held(self, even: str) -> list[tuple[int, int, str]]:
+        """(start, end, target) of the surfaces in an even text that don't begin or end inside a run of ASCII letters and digits."""
+        if not self.any:
+            return []
+        out, last = [], len(even)
+        for stop, (size, target) in self.machine.iter(even):
+            a, b = stop - size + 1, stop + 1
+            if (a == 0 or not _ascii_word(even[a - 1])) and (b == last or not _ascii_word(even[b])):
+                out.append((a, b, target))
+        return out
+
+
+def woven_spans(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, str, str]]:
+    """(nth, segment, target) of `weave` from the spans (start, end, target) that surfaces have in a text."""
+    spans = sorted(found, key=lambda x: (x[0], -x[1]))
+    out: list[tuple[int, str, str]] = []
+    nth = i = 0
+
+    def inside(a: int, b: int) -> None:
+        nonlocal nth, i
+        at = a
+        while i < len(spans) and spans[i][0] < b:
+            start, end, target = spans[i]
+            i += 1
+            if start < at or end > b:
+                continue
+            nth += start > at
+            out.append((nth, text[start:end], target))
+            nth += 1
+            at = end
+        nth += b > at
+
+    at = 0
+    for guard in PROTECTED.finditer(text):
+        inside(at, guard.start())
+        nth += 1
+        at = guard.end()
+        while i < len(spans) and spans[i][0] < at:
+            i += 1
+    inside(at, len(text))
+    return out
+
+
 def woven_links(notes: DataFrame, index: DataFrame) -> DataFrame:
     """(doc_id, nth, segment, target): links that weaving adds to notes (doc_id, body).
 
-    `index` (surface, doc_id). Notes meet only the surfaces whose first word they
-    contain, by a join on words, so the index may be large.
+    `index` (surface, doc_id), one row a surface. Surfaces are dealt to blocks in the shared folder; a task has the automaton of one block at a
+    time and reads its notes once for each, so no word that many titles begin with makes rows, and neither notes nor titles meet in pairs.
     """
-    first = index.select("surface", F.col("doc_id").alias("target"), F.get(F.filter(F.split("surface", r"[^\p{L}\p{N}]+"), lambda w: w != ""), 0).alias("word")).where("word IS NOT NULL")
-    words = notes.where("body IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("body"), r"[^\p{L}\p{N}]+"))).alias("word"))
-    may = words.join(first, "word").where("doc_id <> target").groupBy("doc_id").agg(F.collect_list(F.struct("surface", "target")).alias("may"))
+    known = index.select("surface", "doc_id").where("surface RLIKE '[\\\\p{L}\\\\p{N}]'")
+    blocks = max(1, -(-known.count() // SURFACE_BLOCK))
+    path = dealt(known, "surfaces", "surface", blocks)
+
+    def automaton(block: int) -> Surfaces:
+        part = dealt_block(path, block, ["surface", "doc_id"])
+        return Surfaces(*(part[c].to_pylist() for c in ("surface", "doc_id"))) if part is not None else Surfaces([], [])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one = automaton(0) if blocks == 1 else None
         for pdf in batches:
-            rows = []
-            for doc, body, may_ in zip(pdf["doc_id"], pdf["body"], pdf["may"]):
-                known = {normal(m["surface"]): (m["target"], m["surface"]) for m in may_}
-                segments = weave(body, surface_pattern(list(known)), known)
-                rows += [(doc, i, s, t) for i, (s, t) in enumerate(segments) if t]
+            docs, bodies = pdf["doc_id"].tolist(), pdf["body"].tolist()
+            evens = [_even(b) for b in bodies]
+            found: list[list[tuple[int, int, str]]] = [[] for _ in docs]
+            for block in range(blocks):
+                surfaces = one or automaton(block)
+                for doc, (even, place), own in zip(docs, evens, found):
+                    own += [(int(place[a]), int(place[b - 1]) + 1, t) for a, b, t in surfaces.held(even) if t != doc]
+            rows = [(doc, *x) for doc, body, own in zip(docs, bodies, found) if own for x in woven_spans(body, own)]
             yield pd.DataFrame(rows, columns=["doc_id", "nth", "segment", "target"])
 
-    return notes.select("doc_id", "body").join(may, "doc_id").mapInPandas(run, "doc_id string, nth int, segment string, target string")
+    # few notes are one file, though each may be long to read
+    tasks = max(notes.sparkSession.sparkContext.defaultParallelism, int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = notes.where("doc_id IS NOT NULL AND body IS NOT NULL").select("doc_id", "body").repartition(tasks)
+    return spread.mapInPandas(run, "doc_id string, nth int, segment string, target string")
 
 
 def unlinked_mentions(notes: DataFrame, index: DataFrame) -> DataFrame:

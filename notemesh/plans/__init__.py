@@ -1 +1 @@
-from notemesh.plans.lineage import clear, materialize  # noqa: F401
+from notemesh.plans.lineage import clear, dealt, dealt_block, materialize  # noqa: F401

@@ -240,6 +240,22 @@ def test_links(spark):
     assert links.resolve_refs("[a.md#2] [#1] [#9]", {"a.md"}, ["c#0"]) == [("a.md#2", True), ("c#0", True), (None, False)]
 
 
+@pytest.mark.parametrize("block", [200_000, 7])
+def test_woven_links_equal_weave_over_all_titles(spark, monkeypatch, block):
+    monkeypatch.setattr(links, "SURFACE_BLOCK", block)
+    rng = np.random.default_rng(3)
+    word = ["the", "The", "an", "đan", "roof", "`roof`", "[[the roof]]", "cost", "x-ray", "İ", "\n\n", "roof.", "the  roof", "[an](roof)"]
+    index = {"the roof": ("t1", ""), "the": ("t2", ""), "roof cost": ("t3", ""), "an": ("t4", ""), "the roof the": ("t5", ""), "x-ray": ("t6", ""), "cost the roof": ("n0", ""), "ray": ("n1", "")}
+    index |= {f"the title {i}": (f"u{i}", "") for i in range(40)}
+    notes = [(f"n{i}", " ".join(rng.choice(word, 25))) for i in range(40)] + [("n98", ""), ("n99", None)]
+    got = {tuple(r) for r in links.woven_links(spark.createDataFrame(notes, "doc_id string, body string"), spark.createDataFrame([(s, d) for s, (d, _) in index.items()], "surface string, doc_id string")).collect()}
+    want = set()
+    for doc, body in notes[:-1]:
+        own = {s: x for s, x in index.items() if x[0] != doc}
+        want |= {(doc, i, s, t) for i, (s, t) in enumerate(links.weave(body, links.surface_pattern(list(own)), own)) if t}
+    assert got == want and len(want) > 100
+
+
 def test_prompting():
     hits = [{"chunk_id": "a", "doc_id": "d", "page": 2, "text": "one two three"}, {"chunk_id": "b", "doc_id": "d", "page": None, "text": "one two three"}, {"chunk_id": "c", "doc_id": "e", "page": None, "text": "four five six seven"}]
     msg, order = prompting.assemble("why?", hits, 100)
