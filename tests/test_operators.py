@@ -256,6 +256,14 @@ def test_woven_links_equal_weave_over_all_titles(spark, monkeypatch, block):
     assert got == want and len(want) > 100
 
 
+def test_unlinked_mentions_count_beside_other_letters(spark):
+    notes = spark.createDataFrame([("a", "đan an [[an]] can an"), ("b", "an")], "doc_id string, body string")
+    got = links.unlinked_mentions(notes, spark.createDataFrame([("an", "b")], "surface string, doc_id string"))
+    assert [tuple(r) for r in got.collect()] == [("b", "a", 3)]
+    only = spark.createDataFrame([("a", "đan")], "doc_id string, body string")  # no word of its own
+    assert [tuple(r) for r in links.unlinked_mentions(only, spark.createDataFrame([("an", "b")], "surface string, doc_id string")).collect()] == [("b", "a", 1)]
+
+
 def test_prompting():
     hits = [{"chunk_id": "a", "doc_id": "d", "page": 2, "text": "one two three"}, {"chunk_id": "b", "doc_id": "d", "page": None, "text": "one two three"}, {"chunk_id": "c", "doc_id": "e", "page": None, "text": "four five six seven"}]
     msg, order = prompting.assemble("why?", hits, 100)
