@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notemesh.functions import text as T
+from notemesh.plans import materialize
 
 # Caps and floors that define results.
 HOPS, MOST_NODES, VIEW_NODES, RELATION_FLOOR = 2, 50, 24, 0.5
@@ -74,15 +75,27 @@ def reach(starts: DataFrame, relations: DataFrame, hops: int = HOPS, most: int |
     """(start, node, hop): nodes within `hops` relations of each start (column start), nearest first, at most `most` a start.
 
     A loop over hops with the visited nodes taken off by an anti join; the
-    frontier is distinct, so parallel paths don't multiply.
+    frontier is distinct, so parallel paths don't multiply. With a bound, a start
+    that has `most` nodes goes no further, and a step reads the `most` + 1
+    smallest neighbours of a node: fewer than `most` of its start's nodes, and the
+    start itself, can be among them, so what is missing is always there, and a hub
+    isn't multiplied with its neighbours.
     """
     edges = edges_both_ways(relations)
+    if most is not None:
+        edges = edges.withColumn("_n", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("_n") <= most + 1).drop("_n")
+        edges = materialize(edges, "edges")
     seen = starts.select("start", F.col("start").alias("node")).distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for h in range(1, hops + 1):
+        if most is not None and h > 1:
+            frontier = frontier.join(seen.groupBy("start").agg(F.count("*").alias("_c")).where(F.col("_c") <= most).select("start"), "start", "left_semi")
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
         frontier = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hop", F.lit(h))
         seen = seen.unionByName(frontier)
+        if most is not None:
+            seen = materialize(seen, "seen")
+            frontier = seen.where(F.col("hop") == h)
     found = seen.where("hop > 0")
     if most is None:
         return found

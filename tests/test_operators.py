@@ -118,6 +118,38 @@ def test_reach_and_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def hubs(spark):
+    """Relations with two hubs, loops, copies and nulls."""
+    rng = np.random.default_rng(5)
+    e = [(f"n{a:03d}", f"n{b:03d}", str(t)) for a, b, t in rng.integers(0, [300, 300, 3], (260, 3)).tolist()]
+    e += [("n150", f"n{b:03d}", "h") for b in range(0, 300, 2)] + [(f"n{b:03d}", "n007", "g") for b in range(0, 300, 5)] + [(None, "n001", "x"), ("n002", None, "x"), ("n003", "n003", "loop"), ("n150", "n000", "h")]
+    rel = spark.createDataFrame(e, "source_id string, target_id string, type string")
+    near: dict[str, set[str]] = {}
+    for a, b, _ in e:
+        for x, y in ((a, b), (b, a)):
+            if x is not None and y is not None:
+                near.setdefault(x, set()).update({y} - {x})
+    return e, rel, near
+
+
+def test_reach_equals_brute_force_at_hubs(spark, monkeypatch):
+    _, rel, near = hubs(spark)
+    made = []
+    monkeypatch.setattr(graph, "materialize", lambda df, name: made.append((name, out := df.localCheckpoint())) or out)
+    starts = spark.createDataFrame([(x,) for x in near], "start string")
+    for most, hops in ((10, 2), (24, 3), (None, 2)):
+        want = set()
+        for s in near:
+            hop, front = {s: 0}, {s}
+            for h in range(1, hops + 1):
+                front = {y for x in front for y in near[x]} - set(hop)
+                hop |= dict.fromkeys(front, h)
+            want |= {(s, n, h) for n, h in sorted(((n, h) for n, h in hop.items() if h), key=lambda x: (x[1], x[0]))[:most]}
+        assert {tuple(r) for r in graph.reach(starts, rel, hops, most).select("start", "node", "hop").collect()} == want
+    # a step keeps what can be among the nearest; all paths over the hubs would be some 28,000
+    assert max(df.count() for name, df in made[:3] if name == "seen") < 9_000
+
+
 def test_heuristic_extraction():
     names, pairs = graph.heuristic("Met Jane Smith in Hanoi. The plan is set. Hanoi likes Jane Smith. [[Project X]]")
     assert ("Jane Smith", 2) in names and ("Hanoi", 2) in names and ("Project X", 1) in names
