@@ -109,11 +109,19 @@ def relations_among(ids: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def entity_graph(starts: DataFrame, relations: DataFrame, most: int = VIEW_NODES) -> DataFrame:
-    """(start, source_id, target_id, label), distinct: the relations among a start and its nearest `most` nodes; the label is the type."""
-    near = reach(starts, relations, HOPS, most).select("start", "node").union(starts.select("start", F.col("start").alias("node")))
-    edges = relations.where("source_id IS NOT NULL AND target_id IS NOT NULL").select("source_id", "target_id", F.col("type").alias("label")).distinct()
-    one = near.select("start", F.col("node").alias("source_id")).join(edges, "source_id")
-    return one.join(near.select("start", F.col("node").alias("target_id")), ["start", "target_id"], "left_semi").select("start", "source_id", "target_id", "label")
+    """(start, source_id, target_id, label), distinct: the relations among a start and its nearest `most` nodes; the label is the type.
+
+    Nodes meet a relation at its end with fewer relations and are then looked up
+    at the other, so the relations of a hub aren't read for all that it is near to.
+    """
+    near = materialize(reach(starts, relations, HOPS, most).select("start", "node").union(starts.select("start", F.col("start").alias("node"))).distinct(), "near")
+    edges = materialize(relations.where("source_id IS NOT NULL AND target_id IS NOT NULL").select("source_id", "target_id", F.col("type").alias("label")).distinct(), "edges")
+    degree = edges.select(F.col("source_id").alias("n")).unionByName(edges.select(F.col("target_id").alias("n"))).groupBy("n").agg(F.count("*").alias("d"))
+    sized = edges.join(degree.select(F.col("n").alias("source_id"), F.col("d").alias("ds")), "source_id").join(degree.select(F.col("n").alias("target_id"), F.col("d").alias("dt")), "target_id")
+    few = F.col("ds") <= F.col("dt")
+    sized = sized.select("source_id", "target_id", "label", F.when(few, F.col("source_id")).otherwise(F.col("target_id")).alias("node"), F.when(few, F.col("target_id")).otherwise(F.col("source_id")).alias("other"))
+    one = near.join(sized, "node").select("start", "other", "source_id", "target_id", "label")
+    return one.join(near.select("start", F.col("node").alias("other")), ["start", "other"], "left_semi").select("start", "source_id", "target_id", "label")
 
 
 def ring_layout(graph: DataFrame, radius: float = 100.0) -> DataFrame:

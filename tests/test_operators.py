@@ -150,6 +150,21 @@ def test_reach_equals_brute_force_at_hubs(spark, monkeypatch):
     assert max(df.count() for name, df in made[:3] if name == "seen") < 9_000
 
 
+def test_entity_graph_equals_brute_force_at_hubs(spark, monkeypatch):
+    e, rel, near = hubs(spark)
+    made = {}
+    monkeypatch.setattr(graph, "materialize", lambda df, name: made.setdefault(name, df.localCheckpoint()) if name in ("near",) else df.localCheckpoint())
+    starts = spark.createDataFrame([(x,) for x in near], "start string")
+    want = set()
+    for s in near:
+        two = sorted({y for x in near[s] for y in near[x]} - near[s] - {s})
+        own = {s, *[*sorted(near[s]), *two][:12]}
+        want |= {(s, a, b, t) for a, b, t in e if a in own and b in own}
+    got = [tuple(r) for r in graph.entity_graph(starts, rel, 12).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert made["near"].count() <= 13 * len(near)
+
+
 def test_heuristic_extraction():
     names, pairs = graph.heuristic("Met Jane Smith in Hanoi. The plan is set. Hanoi likes Jane Smith. [[Project X]]")
     assert ("Jane Smith", 2) in names and ("Hanoi", 2) in names and ("Project X", 1) in names
