@@ -77,6 +77,54 @@ def test_lexical_search(spark):
     assert find("Acme 9931") == ["inv#0", "z"] and find("acme") == ["z", "inv#0"] and find("end") == [] and find("ngan sach") == ["vn#0"] and find("the") == []
 
 
+def small_blocks(spark, monkeypatch):
+    """Blocks of a few rows; the list gets the number of rows of each table that is dealt."""
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(R, "DATA_BLOCK", 40)
+    written, deal = [], R.dealt
+    monkeypatch.setattr(R, "dealt", lambda df, *a: written.append(df.sparkSession.read.parquet(path := deal(df, *a)).count()) or path)
+    return written
+
+
+def vectors(rng, n):
+    """Vectors with copies, opposites and some without length."""
+    v = rng.integers(-1, 2, (n, 3)).astype(float)
+    return (v + (rng.random(n) < 0.5)[:, None] * rng.standard_normal((n, 3))).tolist()
+
+
+def cosine(a, b):
+    n = np.linalg.norm(a) * np.linalg.norm(b)
+    return round(float(np.dot(a, b) / n), 10) + 0.0 if n else 0.0
+
+
+def test_vector_top_over_blocks(spark, monkeypatch):
+    written = small_blocks(spark, monkeypatch)
+    rng = np.random.default_rng(11)
+    d, q = vectors(rng, 210), vectors(rng, 30)
+    rows = R.vector_top(spark.createDataFrame([(i, v) for i, v in enumerate(q)], "query_id long, vec array<double>"), spark.createDataFrame([(f"c{i:03d}", v) for i, v in enumerate(d)], "chunk_id string, vec array<double>"), 5).collect()
+    want = {i: [c for _, c in sorted((-cosine(v, w), f"c{j:03d}") for j, w in enumerate(d))[:5]] for i, v in enumerate(q)}
+    got = {i: [r.chunk_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == i] for i in want}
+    assert got == want
+    assert written == [30, 210]  # each side is stored once, however many blocks it meets
+
+
+def test_shared_top_over_blocks(spark, monkeypatch):
+    written = small_blocks(spark, monkeypatch)
+    rng = np.random.default_rng(12)
+    d, q = vectors(rng, 210), vectors(rng, 30)
+    have = [sorted({int(x) for x in rng.zipf(1.4, 6) if x < 30}) for _ in d]
+    ask = [(sorted({int(x) for x in rng.zipf(1.3, 6) if x < 30}), [f"c{j:03d}" for j in rng.integers(0, 210, 2)]) for _ in q]
+    ask = [(s, rng.permutation(range(1, len(s) + 1)).tolist() if i % 3 else rng.integers(0, 4, len(s)).tolist(), skip) for i, (s, skip) in enumerate(ask)]
+    left = spark.createDataFrame([(i, v, *a) for i, (v, a) in enumerate(zip(q, ask))], "query_id long, vec array<double>, signs array<long>, labels array<long>, skip array<string>")
+    right = spark.createDataFrame([(f"c{j:03d}", v, s) for j, (v, s) in enumerate(zip(d, have))], "chunk_id string, vec array<double>, signs array<long>")
+    rows = R.shared_top(left, right, 5).collect()
+    for i, (v, (signs, labels, skip)) in enumerate(zip(q, ask)):
+        met = [(j, {x for s, x in zip(signs, labels) if s in have[j]}) for j in range(len(d)) if f"c{j:03d}" not in skip]
+        want = sorted((-len(x - {0}), -cosine(v, d[j]), f"c{j:03d}") for j, x in met if x)[:5]
+        assert [(-r.shared_count, r.chunk_id) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == i] == [(n, c) for n, _, c in want]
+    assert written == [30, 210]
+
+
 def test_hybrid_search_equals_brute_force(spark):
     rng = np.random.default_rng(7)
     rows = [(f"c{i:03d}", rng.standard_normal(4).tolist(), " ".join(rng.choice(["aa", "ab", "b", "é", "x"], 6))) for i in range(120)]
