@@ -125,6 +125,24 @@ def test_shared_top_over_blocks(spark, monkeypatch):
     assert written == [30, 210]
 
 
+def test_hybrid_search_over_blocks(spark, monkeypatch):
+    written = small_blocks(spark, monkeypatch)
+    rng = np.random.default_rng(13)
+    d, q = vectors(rng, 210), vectors(rng, 20)
+    texts = [" ".join(rng.choice(["aa", "ab", "b", "é", "x"], 5)) for _ in d]
+    terms = [rng.choice(["aa", "b", "e", "x", "zz", "b x"], 2).tolist() for _ in q]
+    left = spark.createDataFrame([(i, v, t) for i, (v, t) in enumerate(zip(q, terms))], "query_id long, vec array<double>, terms array<string>")
+    rows = R.hybrid_search(left, spark.createDataFrame([(f"c{j:03d}", v, t) for j, (v, t) in enumerate(zip(d, texts))], "chunk_id string, vec array<double>, text string"), 4, 10).collect()
+    for i, v in enumerate(q):
+        lex = [sum(t.replace("é", "e").count(w) for w in terms[i]) for t in texts]
+        fused = dict.fromkeys(range(len(d)), 0.0)
+        for order in (sorted(fused, key=lambda j: (-cosine(v, d[j]), j)), sorted((j for j in fused if lex[j]), key=lambda j: (-lex[j], j))):
+            for n, j in enumerate(order, 1):
+                fused[j] += 1 / (10 + n)
+        assert [r.chunk_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == i] == [f"c{j:03d}" for j in sorted(fused, key=lambda j: (-round(fused[j], 12), j))[:4]]
+    assert written == [20, 210, 20, 210]
+
+
 def test_hybrid_search_equals_brute_force(spark):
     rng = np.random.default_rng(7)
     rows = [(f"c{i:03d}", rng.standard_normal(4).tolist(), " ".join(rng.choice(["aa", "ab", "b", "é", "x"], 6))) for i in range(120)]
