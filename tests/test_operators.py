@@ -231,6 +231,23 @@ def test_entity_graph_equals_brute_force_at_hubs(spark, monkeypatch):
     assert made["near"].count() <= 13 * len(near)
 
 
+@pytest.mark.parametrize("times", [0, 10**6])
+def test_expand_by_entities_in_blocks(spark, monkeypatch, times):
+    monkeypatch.setattr(graph, "MANY_TIMES", times)
+    rng = np.random.default_rng(2)
+    m = [(f"c{c}", f"e{e}") for c, e in rng.integers(0, [400, 60], (900, 2)).tolist()] + [(f"c{c}", "hub") for c in range(0, 400, 2)] * 2 + [(None, "hub"), ("c1", None)]
+    seeds = [(f"q{q}", f"c{c}") for q, c in {tuple(x) for x in rng.integers(0, [50, 500], (150, 2)).tolist()}]
+    want = {}
+    for q in {q for q, _ in seeds}:
+        own = {c for x, c in seeds if x == q}
+        of = {e for c, e in m if c in own and e}
+        for c, e in m:
+            if c and e in of and c not in own:
+                want[q, c] = want.get((q, c), 0) + 1
+    got = [tuple(r) for r in graph.expand_by_entities(spark.createDataFrame(seeds, "query_id string, chunk_id string"), spark.createDataFrame(m, "chunk_id string, entity_id string")).collect()]
+    assert {(q, c): n for q, c, n in got} == want and len(got) == len(want) > 2_000
+
+
 def test_heuristic_extraction():
     names, pairs = graph.heuristic("Met Jane Smith in Hanoi. The plan is set. Hanoi likes Jane Smith. [[Project X]]")
     assert ("Jane Smith", 2) in names and ("Hanoi", 2) in names and ("Project X", 1) in names
