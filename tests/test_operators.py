@@ -166,6 +166,19 @@ def test_anchor_documents(spark):
     assert ask("summarize the open risks") == ask("the project") == set()
 
 
+def test_anchor_documents_of_like_questions_are_made_once(spark, monkeypatch):
+    asked, spread = [], R.spread
+    monkeypatch.setattr(R, "spread", lambda a, p: asked.append(a.count()) or spread(a, p))
+    names = ["Alder", "Birch", "Cedar"]
+    e = spark.createDataFrame([(n[0], n) for n in names], "id string, name string")
+    m = [("A", "d1"), ("A", "d1"), ("B", "d1"), ("B", "d2"), ("C", "d3")] + [("B", f"h{i}") for i in range(50)]
+    q = spark.createDataFrame([(i, f"what of {names[i % 3]}") for i in range(12)], "query_id long, text string")
+    got = [tuple(r) for r in R.anchor_docs(q, e, spark.createDataFrame(m, "entity_id string, doc_id string")).collect()]
+    both = {"d1", "d2", *(f"h{i}" for i in range(50))}
+    assert len(got) == len(set(got)) and set(got) == {(i, d) for i in range(12) for d in ({"d3"} if i % 3 == 2 else both)}
+    assert asked == [3]
+
+
 def test_subjects(spark):
     q = spark.createDataFrame([(1, "Who is Ngọc Anh?"), (2, "Is Project Harmony with Jane Roe?"), (3, "What Does Everybody Think About This Now"), (4, None)], "query_id long, text string")
     assert {(r.query_id, r.subject) for r in R.named_subjects(q).collect()} == {(1, "Ngọc Anh"), (2, "Is Project Harmony"), (2, "Jane Roe")}
